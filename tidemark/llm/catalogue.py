@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.bpe import op6_bpe
+from tidemark.llm.media import op7_media
 
-QUERIES: dict = {"op6_bpe": op6_bpe}
+QUERIES: dict = {"op6_bpe": op6_bpe, "op7_media": op7_media}
 ORACLES: dict = {}
