@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from tidemark.llm.bpe import op6_bpe
 from tidemark.llm.media import op7_media
+from tidemark.llm.mixing import op1_mixing
+from tidemark.llm.shards import op10_shards
+from tidemark.llm.urls import op9_urls
 
-QUERIES: dict = {"op6_bpe": op6_bpe, "op7_media": op7_media}
+QUERIES: dict = {f.__name__: f for f in (op1_mixing, op6_bpe, op7_media, op9_urls, op10_shards)}
 ORACLES: dict = {}
