@@ -176,7 +176,8 @@ class Codec:
                 split.append([self._pieces(text)])
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        new = {w for parts in split for p in parts if not isinstance(p, int) for w in p} - self.words.keys()
+        words = self.words
+        new = {w for parts in split for p in parts if not isinstance(p, int) for w in p if w not in words}
         if new:
             raw = {w: w if isinstance(w, bytes) else w.encode() for w in new}
             learnt = self.learn(list(dict.fromkeys(raw.values())))
