@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.ann import op4_ann
 from tidemark.llm.bpe import op6_bpe
 from tidemark.llm.media import op7_media
 from tidemark.llm.mixing import op1_mixing
@@ -11,5 +12,5 @@ from tidemark.llm.shards import op10_shards
 from tidemark.llm.toxicity import op8_toxicity
 from tidemark.llm.urls import op9_urls
 
-QUERIES: dict = {f.__name__: f for f in (op1_mixing, op2_pii, op5_ngram_join, op6_bpe, op7_media, op8_toxicity, op9_urls, op10_shards)}
+QUERIES: dict = {f.__name__: f for f in (op1_mixing, op2_pii, op4_ann, op5_ngram_join, op6_bpe, op7_media, op8_toxicity, op9_urls, op10_shards)}
 ORACLES: dict = {}
