@@ -30,7 +30,7 @@ from tidemark.llm.common import map_arrow, small_batches, table, text_of
 #: Common insults, in the parts that vote separately.
 SEEDS = ("idiot moron stupid imbecile dumb".split(), "scum trash worthless garbage vermin".split(), "loser pathetic disgusting clown hate".split())
 #: Labelled rows that train at most, on average.
-SAMPLE = 16_000
+SAMPLE = 8_000
 #: Bits of a feature's hash; lengths of word beginnings that are features.
 BITS, STARTS = 22, (3, 4, 5, 6, 7)
 #: Documents in the sample in which a feature occurs at least.
@@ -119,26 +119,26 @@ def _telling(rows: np.ndarray, cols: np.ndarray, n_cols: int, y: np.ndarray) ->
     return chi, odds
 
 
-def fit(labels: np.ndarray, ids: np.ndarray, found: list[np.ndarray], patterns: np.ndarray) -> Model:
-    """labels, a hash of ids, features and pattern votes of the training rows -> the model."""
+def fit(labels: np.ndarray, ids: np.ndarray, found: list[np.ndarray], times: list[np.ndarray], patterns: np.ndarray) -> Model:
+    """labels, a hash of ids, features, in how many words each is, and pattern votes of the training rows -> the model."""
     n = len(labels)
     if n < 20 or labels.min() == labels.max():
         return default_model()
-    rows = np.repeat(np.arange(n), list(map(len, found)))
-    pairs, times = np.unique(rows << 32 | np.concatenate(found), return_counts=True)
-    rows, flat, value = pairs >> 32, pairs & 0xFFFFFFFF, np.log2(1 + times)
+    rows = np.repeat(np.arange(n, dtype=np.int32), list(map(len, found)))
+    value = np.log2(1 + np.concatenate(times).astype(np.float32))
+    flat = np.concatenate(found)
     names, cols, counts = np.unique(flat, return_inverse=True, return_counts=True)
     keep = counts >= min(LEAST, max(1, n // 50))
     seeds = [seed_features(part) for part in range(len(SEEDS))]
     keep |= np.isin(names, np.concatenate(seeds))
     names, new = names[keep], np.cumsum(keep) - 1
-    rows, value, cols = rows[keep[cols]], value[keep[cols]], new[cols[keep[cols]]]
-    place = {int(f): i for i, f in enumerate(names)}
+    often = keep[cols]
+    rows, value, cols = rows[often], value[often], new[cols[often]].astype(np.int32)
     # voters: seed lists, and lists induced from one half of the rows
     half = ids % 2 == 0
     chi, odds = _telling(rows[half[rows]], cols[half[rows]], len(names), np.where(half, labels, 0).astype(np.float64))
     ranked = [int(i) for i in np.argsort(-chi, kind="stable")[: 4 * LIST_SIZE * LISTS] if odds[i] > 2 and chi[i] > 10][: LIST_SIZE * LISTS]
-    lists = [[place[f] for f in part if f in place] for part in seeds] + [ranked[k::LISTS] for k in range(LISTS)]
+    lists = [np.flatnonzero(np.isin(names, part)).tolist() for part in seeds] + [ranked[k::LISTS] for k in range(LISTS)]
     member = np.zeros((len(lists), len(names)), bool)
     for k, own in enumerate(lists):
         member[k, own] = True
@@ -176,18 +176,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     joined = docs.select(ids.alias("label_id"), text_of(text_col).alias("text")).join(F.broadcast(fold), "label_id").select("label_id", "label", "text")  # the fold has about SAMPLE rows at most
 
     def extract(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, patterns = [], []
+        own, times, patterns = [], [], []
         for text in batch.column("text").to_pylist():
             words = _WORD.findall(text.lower())
-            own.append(np.array(sorted(f for w in set(words) for f in features(w)), "<u4").tobytes())
+            found, n = np.unique(np.array([f for w in set(words) for f in features(w)], "<u4"), return_counts=True)
+            own.append(found.tobytes())
+            times.append(np.minimum(n, 255).astype(np.uint8).tobytes())
             patterns.append(pattern_votes(text, words))
         hashes = [zlib.crc32(str(i).encode()) // 3 for i in batch.column("label_id").to_pylist()]
-        return pa.record_batch([pa.array(hashes, pa.int64()), batch.column("label"), pa.array(own, pa.binary()), pa.array(patterns, pa.list_(pa.int32()))], names=["h", "label", "own", "patterns"])
+        return pa.record_batch([pa.array(hashes, pa.int64()), batch.column("label"), pa.array(own, pa.binary()), pa.array(times, pa.binary()), pa.array(patterns, pa.list_(pa.int32()))], names=["h", "label", "own", "times", "patterns"])
 
-    got = sorted((r["h"], r["label"], bytes(r["own"]), tuple(r["patterns"])) for r in map_arrow(joined, extract, "h long, label int, own binary, patterns array<int>").collect())  # about SAMPLE rows
+    got = sorted((r["h"], r["label"], bytes(r["own"]), bytes(r["times"]), tuple(r["patterns"])) for r in map_arrow(joined, extract, "h long, label int, own binary, times binary, patterns array<int>").collect())  # about SAMPLE rows
     if not got:
         return default_model()
-    return fit(np.array([g[1] for g in got]), np.array([g[0] for g in got]), [np.frombuffer(g[2], "<u4").astype(np.int64) for g in got], np.array([g[3] for g in got]))
+    return fit(np.array([g[1] for g in got]), np.array([g[0] for g in got]), [np.frombuffer(g[2], "<u4") for g in got], [np.frombuffer(g[3], np.uint8) for g in got], np.array([g[4] for g in got]))
 
 
 class Scorer:
