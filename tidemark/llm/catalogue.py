@@ -9,8 +9,9 @@ from tidemark.llm.mixing import op1_mixing
 from tidemark.llm.ngram_join import op5_ngram_join
 from tidemark.llm.pii import op2_pii
 from tidemark.llm.shards import op10_shards
+from tidemark.llm.substrings import ORACLE_OP3, op3_substrings
 from tidemark.llm.toxicity import op8_toxicity
 from tidemark.llm.urls import op9_urls
 
-QUERIES: dict = {f.__name__: f for f in (op1_mixing, op2_pii, op4_ann, op5_ngram_join, op6_bpe, op7_media, op8_toxicity, op9_urls, op10_shards)}
-ORACLES: dict = {}
+QUERIES: dict = {f.__name__: f for f in (op1_mixing, op2_pii, op3_substrings, op4_ann, op5_ngram_join, op6_bpe, op7_media, op8_toxicity, op9_urls, op10_shards)}
+ORACLES: dict = {"op3_substrings": ORACLE_OP3}
