@@ -37,8 +37,8 @@ class Engine:
 
     def add_table(self, name: str, config: TableConfig | None = None, computed: Iterable[Computed] = (), peers: Mapping[str, Any] | None = None, **options: Any) -> TimeSeriesTable:
         c = config or TableConfig()
-        settings = {"hash_by": c.hash_by, "sort_by": c.sort_by, "ttl": c.ttl, "schema_text": c.schema} | options
-        table = TimeSeriesTable(self.spark, self.root, name, computed=list(computed), streams=[make_sink(s, peers) for s in c.streams], **settings)
+        settings = {"hash_by": c.hash_by, "sort_by": c.sort_by, "ttl": c.ttl, "schema_text": c.schema, "streams": [make_sink(s, peers) for s in c.streams]} | options
+        table = TimeSeriesTable(self.spark, self.root, name, computed=list(computed), **settings)
         self.tables[name] = table
         if c.compact:
             self.compactors[name] = Compactor(table, make_sinks(c.compact.sinks, peers), c.compact.name_func, c.compact.interval)

@@ -1,13 +1,537 @@
-"""All engine queries by name, with the DuckDB SQL that must give the same rows."""
+"""All engine queries by name, with the DuckDB SQL that must give the same rows.
+
+Tables are ingested, streamed or compacted through the engine's own operators, in a folder of the session's own, and then
+queried; the SQL reads the source tables. Timestamps are compared without a zone.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidemark.functions import values
+from tidemark.functions.schema import Schema
+from tidemark.functions.scripting import Computed, keep
+from tidemark.functions.types import ALIASES, Kind
+from tidemark.operators.compact import Compactor
+from tidemark.operators.engine import Engine
+from tidemark.operators.sinks import FileSink, MultiSink, NoopSink, PeerSink, write_encoded
+from tidemark.operators.transform import backfill, merge, normalise, transform
+from tidemark.sources.readers import from_csv, from_events, from_orc, from_parquet, from_url
+from tidemark.streaming.ingest import file_stream, ingest_messages, ingest_stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: Seconds that the tables of these queries live: longer than any run.
+LONG = 10 * 365 * 86_400
+
+
+def query(sql: str | None = None):
+    """Register a query, and its SQL where there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+def work_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+
+
+def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hot(spark: SparkSession, sf_dir: str, **options) -> Engine:
+    """An engine with the events in a table eventlog."""
+    engine = Engine(spark, work_folder(spark))
+    engine.add_table("eventlog", hash_by="event_type", sort_by="ts", ttl=LONG, **options)
+    engine.ingest({"parquet": f"{sf_dir}/events.parquet"})
+    return engine
+
+
+def ntz(column: str):
+    return F.col(column).cast("timestamp_ntz").alias(column)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.where("event_type = 'purchase'").select("event_id", "ts", "user_id", "value")
+    """The hot scan: some columns of one event type in a time range."""
+    return hot(spark, sf_dir).scan("eventlog", ["event_id", "ts", "user_id", "value"], ["event_type == 'purchase'", "ts >= 1704067200 && ts < 1706659200"]).withColumn("ts", ntz("ts"))
+
+
+# ---------------------------------------------------------------- scans and filters
+
+
+@query("select event_id, ts, user_id, value from events where event_type = 'purchase' and ts >= timestamp '2024-01-01' and ts < timestamp '2024-01-31'")
+def hot_scan(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@query("select event_id, user_id, value from events where event_type = 'purchase'")
+def hot_scan_hash_eq(spark, sf_dir):
+    return hot(spark, sf_dir).scan("eventlog", ["event_id", "user_id", "value"], ["event_type == 'purchase'"])
+
+
+@query("select event_id, event_type, ts from events where event_type in ('click', 'view') and ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-15'")
+def hot_scan_hash_in_time(spark, sf_dir):
+    filters = ["event_type == 'click'", "event_type == 'view'", "ts >= 1704412800 && ts < 1705276800"]
+    return hot(spark, sf_dir).scan("eventlog", ["event_id", "event_type", "ts"], filters).withColumn("ts", ntz("ts"))
+
+
+@query("select o_orderkey, o_orderdate from orders where o_orderdate >= timestamp '1995-01-01' and o_orderdate < timestamp '1996-01-01'")
+def hot_scan_sort_only(spark, sf_dir):
+    engine = Engine(spark, work_folder(spark))
+    engine.add_table("orders", hash_by="", sort_by="o_orderdate", ttl=LONG)
+    engine.ingest(source(spark, sf_dir, "orders").transform(normalise))
+    found = engine.scan("orders", ["o_orderkey", "o_orderdate"], ["o_orderdate >= 788918400 && o_orderdate < 820454400"])
+    return found.withColumn("o_orderdate", ntz("o_orderdate"))
+
+
+@query("select event_id, user_id, value from events where user_id in (7, 11, 42)")
+def hot_scan_buckets(spark, sf_dir):
+    """A hash column of many values, kept in buckets."""
+    engine = Engine(spark, work_folder(spark))
+    engine.add_table("by_user", hash_by="user_id", sort_by="ts", ttl=LONG, buckets=8)
+    engine.ingest({"parquet": f"{sf_dir}/events.parquet"})
+    return engine.scan("by_user", ["event_id", "user_id", "value"], ["user_id == '7'", "user_id == '11'", "user_id == '42'"])
+
+
+@query("select event_id, ts from events where event_type = 'error' and ts >= timestamp '2024-01-20'")
+def filter_string_scan(spark, sf_dir):
+    return hot(spark, sf_dir).scan("eventlog", ["event_id", "ts"], ['event_type == "error"', "ts >= 1705708800000"]).withColumn("ts", ntz("ts"))
+
+
+@query("select event_type, count(*) as n, min(event_id) as first_id, max(event_id) as last_id from events group by event_type")
+def partition_summary(spark, sf_dir):
+    return hot(spark, sf_dir).tables["eventlog"].frame().groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+
+@query("select event_type, arg_max(event_id, struct_pack(ts := ts, id := event_id)) as last_id from events group by event_type")
+def last_row_per_key(spark, sf_dir):
+    return source(spark, sf_dir, "events").groupBy("event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_id"))
+
+
+@query("select min(event_id) as least from events")
+def column_min(spark, sf_dir):
+    return source(spark, sf_dir, "events").agg(F.min("event_id").alias("least"))
+
+
+@query("select event_id, value from events where ts + interval 7 day > timestamp '2024-01-30'")
+def ttl_filter(spark, sf_dir):
+    df = source(spark, sf_dir, "events")
+    return df.where(F.col("ts") + F.expr("interval 7 days") > F.lit("2024-01-30").cast("timestamp_ntz")).select("event_id", "value")
+
+
+@query("select event_id from events where event_type != 'error'")
+def ttl_purge(spark, sf_dir):
+    """A batch that has expired is gone from scans and dropped; a live one stays."""
+    now = [1_000_000.0]
+    engine = Engine(spark, work_folder(spark))
+    table = engine.add_table("eventlog", hash_by="event_type", sort_by="ts", ttl=100, clock=lambda: now[0])
+    events = source(spark, sf_dir, "events").transform(normalise)
+    table.append(events.where("event_type = 'error'"))
+    now[0] += 60
+    table.append(events.where("event_type != 'error'"))
+    now[0] += 60
+    table.purge()
+    return table.scan(["event_id"])
+
+
+@query("select event_id from events where event_type not in ('click', 'view')")
+def delete_keys(spark, sf_dir):
+    table = hot(spark, sf_dir).tables["eventlog"]
+    table.delete_hashes(["click", "view"])
+    return table.scan(["event_id"])
+
+
+# ---------------------------------------------------------------- schemas and transformations
+
+
+@query("select event_id, value, null::varchar as props from events where event_type = 'view' union all select event_id, null::double, props from events where event_type = 'click'")
+def null_backfill_union(spark, sf_dir):
+    """Batches with different columns in one table."""
+    engine = Engine(spark, work_folder(spark))
+    table = engine.add_table("t", hash_by="event_type", sort_by="ts", ttl=LONG)
+    events = source(spark, sf_dir, "events").transform(normalise)
+    table.append(events.where("event_type = 'view'").drop("props"))
+    table.append(events.where("event_type = 'click'").drop("value"))
+    return table.scan(["event_id", "value", "props"])
+
+
+@query("select event_id, null::bigint as value from events where event_type = 'view' union all select event_id, user_id from events where event_type = 'click'")
+def type_mismatch_backfill(spark, sf_dir):
+    """A column that changes its type is null in batches of the old one."""
+    engine = Engine(spark, work_folder(spark))
+    table = engine.add_table("t", hash_by="event_type", sort_by="ts", ttl=LONG)
+    events = source(spark, sf_dir, "events").transform(normalise)
+    table.append(events.where("event_type = 'view'"))
+    table.append(events.where("event_type = 'click'").withColumn("value", F.col("user_id")))
+    return table.scan(["event_id", "value"])
+
+
+@query("select event_id, value, props as data from events")
+def schema_filter_transform(spark, sf_dir):
+    schema = Schema({"event_id": Kind.INT64, "value": Kind.FLOAT64, "user_id": Kind.STRING, "data": Kind.JSON})
+    return transform(source(spark, sf_dir, "events").transform(normalise), schema, [Computed("data", Kind.JSON, "props"), Computed("other", Kind.JSON, "props")])
+
+
+@query("select event_id, upper(event_type) as event_type, user_id * 2 as twice from events")
+def computed_override(spark, sf_dir):
+    computed = [Computed("event_type", Kind.STRING, "upper(event_type)"), Computed("twice", Kind.INT64, "user_id * 2")]
+    return transform(source(spark, sf_dir, "events").select("event_id", "event_type", "user_id").transform(normalise), None, computed).select("event_id", "event_type", "twice")
+
+
+@query("select event_id, user_id % 10 as last_digit from events")
+def computed_python(spark, sf_dir):
+    """A Python function of the rows, batch by batch."""
+    code = "python:tidemark.plans.samples:last_digit"
+    return transform(source(spark, sf_dir, "events").select("event_id", "user_id").transform(normalise), None, [Computed("last_digit", Kind.INT64, code)]).select("event_id", "last_digit")
+
+
+@query("select event_id, value from events where value > 100")
+def sink_filter(spark, sf_dir):
+    folder = work_folder(spark)
+    FileSink(filter="value > 100", encoder="parquet", directory=folder).write(source(spark, sf_dir, "events"))
+    return spark.read.parquet(folder).select("event_id", "value")
+
+
+@query("select event_id, value from events")
+def invalid_names_dropped(spark, sf_dir):
+    df = source(spark, sf_dir, "events").select("event_id", "value", F.lit(1).alias("/api/v1/"), F.lit(2).alias("15ffe3ca"))
+    return normalise(df)
+
+
+@query("select event_id, '{\"id\":' || event_id || ',\"user\":' || user_id || '}' as j from events")
+def nested_to_json(spark, sf_dir):
+    df = source(spark, sf_dir, "events").select("event_id", F.struct(F.col("event_id").alias("id"), F.col("user_id").alias("user")).alias("j"))
+    return normalise(df)
+
+
+@query("select event_id, '{\"user_id\":' || user_id || ',\"event_type\":\"' || event_type || '\"}' as data from events")
+def pack_into_json(spark, sf_dir):
+    return values.pack_others(source(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), ["event_id"])
+
+
+@query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
+def json_extract_k(spark, sf_dir):
+    return source(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+#: Texts that strict parsers take or refuse.
+TEXTS = ["1", "t", "TRUE", "y", "tRuE", "12", "+7", " 12 ", "12.5", "1.5d", "9999999999", "-1e3", "2018-01-01", "1985-04-12T23:20:50.00Z", ""]
+_TEXTS_SQL = ", ".join(f"({i}, '{t}')" for i, t in enumerate(TEXTS))
+
+
+@query(
+    f"""select id, case when v in ('1','t','T','TRUE','true','True') then true when v in ('0','f','F','FALSE','false','False') then false end as b,
+    case when regexp_full_match(v, '[+-]?[0-9]+') then try_cast(v as integer) end as i, case when regexp_full_match(v, '[+-]?[0-9]+') then try_cast(v as bigint) end as l,
+    case when regexp_full_match(v, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') then try_cast(v as double) end as d,
+    case when regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9:]{{8}}([.][0-9]+)?Z') then try_cast(replace(v, 'Z', '') as timestamp) end as ts
+    from (values {_TEXTS_SQL}) as x(id, v)"""
+)
+def parse_go_semantics(spark, sf_dir):
+    v = F.col("v")
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, v string")
+    return df.select("id", values.parse_bool(v).alias("b"), values.parse_int(v, Kind.INT32).alias("i"), values.parse_int(v, Kind.INT64).alias("l"), values.parse_float(v).alias("d"), values.parse_timestamp(v).cast("timestamp_ntz").alias("ts"))
+
+
+@query("select event_id, make_timestamp(epoch_us(ts) // 1000000 * 1000000) as s, make_timestamp(epoch_us(ts) // 1000 * 1000) as ms, ts as us, ts as ns from events")
+def epoch_unit_inference(spark, sf_dir):
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    df = source(spark, sf_dir, "events").select("event_id", micros.alias("us"))
+    whole = lambda by: F.floor(F.col("us").cast("decimal(20,0)") / by).cast("long")
+    df = df.select("event_id", whole(1_000_000).alias("s"), whole(1000).alias("ms"), "us", (F.col("us") * 1000).alias("ns"))
+    return df.select("event_id", *(values.from_epoch(F.col(c)).cast("timestamp_ntz").alias(c) for c in ("s", "ms", "us", "ns")))
+
+
+@query("select event_id, case when event_id % 2 = 0 then event_id::integer end as small from events")
+def narrowing(spark, sf_dir):
+    value = F.when(F.col("event_id") % 2 == 0, F.col("event_id")).otherwise(F.col("event_id") + F.lit(1 << 40))
+    return source(spark, sf_dir, "events").select("event_id", values.narrow(value).alias("small"))
+
+
+@query("select count(*) as n, sum(case when octet_length(event_type::blob) > 0 then 2 + 8 + 2 + 4 + octet_length(event_type::blob) end)::bigint as bytes from events")
+def size_estimate(spark, sf_dir):
+    df = source(spark, sf_dir, "events").select("event_id", "event_type")
+    return df.agg(F.count("*").alias("n"), F.sum(values.estimated_size(df)).alias("bytes"))
+
+
+@query("select event_id, 32 as digits, true as fresh from events")
+def identifier_generator(spark, sf_dir):
+    """A generated identifier for each row: its form and that none occurs twice."""
+    df = transform(source(spark, sf_dir, "events").select("event_id").transform(normalise), None, [Computed("id", Kind.STRING, "make://identifier"), Computed("now", Kind.TIMESTAMP, "make://timestamp")])
+    folder = work_folder(spark)
+    df.write.parquet(folder)
+    df = spark.read.parquet(folder)
+    once = df.groupBy("id").agg(F.count("*").alias("n"))
+    return df.join(once, "id").select("event_id", F.length("id").alias("digits"), ((F.col("n") == 1) & F.col("id").rlike("^[0-9a-f]{32}$") & (F.col("now") <= F.current_timestamp())).alias("fresh"))
+
+
+# ---------------------------------------------------------------- sources
+
+_EVENTS = "select event_id, user_id, event_type, value from events"
+
+
+@query(_EVENTS)
+def csv_source(spark, sf_dir):
+    folder = work_folder(spark)
+    source(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value").write.option("header", True).csv(folder)
+    return from_csv(spark, folder, Schema({"event_id": Kind.INT64, "user_id": Kind.INT64, "event_type": Kind.STRING, "value": Kind.FLOAT64}))
+
+
+@query("select event_id, '[' || event_id || ',' || user_id || ']' as pair from events")
+def orc_source(spark, sf_dir):
+    """Nested columns come as JSON; unsupported ones are dropped."""
+    folder = work_folder(spark)
+    source(spark, sf_dir, "events").select("event_id", F.array("event_id", "user_id").alias("pair"), F.lit(1).cast("byte").alias("byte1"), F.lit(b"x").alias("bytes1")).write.orc(folder)
+    return from_orc(spark, folder)
+
+
+@query("select event_id, user_id, event_type, value, props, ts from events")
+def parquet_source(spark, sf_dir):
+    return from_parquet(spark, f"{sf_dir}/events.parquet").withColumn("ts", ntz("ts"))
+
+
+@query(_EVENTS)
+def url_source(spark, sf_dir):
+    return from_url(spark, f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value")
+
+
+@query("select * from (values ('event1', 10, 20, null), ('event1', null, 20, null), ('event2', null, null, null), ('event3', 1234, 1585549847, '{\"name\": \"roman\"}')) as x(d, a, b, e)")
+def batch_source(spark, sf_dir):
+    """A client's events; a static schema parses what came as text."""
+    events = [{"d": "event1", "a": 10, "b": 20}, {"d": "event1", "b": 20}, {"d": "event2"}, {"d": "event3", "a": "1234", "b": 1585549847, "e": {"name": "roman"}}, {"a": 1}]
+    engine = Engine(spark, work_folder(spark))
+    engine.add_table("t", hash_by="d", sort_by="b", ttl=LONG, schema_text="{a: int32, b: int64, d: string, e: json}")
+    engine.ingest(events)
+    return engine.tables["t"].scan(["d", "a", "b", "e"])
+
+
+# ---------------------------------------------------------------- merging, compaction, sinks
+
+
+@query("select 'year=' || year(ts) || '/month=' || month(ts) || '/day=' || day(ts) as path, event_type, count(*) as n from events group by all")
+def compaction_path(spark, sf_dir):
+    """Compaction into folders by a name function."""
+    engine, folder = hot(spark, sf_dir), work_folder(spark)
+    name = "concat('year=', year(ts), '/month=', month(ts), '/day=', day(ts))"
+    Compactor(engine.tables["eventlog"], FileSink(encoder="parquet", directory=folder), name_func=name).compact()
+    return spark.read.parquet(folder).groupBy(F.col("name").alias("path"), "event_type").agg(F.count("*").alias("n"))
+
+
+@query("select event_id, user_id, value from events")
+def compaction(spark, sf_dir):
+    """After compaction the rows are in the sink, and no longer in the hot table."""
+    engine, folder = hot(spark, sf_dir), work_folder(spark)
+    table = engine.tables["eventlog"]
+    Compactor(table, MultiSink(sinks=[FileSink(directory=folder), NoopSink()])).compact()
+    return spark.read.orc(folder).select("event_id", "user_id", "value").union(table.scan(["event_id", "user_id", "value"]))
+
+
+def _round_trip(spark: SparkSession, sf_dir: str, encoder: str) -> DataFrame:
+    folder = work_folder(spark)
+    events = source(spark, sf_dir, "events").drop("ts").transform(normalise)
+    merged = merge([events.where("event_type = 'view'").drop("value"), events.where("event_type != 'view'")])
+    write_encoded(merged, folder, encoder)
+    return spark.read.format("orc" if encoder == "orc" else "parquet").load(folder).select("event_id", "user_id", "event_type", "value")
+
+
+_MERGED = "select event_id, user_id, event_type, case when event_type != 'view' then value end as value from events"
+
+
+@query(_MERGED)
+def orc_merge_roundtrip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "orc")
+
+
+@query(_MERGED)
+def parquet_merge_roundtrip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "parquet")
+
+
+@query(_MERGED)
+def block_merge_roundtrip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "block")
+
+
+@query("select event_id, '{\"Values\":{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"},\"Schema\":{\"event_id\":\"BIGINT\",\"event_type\":\"VARCHAR\"}}' as row from events")
+def row_json(spark, sf_dir):
+    df = source(spark, sf_dir, "events").select("event_id", "event_type")
+    return df.select("event_id", values.row_json(df).alias("row"))
+
+
+@query("select event_id, value from events where value > 250")
+def peer_sink(spark, sf_dir):
+    """A second engine as the sink of the first, with a filter."""
+    first, second = hot(spark, sf_dir), Engine(spark, work_folder(spark))
+    second.add_table("eventlog", hash_by="event_type", sort_by="ts", ttl=LONG)
+    table = first.tables["eventlog"]
+    PeerSink(filter="value > 250", ingest=second.ingest).write(table.frame())
+    return second.tables["eventlog"].scan(["event_id", "value"])
+
+
+@query("select event_id, value from events where value > 400")
+def row_filter(spark, sf_dir):
+    return keep(source(spark, sf_dir, "events"), "value > 400").select("event_id", "value")
+
+
+# ---------------------------------------------------------------- streaming
+
+
+@query("select event_id, user_id, value from events where event_type = 'signup'")
+def stream_ingest_scan(spark, sf_dir):
+    """Files that a stream finds, appended to a table batch by batch."""
+    folder = work_folder(spark)
+    engine = Engine(spark, f"{folder}/hot")
+    engine.add_table("eventlog", hash_by="event_type", sort_by="ts", ttl=LONG)
+    events = source(spark, sf_dir, "events")
+    events.repartition(3).write.parquet(f"{folder}/in")
+    ingest_stream(engine, file_stream(spark, f"{folder}/in", events.schema, "parquet", 2), f"{folder}/checkpoint").awaitTermination()
+    return engine.scan("eventlog", ["event_id", "user_id", "value"], ["event_type == 'signup'"])
+
+
+@query("select event_id, event_type, value from events where event_type in ('error', 'view')")
+def stream_messages(spark, sf_dir):
+    """Messages with JSON arrays of events, routed to a table by their subject."""
+    folder = work_folder(spark)
+    engine = Engine(spark, f"{folder}/hot")
+    engine.add_table("eventlog", hash_by="event_type", sort_by="event_id", ttl=LONG, schema_text="{event_id: int64, event_type: string, value: double}")
+    events = source(spark, sf_dir, "events").groupBy("event_type", F.floor(F.col("event_id") / 50).alias("m"))
+    messages = events.agg(F.to_json(F.collect_list(F.struct("event_id", "event_type", "value"))).alias("value")).select(F.concat(F.lit("event."), "event_type").alias("subject"), "value")
+    messages.write.parquet(f"{folder}/in")
+    stream = file_stream(spark, f"{folder}/in", messages.schema, "parquet")
+    ingest_messages(engine, stream, {"event.error": "eventlog", "event.view": "eventlog"}, f"{folder}/checkpoint").awaitTermination()
+    return engine.tables["eventlog"].scan(["event_id", "event_type", "value"])
+
+
+@query("select event_type, count(*) as n from events group by event_type")
+def stream_publish(spark, sf_dir):
+    """Rows published to a stream as they are ingested; a failing stream holds nothing up."""
+    got: list[DataFrame] = []
+    failing = PeerSink(ingest=None)
+    sink = PeerSink(ingest=got.append)
+    sink.stream = sink.write
+    hot(spark, sf_dir, streams=[failing, sink])
+    return got[0].groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- metadata
+
+
+@query("select * from (values ('event_id', 'BIGINT'), ('event_type', 'VARCHAR'), ('props', 'VARCHAR'), ('ts', 'TIMESTAMP'), ('user_id', 'BIGINT'), ('value', 'DOUBLE')) as x(\"column\", type)")
+def describe_table(spark, sf_dir):
+    return hot(spark, sf_dir).describe_table("eventlog").select("column", "type")
+
+
+@query("select * from (values ('eventlog'), ('logs'), ('nodes')) as x(\"table\")")
+def list_tables(spark, sf_dir):
+    return hot(spark, sf_dir).list_tables().select("table")
+
+
+@query("select * from (values ('data')) as x(schema)")
+def list_schemas(spark, sf_dir):
+    return Engine(spark, work_folder(spark)).schemas()
+
+
+@query()
+def nodes(spark, sf_dir):
+    return Engine(spark, work_folder(spark)).nodes()
+
+
+@query()
+def logs(spark, sf_dir):
+    engine = Engine(spark, work_folder(spark))
+    engine.log.append("ready")
+    return engine.log.frame()
+
+
+@query("select * from (values " + ", ".join(f"('{a}', '{k.sql}')" for k, names in ALIASES.items() for a in names) + ") as x(alias, type)")
+def type_names(spark, sf_dir):
+    return spark.createDataFrame([(a, k.sql) for k, names in ALIASES.items() for a in names], "alias string, type string")
+
+
+# ---------------------------------------------------------------- SQL over hot tables: what the query layer above the scans offers
+
+
+def sql(name: str, text: str, oracle: str | None = None) -> None:
+    """The same SQL over views: the hot table eventlog, and the other tables as they are."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        hot(spark, sf_dir).tables["eventlog"].scan(["event_id", "ts", "user_id", "event_type", "value"]).withColumn("ts", ntz("ts")).createOrReplaceTempView("events")
+        for other in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+            source(spark, sf_dir, other).createOrReplaceTempView(other)
+        return spark.sql(text)
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLES[name] = oracle or text
+
+
+sql("sql_tumbling_window", "select date_trunc('hour', ts) as h, event_type, count(*) as n from events group by 1, 2")
+sql("sql_rollup", "select event_type, user_id % 2 as parity, count(*) as n from events group by rollup(event_type, user_id % 2)")
+sql("sql_cube", "select event_type, user_id % 3 as third, count(*) as n from events group by cube(event_type, user_id % 3)")
+sql("sql_grouping_sets", "select event_type, user_id % 3 as third, count(*) as n from events group by grouping sets ((event_type), (user_id % 3))")
+sql("sql_topk", "select event_id, value from events order by value desc, event_id limit 10")
+sql("sql_semi_join", "select c_custkey from customer left semi join (select * from orders where o_totalprice > 300000) o on c_custkey = o_custkey", "select c_custkey from customer semi join (select * from orders where o_totalprice > 300000) o on c_custkey = o_custkey")
+sql("sql_anti_join", "select c_custkey from customer left anti join orders on c_custkey = o_custkey", "select c_custkey from customer anti join orders on c_custkey = o_custkey")
+sql("sql_row_number", "select event_id, row_number() over (partition by user_id order by ts, event_id) as rn from events")
+sql("sql_rank_lag", "select event_id, dense_rank() over (partition by event_type order by user_id) as r, lag(event_id) over (partition by user_id order by ts, event_id) as before from events")
+sql("sql_frame", "select event_id, count(*) over (partition by user_id order by ts, event_id rows between 3 preceding and current row) as n from events")
+sql("sql_asof_by_id", "select p.event_id, max(c.event_id) as click_id from events p left join events c on c.user_id = p.user_id and c.event_type = 'click' and c.event_id < p.event_id where p.event_type = 'purchase' group by p.event_id")
+sql("sql_range_join", "select a.event_id as a, b.event_id as b from events a join events b on a.user_id = b.user_id and b.event_type = 'purchase' and b.ts > a.ts and b.ts <= a.ts + interval 1 hour where a.event_type = 'click'")
+sql("sql_join_agg", "select n_name, count(*) as orders from customer join orders on o_custkey = c_custkey join nation on n_nationkey = c_nationkey group by n_name")
+sql("sql_outer_join", "select n_name, count(s_suppkey) as suppliers from nation left join supplier on s_nationkey = n_nationkey group by n_name")
+sql("sql_distinct_agg", "select event_type, count(distinct user_id) as users from events group by event_type")
+sql("sql_union", "select user_id from events where event_type = 'click' union select user_id from events where event_type = 'view'")
+sql("sql_intersect", "select user_id from events where event_type = 'error' intersect select user_id from events where event_type = 'purchase'")
+sql("sql_except", "select c_custkey from customer except select o_custkey from orders")
+sql("sql_having", "select user_id, count(*) as n from events group by user_id having count(*) > 60")
+sql("sql_scalar_subquery", "select event_id from events where value > (select avg(value) from events)")
+sql("sql_correlated_exists", "select c_custkey from customer c where exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_orderstatus = 'F')")
+sql("sql_cte", "with busy as (select user_id, count(*) as n from events group by user_id) select n, count(*) as users from busy group by n")
+_PRICING = "select l_returnflag, l_linestatus, count(*) as n, cast(sum(cast(l_quantity as bigint)) as bigint) as quantity from lineitem where l_shipdate <= {} '1998-09-02 00:00:00' group by l_returnflag, l_linestatus"
+sql("sql_pricing_summary", _PRICING.format("timestamp_ntz"), _PRICING.format("timestamp"))
+
+
+@query("with e as (select *, ts - lag(ts) over (partition by user_id order by ts) > interval 6 hour as gap from events), s as (select user_id, sum(case when gap then 1 else 0 end) over (partition by user_id order by ts) as i from e) select user_id, count(distinct i) as sessions, count(*) as events from s group by user_id")
+def sql_session_window(spark, sf_dir):
+    df = source(spark, sf_dir, "events")
+    own = df.groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), "21600.000001 seconds")).agg(F.count("*").alias("n"))
+    return own.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
+
+
+@query("select window_start, event_type, count(*) as n from (select event_type, unnest([time_bucket(interval 30 minute, ts) - interval 30 minute, time_bucket(interval 30 minute, ts)]) as window_start from events) group by all")
+def sliding_window(spark, sf_dir):
+    """Windows of an hour, every half hour."""
+    df = source(spark, sf_dir, "events").groupBy("event_type", F.window(F.col("ts").cast("timestamp"), "1 hour", "30 minutes")).agg(F.count("*").alias("n"))
+    return df.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+@query("select event_id, first_value(event_id) over (partition by event_type order by ts, event_id) as first_id from events")
+def first_of_key(spark, sf_dir):
+    return source(spark, sf_dir, "events").select("event_id", F.first("event_id").over(Window.partitionBy("event_type").orderBy("ts", "event_id")).alias("first_id"))
+
+
+@query("select event_id, null::double as missing from events where event_type = 'view'")
+def unknown_column_backfill(spark, sf_dir):
+    """Asked for a column that rows lack: null, and no row lost."""
+    return backfill(source(spark, sf_dir, "events").where("event_type = 'view'").transform(normalise), Schema({"event_id": Kind.INT64, "missing": Kind.FLOAT64}))
+
+
+@query("select count(*) as n from events")
+def events_list(spark, sf_dir):
+    """Rows through the client's encoder."""
+    rows = [r.asDict() for r in source(spark, sf_dir, "events").drop("ts").toLocalIterator()]
+    return from_events(spark, rows).agg(F.count("*").alias("n"))
