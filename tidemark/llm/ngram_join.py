@@ -30,6 +30,8 @@ NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
 ROWS = 4
 #: Classes of a hub in one block.
 BLOCK = 512
+#: Keys among which a large hub's rows are dealt when its size is looked up.
+SALTS = 32
 #: Columns of an incidence matrix at a time.
 COLUMNS = 8192
 
@@ -220,15 +222,18 @@ def ngram_join(df: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     signed = cut(sign(docs, bands, rows))
     classes = cut(signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")))
     dealt = classes.select("rep", F.explode("bands").alias("bucket"))
-    buckets = dealt.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1").select("bucket", "pivot")
+    buckets = cut(dealt.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1").select("bucket", "pivot"))
     spokes = cut(dealt.join(buckets, "bucket").select("rep", "pivot").distinct())
     pivots = spokes.groupBy("rep").agg(F.sort_array(F.collect_list("pivot")).alias("pivots"))  # one for each band at most
-    sizes = spokes.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    # only hubs of several blocks are looked up, each under SALTS keys, so that a large hub's rows meet in no one task
+    sizes = spokes.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).where("blocks > 1")
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     wanted = cut(pivots.join(classes.select("rep", "n"), "rep").select("rep", "n", "pivots"))
     texts = docs.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi")
     sets = full_sets(texts).groupBy("id").agg(F.max("grams").alias("grams"))
     members = cut(wanted.join(sets, wanted["rep"] == sets["id"]).drop("id"))
-    placed = members.select("rep", "n", "pivots", "grams", F.explode("pivots").alias("pivot")).join(sizes, "pivot")
+    placed = members.select("rep", "n", "pivots", "grams", F.explode("pivots").alias("pivot"))
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64(F.lit(5), "rep"), F.lit(SALTS)).cast("int")).join(sizes, ["pivot", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "pivot",
