@@ -48,7 +48,8 @@ class Compactor:
         """Live rows of all batches now present, and these batches' ids."""
         stored = self.table._stored()
         now = int(self.table.clock())
-        live = [b for _, expiry, b in self.table._batches() if expiry > now]
+        dropped = self.table._dropped()
+        live = [b for _, expiry, b in self.table._batches() if expiry > now and b not in dropped]
         if not live:
             return None, []
         frames = [df.where((F.col(EXPIRES) > now) & F.col(BATCH).isin(live)).drop(EXPIRES, BATCH, PART) for _, df in stored]

@@ -2,7 +2,8 @@
 
 Layout: <root>/<table>/schema=<n>/_expires_at=<epoch seconds>/_batch=<id>/_part=<value>/*.parquet. Every batch
 keeps the schema it came with; a schema has a number and a JSON file. All files of a batch expire together, so expiry prunes
-and drops whole folders. _part is the hash value, or a bucket of it where a table is made with buckets, for keys of many values.
+and drops whole folders. Batches are dropped by one file that lists them, so all of them leave new scans at once; their files go
+in a later purge, when scans that began before have ended. _part is the hash value, or a bucket of it where a table is made with buckets, for keys of many values.
 Rows are sorted by hash and time within files, so that Parquet's statistics prune time ranges.
 """
 
@@ -29,6 +30,8 @@ from tidemark.sources.readers import find_column
 HASH_BY, SORT_BY, TTL = "event", "tsi", 3600
 #: Columns that the table adds.
 INGESTED, EXPIRES, BATCH, PART = "_ingested_at", "_expires_at", "_batch", "_part"
+#: Seconds that files of dropped and expired batches stay for scans that are under way.
+GRACE = 600
 #: Seconds between looks at a schema that is kept at an address.
 SCHEMA_CHECK = 300
 
@@ -45,6 +48,7 @@ class TimeSeriesTable:
     computed: list[Computed] = field(default_factory=list)
     streams: list = field(default_factory=list)
     buckets: int = 0
+    grace: int = GRACE
     clock: Callable[[], float] = time.time
     _lock: threading.Lock = field(default_factory=threading.Lock, repr=False)
     _static: tuple[float, Schema | None] = (float("-inf"), None)
@@ -139,12 +143,13 @@ class TimeSeriesTable:
 
     def _stored(self) -> list[tuple[Schema, DataFrame]]:
         out = []
-        schemas = self._schemas()
+        schemas, dropped = self._schemas(), self._dropped()
         for folder in files.children(self.spark, self.path):
             if folder.startswith("schema=") and any(c.startswith(EXPIRES) for c in files.children(self.spark, f"{self.path}/{folder}")):
                 schema = schemas[int(folder.removeprefix("schema="))]
                 fields = schema.to_spark().add(INGESTED, "timestamp").add(EXPIRES, "long").add(BATCH, "string").add(PART, "string")
-                out.append((schema, self.spark.read.schema(fields).parquet(f"{self.path}/{folder}")))
+                df = self.spark.read.schema(fields).parquet(f"{self.path}/{folder}")
+                out.append((schema, df.where(~F.col(BATCH).isin(sorted(dropped))) if dropped else df))
         return out
 
     def scan(self, columns: Iterable[str] | None = None, hashes: Iterable | None = None, times: Iterable[tuple] = (), where: Column | None = None) -> DataFrame:
@@ -208,11 +213,26 @@ class TimeSeriesTable:
                         out += [(f"{at}/{b}", int(expiry.partition("=")[2]), b.partition("=")[2]) for b in files.children(self.spark, at) if b.startswith(f"{BATCH}=")]
         return out
 
+    def _dropped(self, before: float = float("inf")) -> set[str]:
+        """Batches dropped, before a time if one is given."""
+        out: set[str] = set()
+        for name in files.children(self.spark, f"{self.path}/_dropped"):
+            entry = json.loads(files.read_text(self.spark, f"{self.path}/_dropped/{name}") or "{}") if name.endswith(".json") else {}
+            if entry and entry["at"] < before:
+                out.update(entry["batches"])
+        return out
+
     def purge(self) -> int:
-        """Drop the folders of expired batches; how many."""
-        gone = [path for path, expiry, _ in self._batches() if expiry <= self.clock()]
+        """Delete the folders of batches that expired or were dropped a while ago; how many."""
+        before = self.clock() - self.grace
+        dropped = self._dropped(before)
+        gone = [path for path, expiry, batch in self._batches() if expiry <= before or batch in dropped]
         for path in gone:
             files.delete(self.spark, path)
+        for name in files.children(self.spark, f"{self.path}/_dropped"):
+            text = files.read_text(self.spark, f"{self.path}/_dropped/{name}")
+            if text and json.loads(text)["at"] < before:
+                files.delete(self.spark, f"{self.path}/_dropped/{name}")
         for folder in files.children(self.spark, self.path):
             for expiry in files.children(self.spark, f"{self.path}/{folder}") if folder.startswith("schema=") else []:
                 if expiry.startswith(f"{EXPIRES}=") and not files.children(self.spark, f"{self.path}/{folder}/{expiry}"):
@@ -220,10 +240,10 @@ class TimeSeriesTable:
         return len(gone)
 
     def delete_batches(self, batches: Iterable[str]) -> int:
-        wanted = set(batches)
-        gone = [path for path, _, b in self._batches() if b in wanted]
-        for path in gone:
-            files.delete(self.spark, path)
+        """Drop batches from all later scans, all at once; how many."""
+        gone = sorted({b for _, _, b in self._batches()} & set(batches))
+        if gone:
+            files.write_text(self.spark, f"{self.path}/_dropped/{uuid.uuid4().hex}.json", json.dumps({"at": self.clock(), "batches": gone}))
         return len(gone)
 
     def delete_hashes(self, values: Iterable) -> int:
