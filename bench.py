@@ -80,7 +80,7 @@ def main() -> None:
     out["stream_ingest"] = timed(stream, 3)
     for name in SQL:
         out[name] = timed(lambda name=name: drain(catalogue.QUERIES[name](spark, SF_DIR)), 3)
-    if importlib.util.find_spec("tidemark.llm.catalogue") if importlib.util.find_spec("tidemark.llm") else None:
+    if importlib.util.find_spec("tidemark.llm"):
         from tidemark.llm.catalogue import QUERIES
 
         for name, query in QUERIES.items():

@@ -47,7 +47,7 @@ def test_names_and_conversion():
 def test_spark_schema_round_trip():
     schema = Schema({"a": Kind.JSON, "b": Kind.STRING, "t": Kind.TIMESTAMP})
     assert schema_of(schema.to_spark()) == schema
-    assert schema_of(T.StructType().add("/x", "int").add("d", "date").add("ok", "long")) == {"ok": Kind.INT64}
+    assert schema_of(T.StructType().add("/x", T.IntegerType()).add("d", T.DateType()).add("ok", T.LongType())) == {"ok": Kind.INT64}
 
 
 def one(spark, column):
