@@ -30,7 +30,9 @@ from tidemark.llm.common import map_arrow, small_batches, table, text_of
 #: Common insults, in the parts that vote separately.
 SEEDS = ("idiot moron stupid imbecile dumb".split(), "scum trash worthless garbage vermin".split(), "loser pathetic disgusting clown hate".split())
 #: Labelled rows that train at most, on average.
-SAMPLE = 8_000
+SAMPLE = 6_000
+#: Entries of the training matrix handled at a time.
+PART = 500_000
 #: Bits of a feature's hash; lengths of word beginnings that are features.
 BITS, STARTS = 22, (3, 4, 5, 6, 7)
 #: Documents in the sample in which a feature occurs at least.
@@ -40,6 +42,8 @@ LIST_SIZE, LISTS = 40, 3
 #: Chi-square that a feature's split of the posterior labels reaches at least.
 TELLING = 25.0
 THRESHOLD = 0.7
+#: Chances that the annotator calls a toxic and a clean text toxic.
+TRUST = (0.97, 0.01)
 #: Words kept in a worker's cache.
 CACHE_WORDS = 500_000
 
@@ -81,10 +85,12 @@ def default_model() -> Model:
     return Model({f: 6.0 for part in range(len(SEEDS)) for f in seed_features(part)}, -3.0)
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30, trust: tuple[float, float] = TRUST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior chance of toxic for each row of votes (-1, 0, 1); chances of each vote by class; correlations.
 
-    start: first guess of the posterior. Correlated voters' log odds are divided by how many they amount to."""
+    start: first guess of the posterior. trust: chances that the first voter, the annotator, votes toxic on toxic and on clean rows,
+    which are given, so that voters who agree on something else than the class don't carry it away. Correlated voters'
+    log odds are divided by how many they amount to."""
     n, m = votes.shape
     shown = np.stack([(votes == v).astype(np.float64) for v in (-1, 0, 1)])  # vote, row, voter
     posterior, share, correlation = start.copy(), np.ones(m), np.eye(m)
@@ -92,8 +98,9 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple
     for i in range(rounds):
         for c, w in enumerate((1 - posterior, posterior)):
             chances[c] = (np.einsum("r,vrm->vm", w, shown) + 0.5) / (w.sum() + 1.5)
+            chances[c][:, 0] = (1 - trust[1 - c], 1e-3, trust[1 - c])
         prior = np.clip(posterior.mean(), 1e-3, 1 - 1e-3)
-        if i % 5 == 4:  # what is common to two voters beyond the class
+        if i % 5 == 0:  # what is common to two voters beyond the class; from the start, lest copies outvote the rest
             rest = np.zeros((m, m))
             for c, w in enumerate((1 - posterior, posterior)):
                 x = votes - (chances[c][2] - chances[c][0])
@@ -111,8 +118,10 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple
 def _telling(rows: np.ndarray, cols: np.ndarray, n_cols: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Chi-square and log odds of each feature against soft labels."""
     n, on = len(y), y.sum()
-    df = np.bincount(cols, minlength=n_cols).astype(np.float64)
-    hits = np.bincount(cols, weights=y[rows], minlength=n_cols)
+    df, hits = np.zeros(n_cols), np.zeros(n_cols)
+    for i in range(0, len(rows), PART):
+        df += np.bincount(cols[i : i + PART], minlength=n_cols)
+        hits += np.bincount(cols[i : i + PART], weights=y[rows[i : i + PART]], minlength=n_cols)
     expected = df * on / n
     chi = (hits - expected) ** 2 / np.maximum(expected * (1 - on / n) * (1 - df / n), 1e-9)
     odds = np.log((hits + 0.5) / (on + 1)) - np.log((df - hits + 0.5) / (n - on + 1))
@@ -124,16 +133,20 @@ def fit(labels: np.ndarray, ids: np.ndarray, found: list[np.ndarray], times: lis
     n = len(labels)
     if n < 20 or labels.min() == labels.max():
         return default_model()
-    rows = np.repeat(np.arange(n, dtype=np.int32), list(map(len, found)))
-    value = np.log2(1 + np.concatenate(times).astype(np.float32))
-    flat = np.concatenate(found)
-    names, cols, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = counts >= min(LEAST, max(1, n // 50))
     seeds = [seed_features(part) for part in range(len(SEEDS))]
-    keep |= np.isin(names, np.concatenate(seeds))
-    names, new = names[keep], np.cumsum(keep) - 1
-    often = keep[cols]
-    rows, value, cols = rows[often], value[often], new[cols[often]].astype(np.int32)
+    counts = np.zeros(1 << BITS, np.int32)
+    for own in found:
+        counts[own] += 1
+    keep = counts >= min(LEAST, max(1, n // 50))
+    keep[np.concatenate(seeds)] |= counts[np.concatenate(seeds)] > 0
+    names = np.flatnonzero(keep)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[names] = np.arange(len(names), dtype=np.int32)
+    chosen = [keep[own] for own in found]
+    rows = np.repeat(np.arange(n, dtype=np.int32), [int(c.sum()) for c in chosen])
+    cols = np.concatenate([place[own[c]] for own, c in zip(found, chosen, strict=True)])
+    value = np.concatenate([np.log2(1 + own[c].astype(np.float32)) for own, c in zip(times, chosen, strict=True)])
+    del chosen, place, counts
     # voters: seed lists, and lists induced from one half of the rows
     half = ids % 2 == 0
     chi, odds = _telling(rows[half[rows]], cols[half[rows]], len(names), np.where(half, labels, 0).astype(np.float64))
@@ -142,7 +155,9 @@ def fit(labels: np.ndarray, ids: np.ndarray, found: list[np.ndarray], times: lis
     member = np.zeros((len(lists), len(names)), bool)
     for k, own in enumerate(lists):
         member[k, own] = True
-    hits = np.stack([np.bincount(rows, weights=member[k][cols], minlength=n) > 0 for k in range(len(lists))], 1)
+    hits = np.zeros((n, len(lists)), bool)
+    for k in range(len(lists)):
+        hits[rows[member[k][cols]], k] = True
     votes = np.concatenate([np.where(labels > 0, 1, -1)[:, None], np.where(hits, 1, 0), np.where(hits.any(1), 0, -1)[:, None], patterns], 1)
     posterior, chances, correlation = label_model(votes, np.where(labels > 0, 0.95, 0.05))
     # the linear classifier
