@@ -260,3 +260,14 @@ def ngram_join(df: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document."""
     return ngram_join(table(spark, sf_dir, "documents"))
+
+
+ORACLE_OP5 = r"""
+with recursive w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select distinct doc_id, unnest(case when len(w) >= 5 then [array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)] when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w),
+n as (select doc_id, count(*) as n from g group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as m from g a join g b using (g) where a.doc_id <> b.doc_id group by 1, 2),
+l as materialized (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where m >= 0.8 * (x.n + y.n - m) - 1e-9),
+r as (select doc_id as d, doc_id as root from documents union select l.b, r.root from r join l on l.a = r.d)
+select d as doc_id, min(root) as class_id, (select count(*) from l where l.a = d) as n_links from r group by d
+"""
