@@ -8,10 +8,11 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.config import from_env, parse
+from tidemark.config import Store, from_env, parse
 from tidemark.functions.schema import Schema
 from tidemark.functions.scripting import Computed, Stats, hardware_address
 from tidemark.functions.types import Kind
+from tidemark.functions.values import row_hash
 from tidemark.operators.compact import Compactor
 from tidemark.operators.engine import Engine
 from tidemark.operators.scan import FilterError, epoch_seconds, pages, parse_filters, time_range
@@ -255,6 +256,35 @@ def test_stats(spark):
     assert stats.get() == {"n": 5, "top": 4}
 
 
+def test_order_and_file_sizes(engine, spark):
+    table = engine.add_table("t", hash_by="k", sort_by="s", rows_per_file=4)
+    table.append(spark.range(20).select((F.col("id") % 2).cast("string").alias("k"), (20 - F.col("id")).alias("s")))
+    assert [tuple(r) for r in table.in_order(["k", "s"]).collect()] == sorted(((str(i % 2), 20 - i) for i in range(20)))
+    assert len(table.frame().inputFiles()) == 6
+
+
+def test_row_hash(spark):
+    a = spark.createDataFrame([(1, "x"), (1, None)], "a long, b string")
+    hashes = [r[0] for r in a.select(row_hash(a)).collect()]
+    b = a.select("b", "a")
+    assert hashes == [r[0] for r in b.select(row_hash(b)).collect()] and len(set(hashes)) == 2
+
+
+def test_config_store():
+    texts = {"s3://c": "env: remote"}
+    store = Store("TM", texts.get, {"TM_URI": "s3://c", "TM_ENV": "local", "TM_DOMAIN": "d"})
+    assert (store.value.env, store.value.domain) == ("remote", "d")
+    changed = []
+    stop = store.watch(0.05, changed.append)
+    texts["s3://c"] = "env: later"
+    for _ in range(100):
+        if changed and changed[-1].env == "later":
+            break
+        time.sleep(0.05)
+    stop()
+    assert store.value.env == "later"
+
+
 def test_config(spark, tmp_path):
     text = f"""
 storage: {{dir: {tmp_path}}}

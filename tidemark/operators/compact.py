@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.schema import Schema
 from tidemark.functions.scripting import expression, log
 from tidemark.functions.types import Kind
 from tidemark.operators.sinks import MultiSink, Sink
@@ -72,6 +73,12 @@ class Compactor:
         self.sink.write(named, folders)
         return self.table.delete_batches(batches)
 
+    def everything(self, columns: list[str], read: Callable[[], DataFrame]) -> DataFrame:
+        """Hot rows, and those already compacted, which read() gives; null where either lacks a column."""
+        known = self.table.union_schema()
+        asked = Schema({c: known[c] for c in columns})
+        return merge([self.table.scan(columns), read()], asked).select(*columns)
+
     def start(self) -> None:
         """Compact every interval until close()."""
 

@@ -49,6 +49,7 @@ class TimeSeriesTable:
     streams: list = field(default_factory=list)
     buckets: int = 0
     grace: int = GRACE
+    rows_per_file: int = 0
     clock: Callable[[], float] = time.time
     _lock: threading.Lock = field(default_factory=threading.Lock, repr=False)
     _static: tuple[float, Schema | None] = (float("-inf"), None)
@@ -131,7 +132,7 @@ class TimeSeriesTable:
         out = rows.withColumns({INGESTED: F.timestamp_micros(F.lit(int(now * 1e6))), EXPIRES: F.lit(int(now) + self.ttl), BATCH: F.lit(batch), PART: part})
         # rebalancing gathers a value's rows without putting a frequent value into one task
         out = out.hint("rebalance", F.col(PART)).sortWithinPartitions(PART, *order)
-        out.write.mode("append").partitionBy(EXPIRES, BATCH, PART).parquet(f"{self.path}/schema={number}")
+        out.write.mode("append").option("maxRecordsPerFile", self.rows_per_file).partitionBy(EXPIRES, BATCH, PART).parquet(f"{self.path}/schema={number}")
         with self._lock:
             files.write_text(self.spark, f"{self.path}/_latest", str(number))
         return batch
@@ -186,6 +187,12 @@ class TimeSeriesTable:
             return self.spark.createDataFrame([], asked.to_spark()).select(*wanted)
         return merge(frames, asked).select(*wanted)
 
+    def in_order(self, columns: Iterable[str], hashes: Iterable | None = None, times: Iterable[tuple] = ()) -> DataFrame:
+        """A scan in the order of keys: by hash value, then by time."""
+        columns = list(columns)
+        order = [c for c in (self.hash_by, self.sort_by) if c]
+        return self.scan(dict.fromkeys([*columns, *order]), hashes, times).orderBy(*order).select(*columns)
+
     def frame(self) -> DataFrame:
         """All live rows under the union of all schemas."""
         return self.scan(self.union_schema().columns())

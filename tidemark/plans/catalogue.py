@@ -6,9 +6,12 @@ queried; the SQL reads the source tables. Timestamps are compared without a zone
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +47,17 @@ def query(sql: str | None = None):
     return add
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    """For sessions without a shared folder, as in tests; gone when Python ends."""
+    folder = tempfile.mkdtemp(prefix="tidemark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def work_folder(spark: SparkSession) -> str:
     """A new folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
@@ -156,6 +167,24 @@ def delete_keys(spark, sf_dir):
     return table.scan(["event_id"])
 
 
+@query("select event_id, event_type from events where event_type >= 'purchase'")
+def ordered_range(spark, sf_dir):
+    """Rows in the order of keys."""
+    return hot(spark, sf_dir).tables["eventlog"].in_order(["event_id", "event_type"], ["purchase", "signup", "view"])
+
+
+@query("select event_id, event_type, value from events")
+def hot_and_compacted(spark, sf_dir):
+    """Compacted rows, together with those that came later."""
+    engine, folder = hot(spark, sf_dir), work_folder(spark)
+    table = engine.tables["eventlog"]
+    table.delete_hashes(["view"])
+    compactor = Compactor(table, FileSink(directory=folder))
+    compactor.compact()
+    engine.ingest(source(spark, sf_dir, "events").where("event_type = 'view'").transform(normalise))
+    return compactor.everything(["event_id", "event_type", "value"], lambda: from_orc(spark, folder))
+
+
 # ---------------------------------------------------------------- schemas and transformations
 
 
