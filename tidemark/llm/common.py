@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -43,9 +46,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
-        import tempfile
-
         shared = tempfile.mkdtemp(prefix="tidemark-checkpoints-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared)
     return shared

@@ -11,8 +11,6 @@ text) have the same spans. An empty table gives an empty result. Other columns a
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
