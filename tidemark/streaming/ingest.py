@@ -24,6 +24,12 @@ def file_stream(spark: SparkSession, directory: str, schema: T.StructType, form:
     return spark.readStream.schema(schema).options(maxFilesPerTrigger=files_per_batch, **options).format(form).load(directory)
 
 
+def kafka_messages(spark: SparkSession, servers: str, topics: str, **options: str) -> DataFrame:
+    """Messages (subject, value) of topics, for ingest_messages(); needs Spark's Kafka connector on the class path."""
+    raw = spark.readStream.format("kafka").options(**{"kafka.bootstrap.servers": servers, "subscribe": topics, **options}).load()
+    return raw.select(F.col("topic").alias("subject"), F.col("value").cast("string").alias("value"))
+
+
 def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None) -> StreamingQuery:
     """Run for good every interval, or over all that is there now."""
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
