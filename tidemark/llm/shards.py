@@ -1,8 +1,8 @@
 """Sharding by balanced label propagation: linked documents gather in shards of exactly even numbers of rows.
 
 Documents with equal texts are linked. Each document starts in a shard by its id's hash. Then, round by round, the
-members that a group has in one shard move together to the shard where most of the group is and where there is room;
-room is granted by gain, so a shard never holds more linked documents than its share. At the end, shards with more rows
+members that a group has in one shard move together to the shard where most of the group is and where there is room
+for them, small moves first, so a shard never holds more linked documents than its share. At the end, shards with more rows
 than their share give unlinked documents first to shards with fewer, so that the numbers of rows differ by one at most.
 
 State is kept by group and first shard, at most one row for each shard and group, so that a group of any size is spread.
@@ -22,7 +22,7 @@ from tidemark.llm.common import cut, table, text_of
 SHARDS = 40
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 16
-ROUNDS = 3
+ROUNDS = 6
 #: Buckets in which ranks are taken, for each shard: by group, by id, and unlinked ones apart.
 GROUP_BUCKETS, ID_BUCKETS = 32, 8
 
@@ -32,12 +32,16 @@ def _gather(cells: DataFrame, share: int, shards: int) -> DataFrame:
     load = cells.groupBy("shard").agg(F.sum("n").alias("load"))
     room = F.broadcast(cells.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard")).join(load, "shard", "left").select("shard", (F.lit(share) - F.coalesce("load", F.lit(0))).alias("room")))  # one row for each shard
     votes = cells.groupBy("group", "shard").agg(F.sum("n").alias("votes")).join(room, "shard")
-    order = F.struct("votes", F.xxhash64("group", "shard").alias("tie"), "shard")
-    best = votes.where("room > 0").groupBy("group").agg(F.max(order).alias("best")).select("group", "best.shard", "best.votes").toDF("group", "to", "to_votes")
-    wish = cells.join(best, "group", "left").join(votes.select("group", "shard", "votes"), ["group", "shard"])
-    moves = wish.where("to is not null and to != shard and (to_votes > votes or (to_votes = votes and xxhash64(group, to) > xxhash64(group, shard)))")
-    by_gain = Window.partitionBy("to").orderBy(F.desc(F.col("to_votes") - F.col("votes")), "group", "first").rowsBetween(Window.unboundedPreceding, 0)
-    granted = moves.withColumn("taken", F.sum("n").over(by_gain)).join(room.select(F.col("shard").alias("to"), "room"), "to").where("taken <= room").select("group", "first", "to")
+    own = votes.select("group", "shard", F.col("votes").alias("stay"), F.col("room").alias("here"))
+    other = votes.where("room > 0").select("group", F.struct("votes", F.xxhash64("group", "shard").alias("tie"), F.col("shard").alias("to")).alias("best"), "room")
+    # at most shards * shards pairs for a group, as state is kept by group and first shard
+    wish = cells.join(other, "group").where("best.to != shard and n <= room").groupBy("group", "first", "shard", "n").agg(F.max("best").alias("best"))
+    # of equal shards a hash decides, unless nobody can come to the present one
+    moves = wish.join(own, ["group", "shard"]).where("best.votes > stay or (best.votes = stay and (here <= 0 or best.tie > xxhash64(group, shard)))")
+    # small moves first: what is too large for the room left keeps nothing else out
+    by_size = Window.partitionBy("to").orderBy("n", F.desc("gain"), "group", "first").rowsBetween(Window.unboundedPreceding, 0)
+    moves = moves.select("group", "first", "n", F.col("best.to").alias("to"), (F.col("best.votes") - F.col("stay")).alias("gain"))
+    granted = moves.withColumn("taken", F.sum("n").over(by_size)).join(room.select(F.col("shard").alias("to"), "room"), "to").where("taken <= room").select("group", "first", "to")
     return cells.join(granted, ["group", "first"], "left").select("group", "first", F.coalesce("to", "shard").alias("shard"), "n")
 
 
