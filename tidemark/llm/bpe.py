@@ -28,7 +28,7 @@ from tidemark.llm.common import map_arrow, table, text_of
 #: The split pattern of byte-level BPE, with {L} letters, {N} numbers, {S} white space, {O} all else.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?{O}+|{S}+(?!{T})|{S}+"
 #: Words kept in a worker's cache at most; beyond that it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: Below this code point the classes are spelt out, so that the faster of two regex engines can be used.
 LATIN_END = 0x250
 
@@ -86,7 +86,7 @@ class Codec:
         self.special = {x["content"]: x["id"] for x in d["added_tokens"]}
         self.bytes.update({i: s.encode() for s, i in self.special.items()})
         self.byte_ids = [vocab.get(bytes([b])) for b in range(256)]
-        self.longest = max(map(len, vocab))
+        self.prefixes = {token[:n]: -1 for token in vocab for n in range(1, len(token))} | vocab  # ids, -1 for mere beginnings
         self.cut_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.whole = {i: self.merge(token) == [i] for token, i in vocab.items() if len(token) == 1}
         self.good = np.zeros(0, np.uint64)
@@ -117,13 +117,17 @@ class Codec:
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
-        out, at, n, vocab, longest = [], 0, len(word), self.vocab, self.longest
+        out, at, n, get = [], 0, len(word), self.prefixes.get
         while at < n:
-            for end in range(min(n, at + longest), at, -1):
-                if (i := vocab.get(word[at:end])) is not None:
-                    out.append(i)
-                    at = end
-                    break
+            end = after = at + 1
+            best = found = get(word[at:end])
+            while found is not None and end < n:
+                end += 1
+                found = get(word[at:end])
+                if found is not None and found >= 0:
+                    best, after = found, end
+            out.append(best)
+            at = after
         return out
 
     def _is_whole(self, i: int) -> bool:
