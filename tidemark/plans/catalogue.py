@@ -338,7 +338,7 @@ def url_source(spark, sf_dir):
     return from_url(spark, f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value")
 
 
-@query("select * from (values ('event1', 10, 20, null), ('event1', null, 20, null), ('event2', null, null, null), ('event3', 1234, 1585549847, '{\"name\": \"roman\"}')) as x(d, a, b, e)")
+@query("select d, a, cast(b as bigint) as b, e from (values ('event1', 10, 20, null), ('event1', null, 20, null), ('event2', null, null, null), ('event3', 1234, 1585549847, '{\"name\": \"roman\"}')) as x(d, a, b, e)")
 def batch_source(spark, sf_dir):
     """A client's events; a static schema parses what came as text."""
     events = [{"d": "event1", "a": 10, "b": 20}, {"d": "event1", "b": 20}, {"d": "event2"}, {"d": "event3", "a": "1234", "b": 1585549847, "e": {"name": "roman"}}, {"a": 1}]
@@ -508,15 +508,16 @@ def sql(name: str, text: str, oracle: str | None = None) -> None:
     ORACLES[name] = oracle or text
 
 
-sql("sql_tumbling_window", "select date_trunc('hour', ts) as h, event_type, count(*) as n from events group by 1, 2")
+_HOURS = "select cast(date_trunc('hour', ts) as {}) as h, event_type, count(*) as n from events group by 1, 2"
+sql("sql_tumbling_window", _HOURS.format("timestamp_ntz"), _HOURS.format("timestamp"))
 sql("sql_rollup", "select event_type, user_id % 2 as parity, count(*) as n from events group by rollup(event_type, user_id % 2)")
 sql("sql_cube", "select event_type, user_id % 3 as third, count(*) as n from events group by cube(event_type, user_id % 3)")
 sql("sql_grouping_sets", "select event_type, user_id % 3 as third, count(*) as n from events group by grouping sets ((event_type), (user_id % 3))")
 sql("sql_topk", "select event_id, value from events order by value desc, event_id limit 10")
 sql("sql_semi_join", "select c_custkey from customer left semi join (select * from orders where o_totalprice > 300000) o on c_custkey = o_custkey", "select c_custkey from customer semi join (select * from orders where o_totalprice > 300000) o on c_custkey = o_custkey")
 sql("sql_anti_join", "select c_custkey from customer left anti join orders on c_custkey = o_custkey", "select c_custkey from customer anti join orders on c_custkey = o_custkey")
-sql("sql_row_number", "select event_id, row_number() over (partition by user_id order by ts, event_id) as rn from events")
-sql("sql_rank_lag", "select event_id, dense_rank() over (partition by event_type order by user_id) as r, lag(event_id) over (partition by user_id order by ts, event_id) as before from events")
+sql("sql_row_number", "select event_id, cast(row_number() over (partition by user_id order by ts, event_id) as bigint) as rn from events")
+sql("sql_rank_lag", "select event_id, cast(dense_rank() over (partition by event_type order by user_id) as bigint) as r, lag(event_id) over (partition by user_id order by ts, event_id) as before from events")
 sql("sql_frame", "select event_id, count(*) over (partition by user_id order by ts, event_id rows between 3 preceding and current row) as n from events")
 sql("sql_asof_by_id", "select p.event_id, max(c.event_id) as click_id from events p left join events c on c.user_id = p.user_id and c.event_type = 'click' and c.event_id < p.event_id where p.event_type = 'purchase' group by p.event_id")
 sql("sql_range_join", "select a.event_id as a, b.event_id as b from events a join events b on a.user_id = b.user_id and b.event_type = 'purchase' and b.ts > a.ts and b.ts <= a.ts + interval 1 hour where a.event_type = 'click'")
