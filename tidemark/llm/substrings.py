@@ -27,7 +27,7 @@ from tidemark.llm.words import BASE, INVERSE, grams, hash_words, mix, portions,
 #: Words of a window, and of the n-grams among which a window's key is chosen.
 WINDOW, GRAM = 35, 8
 #: Words of a shard, on average at most.
-SHARD_WORDS = 250_000
+SHARD_WORDS = 100_000
 #: Distinct stretches of a key beyond which it is settled by windows.
 HOT = 2_000
 #: Windows that one lane of the search looks at.
