@@ -494,16 +494,26 @@ def type_names(spark, sf_dir):
 # ---------------------------------------------------------------- SQL over hot tables: what the query layer above the scans offers
 
 
+#: The text of each such query.
+TEXTS_OF: dict[str, str] = {}
+
+
+def register_views(spark: SparkSession, sf_dir: str) -> None:
+    """The hot table as events, and the other tables as they are."""
+    hot(spark, sf_dir).tables["eventlog"].scan(["event_id", "ts", "user_id", "event_type", "value"]).withColumn("ts", ntz("ts")).createOrReplaceTempView("events")
+    for other in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        source(spark, sf_dir, other).createOrReplaceTempView(other)
+
+
 def sql(name: str, text: str, oracle: str | None = None) -> None:
-    """The same SQL over views: the hot table eventlog, and the other tables as they are."""
+    """SQL over the views."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        hot(spark, sf_dir).tables["eventlog"].scan(["event_id", "ts", "user_id", "event_type", "value"]).withColumn("ts", ntz("ts")).createOrReplaceTempView("events")
-        for other in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
-            source(spark, sf_dir, other).createOrReplaceTempView(other)
+        register_views(spark, sf_dir)
         return spark.sql(text)
 
     run.__name__ = name
+    TEXTS_OF[name] = text
     QUERIES[name] = run
     ORACLES[name] = oracle or text
 
