@@ -15,6 +15,7 @@ each give a row. Other columns are ignored, whatever their names.
 
 import math
 import re
+import uuid
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -45,7 +46,7 @@ THRESHOLD = 0.7
 #: Chances that the annotator calls a toxic and a clean text toxic.
 TRUST = (0.97, 0.01)
 #: Words kept in a worker's cache.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -227,18 +228,25 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def _scorer(key: str, model: Model) -> Scorer:
+    """A worker's scorer, kept from task to task; one of another run makes way."""
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(model)
+    return _SCORERS[key]
+
+
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The columns of docs in a struct named row, with score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one weight for each telling feature of the sample
-
-    def scorer() -> Scorer:
-        if getattr(scorer, "own", None) is None:
-            scorer.own = Scorer(shared.value)
-        return scorer.own
+    key = uuid.uuid4().hex
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return texts.map(scorer())
+        return texts.map(_scorer(key, shared.value))
 
     small_batches(docs.sparkSession)
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), score(text_of(text_col)).alias("score"))

@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 import string
+import uuid
 import zlib
 from collections.abc import Iterable
 from functools import lru_cache
@@ -105,6 +106,17 @@ class Splitter:
         return out
 
 
+_SPLITTERS: dict[str, Splitter] = {}
+
+
+def _splitter(key: str, counts: dict[str, int]) -> Splitter:
+    """A worker's splitter, kept from task to task; one of another run makes way."""
+    if key not in _SPLITTERS:
+        _SPLITTERS.clear()
+        _SPLITTERS[key] = Splitter(counts)
+    return _SPLITTERS[key]
+
+
 def bucket(token: str) -> int:
     return zlib.crc32(token.encode()) % BUCKETS
 
@@ -135,11 +147,10 @@ def judge_urls(df: DataFrame, rules: Iterable[tuple[str, str]], id_col: str = "p
     unigrams = spark.sparkContext.broadcast(word_counts(parsed))
     unwanted = frozenset(UNWANTED)
 
+    key = uuid.uuid4().hex
+
     def splitter() -> Splitter:
-        own = getattr(splitter, "own", None)
-        if own is None:
-            own = splitter.own = Splitter(unigrams.value)
-        return own
+        return _splitter(key, unigrams.value)
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts: dict[tuple[int, int], int] = {}
