@@ -46,6 +46,28 @@ def test_contexts_find_what_patterns_miss(spark):
     assert masked[30] == "please contact me at [EMAIL], or" and masked[31] == texts[31]
 
 
+def found_in(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.id: [(texts[r.id][s.start : s.end], s.kind) for s in r.spans] for r in pii.find_personal(df).collect()}
+
+
+def test_spaced_phones_and_cards_are_seeds(spark):
+    cards = [f"4111 1111 1111 {n}" for n in range(1000, 1600)]
+    cards = [c for c in cards if base(c)][:30]
+    texts = [f"room {i} please ring me on +1 (0{i + 10}) 555-7{i + 100} now" for i in range(30)] + [f"my credit card {c}, thanks" for c in cards]
+    texts += ["room 7 please ring me on (017) 555-7713, or", "my credit card 4111 1111 1111 9999 9 is old", "please ring me on (017) 555 for", "it took (017) 555-7713 of them", "ring me on 55 tunes(at)home2 now"]
+    got = found_in(spark, texts)
+    assert all(got[i] == [(texts[i][texts[i].index("+") : -4], 3)] for i in range(30))
+    assert all(got[30 + i] == [(c, 2)] for i, c in enumerate(cards))
+    assert got[60] == [("(017) 555-7713", 3)] and got[61] == [("4111 1111 1111 9999 9", 2)] and got[62] == [("(017) 555", 3)] and got[63] == got[64] == []
+
+
+def test_short_numbers_do_not_cut_a_context(spark):
+    texts = [f"write to desk {i} user{i}@mail.com" for i in range(20)] + ["write to desk 77 john(at)mail2 now", "rank 77 john(at)mail3 now"]
+    got = found_in(spark, texts)
+    assert got[20] == [("john(at)mail2", 0)] and got[21] == []
+
+
 def test_a_weak_context_finds_nothing(spark):
     texts = [f"see at user{i}@m.com" for i in range(6)] + [f"see at item{i}x" for i in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -1,9 +1,12 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
-Base spans (e-mail and IP addresses, card and phone numbers) come from patterns and checks of their own. They are the seeds: the one or
-two words before a token that holds a seed are a context. Contexts and tokens form a graph, counted over the whole table; in turn, a
+Base spans (e-mail and IP addresses, card and phone numbers) come from patterns and checks of their own. They are the seeds, each span
+one, with or without spaces in it (of spans that overlap, the first). The one or two words before a seed, or before the token it begins in, are
+a context. Other tokens with a digit or an at sign are candidates; digit groups that follow one another on a line are one candidate.
+Contexts and tokens (seeds and candidates) form a graph, counted over the whole table; in turn, a
 context's confidence is the smoothed share of seed-like tokens after it, and a token's score is the chance that at least
-one of its contexts tells the truth. Confident contexts mark tokens that no base pattern knows.
+one of its contexts tells the truth. Confident contexts mark tokens that no base pattern knows. A context ends at a word that may
+be an identifier itself; shorter words with digits belong to it, and all numbers in them count as the same.
 
 Offsets count code points, ends are exclusive. A null text counts as empty and has no spans. Repeated rows (same id and
 text) have the same spans. An empty table gives an empty result. Other columns are ignored, whatever their names.
@@ -27,8 +30,6 @@ PATTERNS = {
 }
 #: A token with a digit or an at sign: what may be an identifier.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-#: The end of the text before a token: up to two words of the same line.
-CONTEXT = r"([^\x20\x09-\x0D]++[\x20\x09]++)?([^\x20\x09-\x0D]++)[\x20\x09]*+\z"
 #: Characters of context looked at.
 REACH = 80
 #: Different seeds that a context has at least, the confidence from which it marks tokens, and what smoothes it.
@@ -36,8 +37,15 @@ LEAST_SEEDS, CONFIDENT, SMOOTHING = 5, 0.6, 2.0
 ROUNDS = 3
 #: Shortest token that a context may mark.
 SHORTEST = 6
+#: A token that is a group of digits, and the end of one after which no other belongs to the same candidate.
+GROUP, LAST_GROUP = r"\A[+(]*+[0-9][0-9()./-]*+[.,;:!?]*+\z", r"[.,;:!?]\z"
+#: A word that is no identifier, and the end of the text before a token: up to two such words of the same line.
+WORD = rf"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D0-9@]++|[^\x20\x09-\x0D]{{1,{SHORTEST - 1}}}+)(?![^\x20\x09-\x0D])"
+CONTEXT = rf"({WORD}[\x20\x09]++)?({WORD})[\x20\x09]*+\z"
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+#: A seed or candidate; base spans carry the same, in the order of SPAN.
+PLACE = "struct<start:int,kind:int,end:int,token:bigint,context:string>"
 
 
 def digits(value: Column) -> Column:
@@ -67,39 +75,92 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def matches_with_places(text: Column, pattern: str, keep, made, kind: str) -> Column:
-    """An array of made(piece before, match, start, end) for the matches to keep; places are sums of lengths."""
+def last_of(before: Column, *more: Column) -> Column:
+    """The last characters of a text given in pieces: as many as a context looks at."""
+    return F.right(F.concat(before, *more), F.lit(REACH))
+
+
+def context_of(before: Column) -> Column:
+    """The words before a token, from the text before a place in it."""
+    words = F.regexp_extract(F.regexp_replace(before, r"[^\x20\x09-\x0D]++\z", ""), CONTEXT, 0)
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(words)), r"\s+", " "), "[0-9]+", "0")
+
+
+def place(start: Column, kind: Column, end: Column, token: Column, context: Column) -> Column:
+    return F.struct(start.cast("int").alias("start"), kind.cast("int").alias("kind"), end.cast("int").alias("end"), F.xxhash64(F.lower(token)).alias("token"), context.alias("context"))
+
+
+def pieces_and_matches(text: Column, pattern: str) -> tuple[Column, Column]:
+    """All matches, and an array of (piece before, match); the last piece has no match."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), found.alias("match"))
+    return found, F.arrays_zip(F.split(text, pattern, -1).alias("piece"), found.alias("match"))
+
+
+def base_places(text: Column, kind: str) -> Column:
+    """The base spans of a kind with their texts' hashes and contexts; places are sums of lengths."""
+    code = KINDS.index(kind)
+    found, both = pieces_and_matches(text, PATTERNS[kind])
+
+    def keep(match: Column) -> Column:
+        return valid(kind, match)
 
     def step(state: Column, x: Column) -> Column:
         piece, match = x["piece"], x["match"]
         start = state["at"] + F.length(piece)
         end = start + F.length(match)
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(match.isNotNull() & keep(match), F.array_append(state["out"], made(piece, match, start, end))).otherwise(state["out"]).alias("out"))
+        made = place(start, F.lit(code), end, match, context_of(last_of(state["tail"], piece)))
+        out = F.when(match.isNotNull() & keep(match), F.array_append(state["out"], made)).otherwise(state["out"])
+        return F.struct(F.coalesce(end, start).alias("at"), last_of(state["tail"], piece, F.coalesce(match, F.lit(""))).alias("tail"), out.alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    return F.when(F.exists(found, keep), F.aggregate(both, start, step)["out"]).otherwise(F.array().cast(kind))
+    none = F.array().cast(f"array<{PLACE}>")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out"))
+    return F.when(F.exists(found, keep), F.aggregate(both, start, step)["out"]).otherwise(none)
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    code = KINDS.index(kind)
+def seeds_of(base: Column) -> Column:
+    """Of base spans in order, those that overlap none before."""
 
-    def made(piece: Column, match: Column, start: Column, end: Column) -> Column:
-        return F.struct(start.cast("int").alias("start"), F.lit(code).alias("kind"), end.cast("int").alias("end"))
+    def step(state: Column, b: Column) -> Column:
+        out = F.when(b["start"] >= state["at"], F.array_append(state["out"], b)).otherwise(state["out"])
+        return F.struct(F.greatest(state["at"], b["end"]).alias("at"), out.alias("out"))
 
-    return matches_with_places(text, PATTERNS[kind], lambda m: valid(kind, m), made, SPAN)
+    return F.aggregate(base, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{PLACE}>").alias("out")), step)["out"]
 
 
-def candidates(text: Column) -> Column:
-    """Tokens that may be identifiers, with the words before them."""
+def candidates(text: Column, base: Column) -> Column:
+    """Tokens outside of base spans that may be identifiers, with the words before them; digit groups in a row are one."""
+    found, both = pieces_and_matches(text, CANDIDATE)
+    none = F.lit(None).cast("struct<start:int,text:string,context:string>")
 
-    def made(piece: Column, match: Column, start: Column, end: Column) -> Column:
-        before = F.lower(F.regexp_extract(F.substr(piece, F.greatest(F.length(piece) - REACH + 1, F.lit(1)), F.lit(REACH)), CONTEXT, 0))
-        bare = F.regexp_replace(match, r"[.,;:!?)\"'\]]+$", "")
-        return F.struct(start.cast("int").alias("start"), (start + F.length(bare)).cast("int").alias("end"), F.xxhash64(F.lower(bare)).alias("token"), F.regexp_replace(F.trim(before), r"\s+", " ").alias("context"))
+    def closed(state: Column) -> Column:
+        """What was found, with the open candidate."""
+        own = state["open"]
+        bare = F.regexp_replace(own["text"], r"[.,;:!?)\"'\]]+$", "")
+        made = place(own["start"], F.lit(None), own["start"] + F.length(bare), bare, own["context"])
+        return F.when(own.isNotNull() & (F.length(own["text"]) >= SHORTEST) & (own["context"] != ""), F.array_append(state["out"], made)).otherwise(state["out"])
 
-    return matches_with_places(text, CANDIDATE, lambda m: F.length(m) >= SHORTEST, made, "array<struct<start:int,end:int,token:bigint,context:string>>")
+    def step(state: Column, x: Column) -> Column:
+        piece, match, own = x["piece"], x["match"], state["open"]
+        start = state["at"] + F.length(piece)
+        end = start + F.length(match)
+        in_base = F.exists(base, lambda b: (b["start"] < end) & (start < b["end"]))
+        free = match.isNotNull() & ~in_base
+        group = match.rlike(GROUP)
+        joins = F.coalesce(free & state["group"] & group & piece.rlike(r"\A[\x20\x09]++\z") & ~own["text"].rlike(LAST_GROUP), F.lit(False))
+        fresh = F.struct(start.cast("int").alias("start"), match.alias("text"), context_of(last_of(state["tail"], piece)).alias("context"))
+        longer = F.struct(own["start"].alias("start"), F.concat(own["text"], piece, match).alias("text"), own["context"].alias("context"))
+        return F.struct(
+            F.coalesce(end, start).alias("at"),
+            last_of(state["tail"], piece, F.coalesce(match, F.lit(""))).alias("tail"),
+            F.coalesce(free & group, F.lit(False)).alias("group"),
+            F.when(joins, longer).when(free, fresh).otherwise(none).alias("open"),
+            F.when(joins, state["out"]).otherwise(closed(state)).alias("out"),
+        )
+
+    nothing = F.array().cast(f"array<{PLACE}>")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.lit(False).alias("group"), none.alias("open"), nothing.alias("out"))
+    some = F.exists(found, lambda m: F.length(m) >= SHORTEST) | (F.size(found) > 1)
+    return F.when(some, F.aggregate(both, start, step)["out"]).otherwise(nothing)
 
 
 def score_contexts(edges: DataFrame) -> DataFrame:
@@ -123,16 +184,11 @@ def find_personal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """id, text_key (a hash of the text), base and spans: arrays of (start, kind, end), in order; one row for each row of df."""
     text = text_of(text_col)
     docs = df.select(F.col(id_col).alias("id"), text.alias("text"))
-    found = docs.select("id", F.md5(F.col("text").cast("binary")).alias("text_key"), F.array_sort(F.concat(*(base_spans(F.col("text"), kind) for kind in KINDS))).alias("base"), candidates(F.col("text")).alias("candidates"))
-    found = cut(found)
-
-    def holds(c: Column):
-        return lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])
-
-    one = found.where(F.size("candidates") > 0).select("id", "text_key", "base", F.explode("candidates").alias("c"))
-    inside = F.element_at(F.filter("base", holds(F.col("c"))), 1)["kind"]
-    places = one.select("id", "text_key", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.token").alias("token"), F.col("c.context").alias("context"), F.when(F.exists("base", holds(F.col("c"))), inside).alias("kind"))
-    places = places.where("context != ''")
+    found = docs.select("id", "text", F.array_sort(F.concat(*(base_places(F.col("text"), kind) for kind in KINDS))).alias("base"))
+    places = F.concat(seeds_of(F.col("base")), candidates(F.col("text"), F.col("base")))
+    spans = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end")))
+    found = cut(found.select("id", F.md5(F.col("text").cast("binary")).alias("text_key"), spans.alias("base"), places.alias("places")))
+    places = found.where(F.size("places") > 0).select("id", "text_key", F.explode("places").alias("p")).select("id", "text_key", "p.*").where("context != ''")
     edges = places.groupBy("context", "token").agg(F.min("kind").alias("kind"))
     strong = score_contexts(edges).where(F.col("confidence") >= CONFIDENT)
     best = strong.groupBy("context").agg(F.max(F.struct("confidence", F.col("kind").alias("found"))).alias("best")).select("context", F.col("best.found").alias("found"))
