@@ -45,6 +45,18 @@ def test_even_and_together(spark, hot, n):
     assert hot < 10 or len(hot_shards) <= n
 
 
+def test_a_hot_group_fills_few_shards(spark):
+    n, hot = 40, 4000
+    texts = [(i, f"text {i % 500}" if i < 1000 else f"alone {i}") for i in range(2 * hot)] + [(50_000 + i, "hot") for i in range(hot)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    rows = shards.assign_shards(df, n).collect()
+    check(rows, texts, n)
+    assert together(rows, [t for t in texts if t[1] != "hot"]) > 0.95
+    # a shard's share is three cells of the group or, as cells aren't split, two
+    least = -(-hot * n // len(texts))
+    assert least <= len({r.shard for r in rows if r.doc_id >= 50_000}) <= 1.5 * least
+
+
 def test_few_rows(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], "doc_id long, text string")
     rows = shards.assign_shards(df, 40).collect()

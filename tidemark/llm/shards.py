@@ -2,7 +2,8 @@
 
 Documents with equal texts are linked. Each document starts in a shard by its id's hash. Then, round by round, the
 members that a group has in one shard move together to the shard where most of the group is and where there is room
-for them, small moves first, so a shard never holds more linked documents than its share. At the end, shards with more rows
+for them, small moves first, so a shard never holds more linked documents than its share, until no move is left: each round
+that moves anything raises some groups' sums of squared numbers by shard and lowers none, so there is an end. Then, shards with more rows
 than their share give unlinked documents first to shards with fewer, so that the numbers of rows differ by one at most.
 
 State is kept by group and first shard, at most one row for each shard and group, so that a group of any size is spread.
@@ -13,22 +14,23 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import cut, table, text_of
+from tidemark.llm.common import checkpoint_dir, cut, table, text_of
 
 SHARDS = 40
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 16
-ROUNDS = 6
 #: Buckets in which ranks are taken, for each shard: by group, by id, and unlinked ones apart.
 GROUP_BUCKETS, ID_BUCKETS = 32, 8
 
 
 def _gather(cells: DataFrame, share: int, shards: int) -> DataFrame:
-    """One round: cells (group, first, shard, n) -> the same with new shards."""
+    """One round: cells (group, first, shard, n) -> the same with new shards, and whether each has moved."""
     load = cells.groupBy("shard").agg(F.sum("n").alias("load"))
     room = F.broadcast(cells.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard")).join(load, "shard", "left").select("shard", (F.lit(share) - F.coalesce("load", F.lit(0))).alias("room")))  # one row for each shard
     votes = cells.groupBy("group", "shard").agg(F.sum("n").alias("votes")).join(room, "shard")
@@ -42,10 +44,10 @@ def _gather(cells: DataFrame, share: int, shards: int) -> DataFrame:
     by_size = Window.partitionBy("to").orderBy("n", F.desc("gain"), "group", "first").rowsBetween(Window.unboundedPreceding, 0)
     moves = moves.select("group", "first", "n", F.col("best.to").alias("to"), (F.col("best.votes") - F.col("stay")).alias("gain"))
     granted = moves.withColumn("taken", F.sum("n").over(by_size)).join(room.select(F.col("shard").alias("to"), "room"), "to").where("taken <= room").select("group", "first", "to")
-    return cells.join(granted, ["group", "first"], "left").select("group", "first", F.coalesce("to", "shard").alias("shard"), "n")
+    return cells.join(granted, ["group", "first"], "left").select("group", "first", F.coalesce("to", "shard").alias("shard"), "n", F.col("to").isNotNull().alias("has_moved"))
 
 
-def assign_shards(df: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assign_shards(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, size, text_crc32, linked (copies of the text, itself included), shard, slot."""
     text = text_of(text_col)
     docs = cut(
@@ -64,8 +66,13 @@ def assign_shards(df: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_
     cells = cut(cells.join(groups, "group").select("group", "first", F.col("first").alias("shard"), "n", "linked"))
     sizes = cells.select("group", "first", "linked")
     state = cells.drop("linked")
-    for _ in range(rounds):
-        state = cut(_gather(state, small, shards))
+    # state goes through files: a checkpoint keeps the sizes estimated for joins, whose digits multiply from round to round
+    folder, k, moving = f"{checkpoint_dir(df.sparkSession)}/shards-{uuid.uuid4().hex}", 0, True
+    while moving:
+        _gather(state, small, shards).write.parquet(f"{folder}/{k}")
+        state = df.sparkSession.read.parquet(f"{folder}/{k}")
+        moving = not state.where("has_moved").isEmpty()
+        state, k = state.drop("has_moved"), k + 1
     found = state.select("group", "first", F.col("shard").alias("moved")).join(sizes, ["group", "first"])
     placed = docs.join(found, ["group", "first"], "left").select("id", "size", "crc", "group", F.coalesce("linked", F.lit(1)).cast("long").alias("linked"), F.coalesce("moved", "first").alias("shard"))
     alone = (F.col("linked") == 1).cast("int")
