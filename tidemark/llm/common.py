@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows an Arrow batch holds at most; with texts of up to about 1 MB a batch stays far below a worker's memory.
 BATCH_ROWS = 256
+#: Rows of a file, where a table of known size is written.
+FILE_ROWS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +29,29 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+_KEPT: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a worker keeps from task to task, for one key at a time: a worker serves one stage after another, and what an
+    earlier stage or run kept makes way."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        release()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Give a worker's free memory back, as an idle worker outlives its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply a function from batch to batch; it sees the columns of df in order."""
     small_batches(df.sparkSession)
@@ -34,18 +62,21 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
                 out = function(batch)
                 if out is not None:
                     yield out
+        release()
 
     return df.mapInArrow(run, schema)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; one is set only where none is, as in local tests."""
+    """The shared folder for checkpoints; one is set only where none is, and only on a local master, as in tests."""
     sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if shared is None:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="tidemark-checkpoints-")
         atexit.register(shutil.rmtree, shared, ignore_errors=True)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -53,10 +84,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there, so that lost executors cost no lineage."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from there, so that lost executors cost no lineage.
+
+    rows: how many df has at most, where that is known; few rows then make few files."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).checkpoint(eager=True)
 
 
 def text_of(column: str = "text"):

@@ -18,6 +18,7 @@ import re
 import uuid
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow, small_batches, table, text_of
+from tidemark.llm.common import kept, map_arrow, release, small_batches, table, text_of
 
 #: Common insults, in the parts that vote separately.
 SEEDS = ("idiot moron stupid imbecile dumb".split(), "scum trash worthless garbage vermin".split(), "loser pathetic disgusting clown hate".split())
@@ -46,7 +47,7 @@ THRESHOLD = 0.7
 #: Chances that the annotator calls a toxic and a clean text toxic.
 TRUST = (0.97, 0.01)
 #: Words kept in a worker's cache.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -228,25 +229,16 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
-def _scorer(key: str, model: Model) -> Scorer:
-    """A worker's scorer, kept from task to task; one of another run makes way."""
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(model)
-    return _SCORERS[key]
-
-
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The columns of docs in a struct named row, with score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one weight for each telling feature of the sample
     key = uuid.uuid4().hex
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return texts.map(_scorer(key, shared.value))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(kept(key, lambda: Scorer(shared.value)))
+        release()
 
     small_batches(docs.sparkSession)
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), score(text_of(text_col)).alias("score"))

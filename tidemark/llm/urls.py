@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow, table
+from tidemark.llm.common import kept, map_arrow, table
 
 #: Words that mark an unwanted host.
 UNWANTED = "adult ads bet bets casino cheap farm free gambling loan pills poker porn prize sex spam track tracker viagra win xxx".split()
@@ -106,17 +106,6 @@ class Splitter:
         return out
 
 
-_SPLITTERS: dict[str, Splitter] = {}
-
-
-def _splitter(key: str, counts: dict[str, int]) -> Splitter:
-    """A worker's splitter, kept from task to task; one of another run makes way."""
-    if key not in _SPLITTERS:
-        _SPLITTERS.clear()
-        _SPLITTERS[key] = Splitter(counts)
-    return _SPLITTERS[key]
-
-
 def bucket(token: str) -> int:
     return zlib.crc32(token.encode()) % BUCKETS
 
@@ -150,7 +139,7 @@ def judge_urls(df: DataFrame, rules: Iterable[tuple[str, str]], id_col: str = "p
     key = uuid.uuid4().hex
 
     def splitter() -> Splitter:
-        return _splitter(key, unigrams.value)
+        return kept(key, lambda: Splitter(unigrams.value))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts: dict[tuple[int, int], int] = {}

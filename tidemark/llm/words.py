@@ -8,8 +8,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-#: Bytes handled at a time, beyond a single text.
-PORTION = 2_000_000
+#: Bytes of texts handled at a time, beyond a single text, and bytes hashed at a time, beyond a single word.
+PORTION, CHUNK = 1_000_000, 1 << 18
 #: An odd multiplier, its inverse modulo 2**64, and multipliers for mixing.
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -27,9 +27,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
-def _powers(log_size: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << log_size
+@lru_cache(maxsize=1)
+def _chunk_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(CHUNK)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     both = []
     for base in (BASE, INVERSE):
         p = np.full(n, base, np.uint64)
@@ -71,10 +74,19 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
-    powers, inverses = _powers(max(16, int(len(data)).bit_length()))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + CHUNK, "right")))
+        low = int(starts[a])
+        part = data[low : int(ends[b - 1])]
+        powers, inverses = _chunk_powers() if len(part) <= CHUNK else _powers(len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers[: len(part)], out=sums[1:])
+        own, end = starts[a:b] - low, ends[a:b] - low
+        out[a:b] = mix((sums[end] - sums[own]) * inverses[own] + (end - own).astype(np.uint64))
+        a = b
+    return out
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:
