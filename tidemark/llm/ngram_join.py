@@ -1,16 +1,17 @@
 """N-gram Jaccard join by MinHash banding, verified on full n-gram sets.
 
 The bands and rows are the fewest that find a pair at the threshold with the target recall. Documents with equal n-gram
-sets are one class from the start. Each class is dealt out by its band hashes; in a bucket of two classes or more, the
-class with the smallest id is the pivot, and every class of the bucket joins the pivot's hub, once however many bands
-lead to it. A hub's classes are compared all with all on their n-gram sets, as products of incidence matrices; a large hub is
-split into blocks, and each pair of blocks is a task of its own, so no group meets in one task and no pair becomes a row. A pair in
-several hubs counts in the one with the smallest pivot. Groups are connected components of the links.
+sets are one class from the start, known by two hashes of the set. Each class is dealt out by its band hashes; in a bucket of two classes or
+more, the class with the smallest hash is the pivot, and every class of the bucket joins the pivot's hub, once however many bands
+lead to it. A hub's classes are compared all with all on their n-gram sets, as products of incidence matrices; a hub of many classes or
+large sets is split into blocks, and each pair of blocks is a task of its own, so no group meets in one task and no pair becomes a row.
+A pair in several hubs counts in the one with the smallest pivot. Groups are connected components of the links.
 
 N-grams are of NGRAM words; words are separated by white space and otherwise unchanged. A text of fewer words has its
-whole sequence as the only n-gram. Null texts and texts without words have no n-gram and link to nothing. Repeated rows
-are copies of each other like other documents; if one id has different texts, these count as one class with the larger
-set. Ids must be whole numbers. An empty table gives an empty result. Other columns are ignored, whatever their names.
+whole sequence as the only n-gram. Null texts and texts without words have no n-gram, link to nothing and are their own class. Every row
+counts as a document: repeated rows are copies of each other, and one id with different texts is a document for each.
+A group's class_id is its smallest id, rows with a null id count and link like others, and a group without any id has a null
+class_id. Ids must be whole numbers. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from tidemark.llm.words import grams, hash_words, mix, portions, spans
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Rows in a band; more rows make fewer chance candidates, but more bands.
 ROWS = 4
-#: Classes of a hub in one block.
-BLOCK = 512
+#: Classes of a hub, and n-grams of them, in one block on average at most.
+BLOCK, BLOCK_GRAMS = 512, 500_000
 #: Keys among which a large hub's rows are dealt when its size is looked up.
 SALTS = 32
 #: Columns of an incidence matrix at a time.
@@ -86,42 +87,49 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def set_keys(value: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each set."""
+    out = []
+    for seed in (1, 2):
+        sums = np.zeros(len(value) + 1, np.uint64)
+        np.cumsum(mix(value ^ np.uint64(seed * 0x1234567)), out=sums[1:])
+        out.append(_signed(mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64))))
+    return out
+
+
 def sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """id, k1, k2 (of the n-gram set; null without n-grams), bands."""
-    kind = docs.schema["id"].dataType.simpleString()
+    """docs (id, th, text) -> id, th, k1, k2 (of the n-gram set; null without n-grams), size, bands."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        k1, k2, keys, none = [], [], [], []
-        for _, _, data, offsets in portions(batch.column(1)):
+        k1, k2, keys, sizes = [], [], [], []
+        for _, _, data, offsets in portions(batch.column(2)):
             value, first = sets_of(data, offsets)
-            some = np.diff(first) > 0
-            for seed, out in ((1, k1), (2, k2)):
-                sums = np.zeros(len(value) + 1, np.uint64)
-                np.cumsum(mix(value ^ np.uint64(seed * 0x1234567)), out=sums[1:])
-                out.append(_signed(mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64))))
+            for own, out in zip(set_keys(value, first), (k1, k2), strict=True):
+                out.append(own)
             keys.append(_signed(signatures(value, first, bands, rows)))
-            none.append(~some)
-        gone = np.concatenate(none)
-        flat = np.concatenate(keys)
-        lists = pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), bands).cast(pa.list_(pa.int64()))
-        return pa.record_batch([batch.column(0), pa.array(np.concatenate(k1), mask=gone), pa.array(np.concatenate(k2), mask=gone), lists], names=["id", "k1", "k2", "bands"])
+            sizes.append(np.diff(first))
+        size = np.concatenate(sizes)
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(keys).ravel()), bands).cast(pa.list_(pa.int64()))
+        hashes = [pa.array(np.concatenate(k), mask=size == 0) for k in (k1, k2)]
+        return pa.record_batch([batch.column(0), batch.column(1), *hashes, pa.array(size, pa.int64()), lists], names=["id", "th", "k1", "k2", "size", "bands"])
 
-    return map_arrow(docs, run, f"id {kind}, k1 long, k2 long, bands array<long>")
+    return map_arrow(docs, run, "id long, th long, k1 long, k2 long, size long, bands array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """id, grams (packed distinct n-gram hashes)."""
-    kind = docs.schema["id"].dataType.simpleString()
+    """docs (text) -> k1, k2, grams (packed distinct n-gram hashes)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for _, _, data, offsets in portions(batch.column(1)):
+        k1, k2, out = [], [], []
+        for _, _, data, offsets in portions(batch.column(0)):
             value, first = sets_of(data, offsets)
+            for own, keys in zip(set_keys(value, first), (k1, k2), strict=True):
+                keys.append(own)
             packed = value.astype("<u8").tobytes()
             out += [packed[8 * a : 8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-        return pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["id", "grams"])
+        return pa.record_batch([pa.array(np.concatenate(k1)), pa.array(np.concatenate(k2)), pa.array(out, pa.binary())], names=["k1", "k2", "grams"])
 
-    return map_arrow(docs, run, f"id {kind}, grams binary")
+    return map_arrow(docs, run, "k1 long, k2 long, grams binary")
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -162,10 +170,12 @@ def local_roots(links: np.ndarray) -> np.ndarray:
 
 
 def compare_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Classes of one pair of blocks (side 0 and side 1; a block with itself has side 0 alone) -> id, links, root."""
-    pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
+    """Classes of one pair of blocks (i and j, with side 0 and side 1; a block with itself has side 0 alone) -> k1, k2, links, r1, r2: a class linked to it."""
+    pdf = pdf.sort_values(["k1", "k2"], kind="stable").reset_index(drop=True)
     sides = [pdf[pdf["side"] == s].reset_index(drop=True) for s in (0, 1)]
-    alone = not len(sides[1])
+    alone = bool(pdf["i"].iloc[0] == pdf["j"].iloc[0])
+    if not alone and not (len(sides[0]) and len(sides[1])):  # an empty block
+        return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("k1", "k2", "links", "r1", "r2")})
     a, b = sides[0], sides[0] if alone else sides[1]
     sets = [[np.frombuffer(x, "<u8") for x in side["grams"]] for side in ((a,) if alone else (a, b))]
     shared = shared_counts(sets[0], sets[-1])
@@ -185,62 +195,68 @@ def compare_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
         if left and right:
             counted[np.ix_(left, right)] = False
     weights = [side["n"].to_numpy(np.int64) for side in (a, b)]
-    links_a, links_b = counted @ weights[1], counted.T @ weights[0]
-    if alone:
-        ids, links, both = a["id"].to_numpy(), links_a, linked
-    else:
-        ids, links = np.concatenate([a["id"], b["id"]]), np.concatenate([links_a, links_b])
-        both = np.zeros((len(ids), len(ids)), bool)
+    links = counted @ weights[1]
+    if not alone:
+        links = np.concatenate([links, counted.T @ weights[0]])
+        both = np.zeros((len(pdf), len(pdf)), bool)
         both[: len(a), len(a) :] = linked
         both[len(a) :, : len(a)] = linked.T
-    # roots are smallest ids, so let indices follow the ids
-    order = np.argsort(ids, kind="stable")
-    roots = ids[order][local_roots(both[np.ix_(order, order)])]
-    return pd.DataFrame({"id": ids[order], "links": links[order].astype(np.int64), "root": roots})
+        linked = both
+    keys = a[["k1", "k2"]].to_numpy() if alone else np.concatenate([a[["k1", "k2"]].to_numpy(), b[["k1", "k2"]].to_numpy()])
+    root = keys[local_roots(linked)]
+    return pd.DataFrame({"k1": keys[:, 0], "k2": keys[:, 1], "links": links.astype(np.int64), "r1": root[:, 0], "r2": root[:, 1]})
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, root: the smallest id that edges (id, root) lead to. Labels fall along edges, and then to their labels' labels."""
-    edges = cut(edges.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a != b").distinct())
-    both = cut(edges.union(edges.select("b", "a")))
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("id"), "label"))
+    """edges (id, root), written -> id, root: the smallest id that edges lead to. Labels fall along edges, and then to their labels' labels."""
+    edges = edges.where("id != root")
+    both = edges.select(F.col("id").alias("a"), F.col("root").alias("b")).union(edges.select(F.col("root").alias("a"), F.col("id").alias("b")))
+    rows = 2 * edges.count()  # no more labels than that
+    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("id"), "label"), rows)
     while True:
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
+        known = labels.select(F.col("id").alias("via"), F.col("label").alias("to"))
+        near = both.join(known, both["b"] == known["via"]).groupBy("a").agg(F.min("to").alias("near"))
         once = labels.join(near, labels["id"] == near["a"]).select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        once = cut(once)
-        jump = once.select(F.col("id").alias("via"), F.col("label").alias("to"))
-        labels = cut(once.join(jump, once["label"] == jump["via"]).select("id", "old", F.least("label", "to").alias("label")))
-        if not labels.where("label != old").limit(1).count():
+        moved = once.join(known, once["label"] == known["via"]).select("id", "old", F.least("label", "to").alias("label"))
+        labels = cut(moved, rows)
+        if labels.where("label != old").isEmpty():
             return labels.select("id", F.col("label").alias("root"))
         labels = labels.select("id", "label")
 
 
-def ngram_join(df: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, class_id (smallest id of the group), n_links (other documents at the threshold or above)."""
+def grouped(df: DataFrame, threshold: float, recall: float, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """id, head (none, id, th: the row that stands for the group; null without n-grams), links; a row for each row of df."""
     bands = choose_bands(threshold, recall, rows)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    text = text_of(text_col)
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     signed = cut(sign(docs, bands, rows))
-    classes = cut(signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")))
-    dealt = classes.select("rep", F.explode("bands").alias("bucket"))
-    buckets = cut(dealt.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1").select("bucket", "pivot"))
-    spokes = cut(dealt.join(buckets, "bucket").select("rep", "pivot").distinct())
-    pivots = spokes.groupBy("rep").agg(F.sort_array(F.collect_list("pivot")).alias("pivots"))  # one for each band at most
+    # one row stands for a class: the least id (null comes last), and the hash of its text, should the id have several
+    rep = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    classes = signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min(rep).alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    n = signed.count()
+    classes = cut(classes, n)
+    dealt = classes.select("k1", "k2", "rep", "n", "size", F.explode("bands").alias("bucket"))
+    # written, so that the join deals both sides anew and can split a frequent bucket
+    buckets = cut(dealt.groupBy("bucket").agg(F.count("*").alias("found"), F.min("k1").alias("pivot")).where("found > 1").select("bucket", "pivot"), n * bands)
+    spokes = dealt.join(buckets, "bucket").groupBy("k1", "k2")
+    wanted = cut(spokes.agg(F.first("rep").alias("rep"), F.first("n").alias("n"), F.first("size").alias("size"), F.sort_array(F.collect_set("pivot")).alias("pivots")), n)  # a pivot for each band at most
     # only hubs of several blocks are looked up, each under SALTS keys, so that a large hub's rows meet in no one task
-    sizes = spokes.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).where("blocks > 1")
+    sizes = wanted.select("size", F.explode("pivots").alias("pivot")).groupBy("pivot").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("size") / F.lit(BLOCK_GRAMS))).cast("int").alias("blocks")).where("blocks > 1")
     sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    wanted = cut(pivots.join(classes.select("rep", "n"), "rep").select("rep", "n", "pivots"))
-    texts = docs.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi")
-    sets = full_sets(texts).groupBy("id").agg(F.max("grams").alias("grams"))
-    members = cut(wanted.join(sets, wanted["rep"] == sets["id"]).drop("id"))
-    placed = members.select("rep", "n", "pivots", "grams", F.explode("pivots").alias("pivot"))
-    placed = placed.withColumn("salt", F.pmod(F.xxhash64(F.lit(5), "rep"), F.lit(SALTS)).cast("int")).join(sizes, ["pivot", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    reps = wanted.select(F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
+    texts = docs.join(reps, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th")), "left_semi")
+    sets = full_sets(texts.select("text")).groupBy("k1", "k2").agg(F.first("grams").alias("grams"))
+    members = wanted.drop("rep", "size").join(sets, ["k1", "k2"])
+    placed = members.withColumn("pivot", F.explode("pivots"))
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64(F.lit(5), "k1"), F.lit(SALTS)).cast("int")).join(sizes, ["pivot", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "pivot",
         F.least("own", "other").alias("i"),
         F.greatest("own", "other").alias("j"),
         (F.col("own") > F.col("other")).cast("int").alias("side"),
-        F.col("rep").alias("id"),
+        "k1",
+        "k2",
         "n",
         "pivots",
         "grams",
@@ -249,12 +265,30 @@ def ngram_join(df: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         return compare_block(pdf, threshold)
 
-    found = cut(dealt.groupBy("pivot", "i", "j").applyInPandas(compare, "id long, links long, root long"))
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    roots = components(found.select("id", "root"))
-    reps = classes.select("k1", "k2", "rep", "n").join(links, F.col("rep") == links["id"], "left").drop("id").join(roots, F.col("rep") == roots["id"], "left")
-    reps = reps.select("k1", "k2", F.coalesce("root", "rep").alias("class"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    return signed.select("id", "k1", "k2").join(reps, ["k1", "k2"], "left").select(F.col("id").alias(id_col), F.coalesce("class", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    found = cut(dealt.groupBy("pivot", "i", "j").applyInPandas(compare, "k1 long, k2 long, links long, r1 long, r2 long"))
+    links = found.groupBy("k1", "k2").agg(F.sum("links").alias("links"))
+    roots = components(found.select(F.struct("k1", "k2").alias("id"), F.struct(F.col("r1").alias("k1"), F.col("r2").alias("k2")).alias("root"))).select("id.k1", "id.k2", "root")
+    heads = roots.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).groupBy("root").agg(F.min("rep").alias("head"))
+    roots = roots.join(heads, "root").select("k1", "k2", "head")
+    groups = classes.select("k1", "k2", "rep", "n").join(links, ["k1", "k2"], "left").join(roots, ["k1", "k2"], "left")
+    groups = groups.select("k1", "k2", F.coalesce("head", "rep").alias("head"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    return signed.select("id", "k1", "k2").join(groups, ["k1", "k2"], "left").select("id", "head", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
+def ngram_join(df: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, class_id (smallest id of the group), n_links (other documents at the threshold or above)."""
+    found = grouped(df, threshold, recall, rows, id_col, text_col)
+    class_id = F.when(F.col("head").isNull(), F.col("id")).otherwise(F.col("head.id"))
+    return found.select(F.col("id").alias(id_col), class_id.alias("class_id"), F.col("links").alias("n_links"))
+
+
+def one_of_each(df: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group the row with the smallest id (of one id's texts in the group, one; of equal rows, one); texts without words all stay."""
+    heads = grouped(df, threshold, recall, rows, id_col, text_col).where("head is not null").select(F.col("head.id").alias("head_id"), F.col("head.th").alias("head_th")).distinct()
+    text = text_of(text_col)
+    keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]")).alias("worded"))
+    kept = keyed.where("worded").join(heads, F.col("id").eqNullSafe(F.col("head_id")) & (F.col("th") == F.col("head_th")), "left_semi").dropDuplicates(["id", "th"])
+    return kept.union(keyed.where(~F.col("worded"))).select("row.*")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
