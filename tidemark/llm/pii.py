@@ -14,6 +14,8 @@ text) have the same spans. An empty table gives an empty result. Other columns a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,21 +32,29 @@ PATTERNS = {
 }
 #: A token with a digit or an at sign: what may be an identifier.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-#: Characters of context looked at.
-REACH = 80
+#: Shortest token that a context may mark.
+SHORTEST = 6
+#: Longest word of a context, gap beside one, and part of a token before the span in it; longer ones make no context.
+LONGEST_WORD, LONGEST_GAP, LONGEST_HEAD = 32, 4, 16
+#: Characters before a span that these can take, and one more.
+REACH = 2 * (LONGEST_WORD + LONGEST_GAP) + LONGEST_HEAD + 1
 #: Different seeds that a context has at least, the confidence from which it marks tokens, and what smoothes it.
 LEAST_SEEDS, CONFIDENT, SMOOTHING = 5, 0.6, 2.0
 ROUNDS = 3
-#: Shortest token that a context may mark.
-SHORTEST = 6
 #: A token that is a group of digits, and the end of one after which no other belongs to the same candidate.
 GROUP, LAST_GROUP = r"\A[+(]*+[0-9][0-9()./-]*+[.,;:!?]*+\z", r"[.,;:!?]\z"
-#: A word that is no identifier, and the end of the text before a token: up to two such words of the same line.
-WORD = rf"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D0-9@]++|[^\x20\x09-\x0D]{{1,{SHORTEST - 1}}}+)(?![^\x20\x09-\x0D])"
-CONTEXT = rf"({WORD}[\x20\x09]++)?({WORD})[\x20\x09]*+\z"
+#: A word that is no identifier, and the end of the text before a span: up to two such words of the same line, and the head of the span's token.
+WORD = rf"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D0-9@]{{1,{LONGEST_WORD}}}+|[^\x20\x09-\x0D]{{1,{SHORTEST - 1}}}+)(?![^\x20\x09-\x0D])"
+CONTEXT = rf"((?:{WORD}[\x20\x09]{{1,{LONGEST_GAP}}}+)?{WORD}[\x20\x09]{{1,{LONGEST_GAP}}}+)[^\x20\x09-\x0D]{{0,{LONGEST_HEAD}}}+\z"
+#: What a text with matches of a base pattern has.
+HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
+#: Characters of a piece in which a text is cut, so that a place far inside is found without a walk from the start.
+PIECE = 1024
+#: Powers of two for running totals and searches: texts have fewer matches.
+LEVELS = 28
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
-#: A seed or candidate; base spans carry the same, in the order of SPAN.
+#: A seed or candidate.
 PLACE = "struct<start:int,kind:int,end:int,token:bigint,context:string>"
 
 
@@ -75,104 +85,131 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def last_of(before: Column, *more: Column) -> Column:
-    """The last characters of a text given in pieces: as many as a context looks at."""
-    return F.right(F.concat(before, *more), F.lit(REACH))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value evaluated once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def powers(falling: bool = False) -> Column:
+    return F.array(*(F.lit(1 << k) for k in sorted(range(LEVELS), reverse=falling)))
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array, by doubling: n log n, where appending one by one would copy n * n."""
+
+    def double(own: Column, step: Column) -> Column:
+        return F.transform(own, lambda x, i: F.coalesce(combine(x, F.get(own, i - step)), x))
+
+    return let(values, lambda v: F.aggregate(F.filter(powers(), lambda p: p < F.size(v)), v, double))
+
+
+def ends_of(pieces: Column, matches: Column) -> Column:
+    """Where the matches end, from the pieces between them."""
+    return running(F.zip_with(pieces, matches, lambda p, m: F.length(p) + F.coalesce(F.length(m), F.lit(0))), lambda a, b: a + b)
+
 
+def pieces_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
 
-def context_of(before: Column) -> Column:
-    """The words before a token, from the text before a place in it."""
-    words = F.regexp_extract(F.regexp_replace(before, r"[^\x20\x09-\x0D]++\z", ""), CONTEXT, 0)
+
+def part(pieces: Column, start: Column, end: Column) -> Column:
+    """The text from start to end."""
+    first = F.floor(start / PIECE).cast("int")
+    own = F.array_join(F.slice(pieces, first + 1, F.floor(end / PIECE).cast("int") - first + 1), "")
+    return F.substr(own, start - first * PIECE + 1, end - start)
+
+
+def context_of(pieces: Column, start: Column) -> Column:
+    """The words before a place."""
+    words = F.regexp_extract(part(pieces, F.greatest(start - REACH, F.lit(0)), start), CONTEXT, 1)
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(words)), r"\s+", " "), "[0-9]+", "0")
 
 
-def place(start: Column, kind: Column, end: Column, token: Column, context: Column) -> Column:
-    return F.struct(start.cast("int").alias("start"), kind.cast("int").alias("kind"), end.cast("int").alias("end"), F.xxhash64(F.lower(token)).alias("token"), context.alias("context"))
+def place(pieces: Column, start: Column, kind: Column, end: Column, token: Column) -> Column:
+    return F.struct(start.cast("int").alias("start"), kind.cast("int").alias("kind"), end.cast("int").alias("end"), F.xxhash64(F.lower(token)).alias("token"), context_of(pieces, start).alias("context"))
 
 
-def pieces_and_matches(text: Column, pattern: str) -> tuple[Column, Column]:
-    """All matches, and an array of (piece before, match); the last piece has no match."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return found, F.arrays_zip(F.split(text, pattern, -1).alias("piece"), found.alias("match"))
+def base_spans(text: Column, kind: str) -> Column:
+    """The base spans of a kind; places are sums of the lengths of matches and of what is between them."""
+    code, none = KINDS.index(kind), F.array().cast(SPAN)
 
+    def places(found: Column) -> Column:
+        def spans(ends: Column) -> Column:
+            made = F.transform(found, lambda m, i: F.when(valid(kind, m), F.struct((F.get(ends, i) - F.length(m)).alias("start"), F.lit(code).alias("kind"), F.get(ends, i).alias("end"))))
+            return F.filter(made, lambda x: x.isNotNull()).cast(SPAN)
 
-def base_places(text: Column, kind: str) -> Column:
-    """The base spans of a kind with their texts' hashes and contexts; places are sums of lengths."""
-    code = KINDS.index(kind)
-    found, both = pieces_and_matches(text, PATTERNS[kind])
+        return F.when(F.exists(found, lambda m: valid(kind, m)), let(ends_of(F.split(text, PATTERNS[kind], -1), found), spans)).otherwise(none)
 
-    def keep(match: Column) -> Column:
-        return valid(kind, match)
+    return F.when(text.rlike(HINTS[kind]), let(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), places)).otherwise(none)
 
-    def step(state: Column, x: Column) -> Column:
-        piece, match = x["piece"], x["match"]
-        start = state["at"] + F.length(piece)
-        end = start + F.length(match)
-        made = place(start, F.lit(code), end, match, context_of(last_of(state["tail"], piece)))
-        out = F.when(match.isNotNull() & keep(match), F.array_append(state["out"], made)).otherwise(state["out"])
-        return F.struct(F.coalesce(end, start).alias("at"), last_of(state["tail"], piece, F.coalesce(match, F.lit(""))).alias("tail"), out.alias("out"))
 
-    none = F.array().cast(f"array<{PLACE}>")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out"))
-    return F.when(F.exists(found, keep), F.aggregate(both, start, step)["out"]).otherwise(none)
+def furthest(spans: Column) -> Column:
+    """The last end of each span and those before it."""
+    return running(F.transform(spans, lambda b: b["end"]), F.greatest)
 
 
-def seeds_of(base: Column) -> Column:
-    """Of base spans in order, those that overlap none before."""
+def seeds_of(base: Column, reach: Column, pieces: Column) -> Column:
+    """Of base spans in order, those that overlap none before. reach: furthest(base)."""
+    clear = F.filter(base, lambda b, i: (i == 0) | (F.get(reach, i - 1) <= b["start"]))
+    return F.transform(clear, lambda b: place(pieces, b["start"], b["kind"], b["end"], part(pieces, b["start"], b["end"])))
 
-    def step(state: Column, b: Column) -> Column:
-        out = F.when(b["start"] >= state["at"], F.array_append(state["out"], b)).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], b["end"]).alias("at"), out.alias("out"))
 
-    return F.aggregate(base, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{PLACE}>").alias("out")), step)["out"]
+def is_free(base: Column, reach: Column, start: Column, end: Column) -> Column:
+    """Whether no base span overlaps: of the spans that start before the end, found by bisection, none reaches beyond the start."""
+    before = F.aggregate(powers(falling=True), F.lit(0), lambda n, p: F.when(F.get(base, n + p - 1)["start"] < end, n + p).otherwise(n))
+    return (F.size(base) == 0) | (F.coalesce(F.get(reach, before - 1), F.lit(0)) <= start)
 
 
-def candidates(text: Column, base: Column) -> Column:
+def candidates(text: Column, base: Column, reach: Column, pieces: Column) -> Column:
     """Tokens outside of base spans that may be identifiers, with the words before them; digit groups in a row are one."""
-    found, both = pieces_and_matches(text, CANDIDATE)
-    none = F.lit(None).cast("struct<start:int,text:string,context:string>")
-
-    def closed(state: Column) -> Column:
-        """What was found, with the open candidate."""
-        own = state["open"]
-        bare = F.regexp_replace(own["text"], r"[.,;:!?)\"'\]]+$", "")
-        made = place(own["start"], F.lit(None), own["start"] + F.length(bare), bare, own["context"])
-        return F.when(own.isNotNull() & (F.length(own["text"]) >= SHORTEST) & (own["context"] != ""), F.array_append(state["out"], made)).otherwise(state["out"])
-
-    def step(state: Column, x: Column) -> Column:
-        piece, match, own = x["piece"], x["match"], state["open"]
-        start = state["at"] + F.length(piece)
-        end = start + F.length(match)
-        in_base = F.exists(base, lambda b: (b["start"] < end) & (start < b["end"]))
-        free = match.isNotNull() & ~in_base
-        group = match.rlike(GROUP)
-        joins = F.coalesce(free & state["group"] & group & piece.rlike(r"\A[\x20\x09]++\z") & ~own["text"].rlike(LAST_GROUP), F.lit(False))
-        fresh = F.struct(start.cast("int").alias("start"), match.alias("text"), context_of(last_of(state["tail"], piece)).alias("context"))
-        longer = F.struct(own["start"].alias("start"), F.concat(own["text"], piece, match).alias("text"), own["context"].alias("context"))
-        return F.struct(
-            F.coalesce(end, start).alias("at"),
-            last_of(state["tail"], piece, F.coalesce(match, F.lit(""))).alias("tail"),
-            F.coalesce(free & group, F.lit(False)).alias("group"),
-            F.when(joins, longer).when(free, fresh).otherwise(none).alias("open"),
-            F.when(joins, state["out"]).otherwise(closed(state)).alias("out"),
-        )
+
+    def told(found: Column) -> Column:
+        between = F.split(text, CANDIDATE, -1)
+        return let(between, lambda gaps: let(ends_of(gaps, found), lambda ends: let(tokens(found, gaps, ends), runs)))
+
+    def tokens(found: Column, gaps: Column, ends: Column) -> Column:
+        """start, end, free, group, spaced (by blanks from the token before), closed (no group joins it)."""
+
+        def token(m: Column, i: Column) -> Column:
+            end = F.get(ends, i)
+            start = end - F.length(m)
+            return F.struct(
+                start.alias("start"), end.alias("end"), is_free(base, reach, start, end).alias("free"), m.rlike(GROUP).alias("group"), F.get(gaps, i).rlike(r"\A[\x20\x09]++\z").alias("spaced"), m.rlike(LAST_GROUP).alias("closed")
+            )
+
+        return F.transform(found, token)
+
+    def runs(own: Column) -> Column:
+        def joins(i: Column) -> Column:
+            x, before = F.get(own, i), F.get(own, i - 1)
+            return F.coalesce(x["free"] & x["group"] & before["free"] & before["group"] & x["spaced"] & ~before["closed"], F.lit(False))
+
+        heads = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: ~joins(i))
+
+        def run(heads: Column) -> Column:
+            each = F.transform(heads, lambda h, i: F.struct(F.get(own, h)["start"].alias("start"), F.get(own, F.coalesce(F.get(heads, i + 1), F.size(own)) - 1)["end"].alias("end"), F.get(own, h)["free"].alias("free")))
+            return F.filter(each, lambda r: r["free"] & (r["end"] - r["start"] >= SHORTEST))
+
+        return F.transform(let(heads, run), closed)
+
+    def closed(r: Column) -> Column:
+        bare = F.regexp_replace(part(pieces, r["start"], r["end"]), r"[.,;:!?)\"'\]]+$", "")
+        return let(bare, lambda b: place(pieces, r["start"], F.lit(None), r["start"] + F.length(b), b))
 
     nothing = F.array().cast(f"array<{PLACE}>")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.lit(False).alias("group"), none.alias("open"), nothing.alias("out"))
-    some = F.exists(found, lambda m: F.length(m) >= SHORTEST) | (F.size(found) > 1)
-    return F.when(some, F.aggregate(both, start, step)["out"]).otherwise(nothing)
+    return F.when(text.rlike("[0-9@]"), let(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda found: F.when(F.size(found) > 0, told(found)).otherwise(nothing))).otherwise(nothing)
 
 
-def score_contexts(edges: DataFrame) -> DataFrame:
-    """edges (context, token, kind: of the seed in the token, or null; n) -> context, kind, confidence.
+def score_contexts(edges: DataFrame, rows: int) -> DataFrame:
+    """edges (context, token, kind: of the seed in the token, or null; rows of them at most) -> context, kind, confidence.
 
     Only contexts with enough different seeds of a kind are scored."""
     seeded = edges.where("kind is not null").groupBy("context", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= LEAST_SEEDS).drop("seeds")
-    graph = cut(edges.select("context", "token", F.col("kind").alias("seed")).join(seeded, "context"))
+    graph = cut(edges.select("context", "token", F.col("kind").alias("seed")).join(seeded, "context"), len(KINDS) * rows)
     scored = graph.select("context", "kind", "token", F.when(F.col("seed") == F.col("kind"), 1.0).otherwise(0.0).alias("score"))
     confidence = None
     for _ in range(ROUNDS):
-        confidence = cut(scored.groupBy("context", "kind").agg((F.sum("score") / (F.count("*") + F.lit(SMOOTHING))).alias("confidence")))
+        confidence = cut(scored.groupBy("context", "kind").agg((F.sum("score") / (F.count("*") + F.lit(SMOOTHING))).alias("confidence")), rows)
         spread = graph.join(confidence, ["context", "kind"])
         token = spread.groupBy("token", "kind").agg(F.max(F.when(F.col("seed") == F.col("kind"), 1.0).otherwise(0.0)).alias("known"), (1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("told"))
         token = token.select("token", "kind", F.greatest("known", "told").alias("score"))
@@ -184,13 +221,15 @@ def find_personal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """id, text_key (a hash of the text), base and spans: arrays of (start, kind, end), in order; one row for each row of df."""
     text = text_of(text_col)
     docs = df.select(F.col(id_col).alias("id"), text.alias("text"))
-    found = docs.select("id", "text", F.array_sort(F.concat(*(base_places(F.col("text"), kind) for kind in KINDS))).alias("base"))
-    places = F.concat(seeds_of(F.col("base")), candidates(F.col("text"), F.col("base")))
-    spans = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end")))
-    found = cut(found.select("id", F.md5(F.col("text").cast("binary")).alias("text_key"), spans.alias("base"), places.alias("places")))
-    places = found.where(F.size("places") > 0).select("id", "text_key", F.explode("places").alias("p")).select("id", "text_key", "p.*").where("context != ''")
+    found = docs.select("id", "text", F.array_sort(F.concat(*(base_spans(F.col("text"), kind) for kind in KINDS))).alias("base"))
+    found = found.select("*", furthest(F.col("base")).alias("reach"), F.when((F.size("base") > 0) | F.col("text").rlike("[0-9@]"), pieces_of(F.col("text"))).alias("pieces"))
+    base, reach, pieces = F.col("base"), F.col("reach"), F.col("pieces")
+    places = F.concat(seeds_of(base, reach, pieces), candidates(F.col("text"), base, reach, pieces))
+    found = cut(found.select("id", F.md5(F.col("text").cast("binary")).alias("text_key"), "base", F.filter(places, lambda p: p["context"] != "").alias("places")))
+    n = found.agg(F.sum(F.size("places"))).first()[0] or 0
+    places = found.where(F.size("places") > 0).select("id", "text_key", F.explode("places").alias("p")).select("id", "text_key", "p.*")
     edges = places.groupBy("context", "token").agg(F.min("kind").alias("kind"))
-    strong = score_contexts(edges).where(F.col("confidence") >= CONFIDENT)
+    strong = score_contexts(edges, n).where(F.col("confidence") >= CONFIDENT)
     best = strong.groupBy("context").agg(F.max(F.struct("confidence", F.col("kind").alias("found"))).alias("best")).select("context", F.col("best.found").alias("found"))
     new = places.where(F.col("kind").isNull() & (F.col("end") - F.col("start") >= SHORTEST)).join(best, "context")
     new = new.groupBy("id", "text_key").agg(F.collect_set(F.struct("start", F.col("found").alias("kind"), "end")).alias("new"))
@@ -207,14 +246,15 @@ def masked(text: Column, spans: Column) -> Column:
     """The text with each span (or run of overlapping spans) replaced by its kind in brackets."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        kept = F.substr(text, state["at"] + 1, s["start"] - state["at"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, F.array_append(F.array_append(state["out"], kept), F.element_at(names, s["kind"] + 1))).otherwise(state["out"]).alias("out"))
+    def cut_out(reach: Column, pieces: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(reach, i - 1), F.lit(0))
+            return F.when(s["start"] >= before, F.concat(part(pieces, before, s["start"]), F.get(names, s["kind"]))).otherwise("")
+
+        last = F.get(reach, F.size(reach) - 1)
+        return F.concat(F.array_join(F.transform(spans, one), ""), part(pieces, last, F.length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(spans, start, step)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(done["out"], ""), F.substr(text, done["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) == 0, text).otherwise(let(furthest(spans), lambda reach: let(pieces_of(text), lambda pieces: cut_out(reach, pieces))))
 
 
 def mask_personal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
