@@ -32,7 +32,7 @@ def found(df):
 
 
 def test_recall(spark, monkeypatch):
-    monkeypatch.setattr(ann, "LEAST_VISITED", 0)
+    monkeypatch.setattr(ann, "TRIED", 20)
     monkeypatch.setattr(ann, "BLOCK", 300)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 16)).astype(np.float32).astype(np.float64)
@@ -53,6 +53,37 @@ def test_ties_and_invalid_vectors(spark):
     assert {q: [v for v, _ in own] for q, own in got.items()} == {q: [v for v in range(22) if v != q][:20] for q in (0, 20, 40)}
 
 
+def test_repeated_rows(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 4)).astype(np.float32).astype(np.float64)
+    rows = [*enumerate(x), (0, x[0]), (0, x[0]), (7, x[7]), (20, x[33])]
+    x[20] = min(x[20], x[33], key=lambda v: v.astype("<f4").tobytes())
+    got = found(ann.search(frame(spark, rows), every=20))
+    want = exact(range(60), x, 20, 20)
+    assert all(len({v for v, _ in own}) == len(own) == 20 for own in got.values()) and got.keys() == want.keys()
+    assert np.mean([len({v for v, _ in own} & set(want[q])) / 20 for q, own in got.items()]) >= 0.9
+
+
+def test_structured_vectors_are_not_all_visited(spark, monkeypatch):
+    visited = []
+    traverse = ann.traverse
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    x = (centres[rng.integers(0, 40, 3000)] + 0.05 * rng.normal(size=(3000, 16))).astype(np.float32).astype(np.float64)
+    books = [ann.k_means(x[:, :8], 32), ann.k_means(x[:, 8:], 32)]
+    a, b = ann.nearest(x[:, :8], books[0]), ann.nearest(x[:, 8:], books[1])
+    counts = np.zeros((32, 32), np.int64)
+    np.add.at(counts, (a, b), 1)
+    near = exact(range(3000), x, 300, 20)
+    seen = np.concatenate([ann.position(books[0] @ x[q, :8], books[1] @ x[q, 8:], counts, a[own] * 32 + b[own]) for q, own in near.items()])
+    wanted = float(np.quantile(seen, 0.94, method="higher"))
+    assert wanted < 0.25 * 3000
+    for q, own in near.items():  # what position() says is what the heap does
+        cells = traverse(books[0] @ x[q, :8], books[1] @ x[q, 8:], counts, wanted)
+        visited.append(sum((a[v], b[v]) in set(cells) for v in own) / 20)
+    assert np.mean(visited) >= 0.93
+
+
 def test_few_and_none(spark):
     got = found(ann.search(frame(spark, [(0, [1, 0]), (3, [0, 1]), (5, [-1, 0])]), every=20))
     assert got == {0: [(3, 0.0), (5, -1.0)]}
