@@ -46,14 +46,35 @@ def test_random(codec, library, text):
 
 def test_failing_proposals_are_merged(codec):
     words = [b" therein", b"abcabcabc", b"tionally", b"...."]
-    assert {w: np.frombuffer(p, "<u4").tolist() for w, p in codec.learn(words).items()} == {w: codec.merge(w) for w in words}
+    own = codec.encoder
+    assert {w: np.frombuffer(p, "<u4").tolist() for w, p in own.learn(words).items()} == {w: own.merge(w) for w in words}
 
 
+def test_pair_checks_are_exact(codec):
+    """Whole entries and compatible pairs, against merging their bytes."""
+    own, rng = codec.encoder, np.random.default_rng(0)
+    assert own.orderly
+    ids = rng.choice([i for b, i in codec.vocab.items()], 4000)
+    assert own.whole[ids].tolist() == [own.merge(codec.bytes[i]) == [i] for i in ids.tolist()]
+    whole = np.flatnonzero(own.whole)
+    common = whole[:3000]
+    left, right = np.append(rng.choice(whole, 5000), rng.choice(common, 20000)), np.append(rng.choice(whole, 5000), rng.choice(common, 20000))
+    left, right = np.append(left, common), np.append(right, common)  # an entry next to itself
+    want = [own.merge(codec.bytes[a] + codec.bytes[b]) == [a, b] for a, b in zip(left.tolist(), right.tolist(), strict=True)]
+    assert own.compatible(left, right).tolist() == want and 0 < sum(want) < len(want)
+
+
+def test_a_disorderly_vocabulary_is_merged_exactly():
+    vocab = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257, b"bc": 258}
+    own = bpe.Encoder(vocab, [(b"a", b"b"), (b"ab", b"c"), (b"b", b"c"), (b"a", b"bc")], {})
+    assert not own.orderly and own.learn([b"abcbc"]) == {b"abcbc": np.array([257, 258], "<u4").tobytes()}
+
 def test_frame(spark, codec):
     df = spark.createDataFrame([(1, "a b", 5), (1, "a b", 6), (2, None, 7), (None, "", 8)], "doc_id long, text string, ids int")
     out = bpe.bpe_decode(bpe.bpe_encode(df, PATH), PATH).collect()
     assert sorted((r.doc_id or 0, r.n_tokens, r.decoded) for r in out) == [(0, 0, ""), (1, 2, "a b"), (1, 2, "a b"), (2, 0, "")]
-    assert bpe.bpe_encode(df.limit(0), PATH).count() == 0
+    assert sorted(map(str, out)) == sorted(map(str, bpe.bpe_round_trip(df, PATH).collect()))
+    assert bpe.bpe_encode(df.limit(0), PATH).count() == bpe.bpe_round_trip(df.limit(0), PATH).count() == 0
 
 
 def test_query(spark, library):

@@ -1,9 +1,11 @@
 """BPE encoding and decoding: speculate, verify, and merge exactly only what fails.
 
 Every distinct pre-token is first cut greedily into the longest vocabulary entries. A cut is right when
-all its adjacent pairs are *compatible* (merging the two entries' bytes gives back just these two entries), which is
-checked for all pairs of a batch at once against a table of judged pairs. Pre-tokens with an incompatible pair, or with
-a piece that merging would not build, are merged exactly by rank.
+all its adjacent pairs are *compatible*: merging the two entries' bytes gives back just these two entries. That is checked for
+all pairs of a batch at once, in arrays: both entries are taken apart step by step, the later merge first, and at no step may the two
+pieces that meet at the border have a merge of their own that comes before the next one in either entry. Pre-tokens with an
+incompatible pair, or with a piece that merging would not build, are merged exactly by rank. The check holds for vocabularies in which
+each entry has one merge, later than those of its parts; with any other, all pre-tokens are merged exactly.
 
 Null texts count as empty; an empty text has no tokens and decodes to an empty text. Repeated rows each give a row.
 Columns other than the id and the text are ignored, whatever their names.
@@ -16,19 +18,22 @@ import heapq
 import json
 import re
 import unicodedata
-from functools import lru_cache
+from collections.abc import Callable
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow, table, text_of
+from tidemark.llm.common import kept, map_arrow, table, text_of
 
 #: The split pattern of byte-level BPE, with {L} letters, {N} numbers, {S} white space, {O} all else.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?{O}+|{S}+(?!{T})|{S}+"
-#: Words kept in a worker's cache at most; beyond that it starts anew.
-CACHE_WORDS = 400_000
+#: Words kept in a worker's cache at most (some 30 MB); beyond that it starts anew.
+CACHE_WORDS = 150_000
+#: The rank of what never merges.
+NEVER = np.iinfo(np.int64).max
 #: Below this code point the classes are spelt out, so that the faster of two regex engines can be used.
 LATIN_END = 0x250
 
@@ -65,33 +70,81 @@ _ASCII = re.compile(SPLIT.format(L="[A-Za-z]", N="[0-9]", S=r"\s", T=r"\S", O=r"
 _BEYOND = re.compile(f"[^\x00-{chr(LATIN_END - 1)}]")
 
 
-def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(values), bool)
-    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
-
-
 class Codec:
-    """A byte-level BPE vocabulary. encode() and decode() are exact; see the module's text for how."""
+    """A byte-level BPE vocabulary. encode_all() and decode() are exact; see the module's text for how."""
 
     def __init__(self, definition: str):
         d = json.loads(definition)
         alphabet = byte_alphabet()
-        raw = lambda token: bytes(alphabet[c] for c in token)
-        vocab = {raw(token): i for token, i in d["model"]["vocab"].items()}
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in d["model"]["merges"])
-        self.vocab = vocab
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate((raw(x), raw(y)) for x, y in pairs)}
-        self.bytes = {i: token for token, i in vocab.items()}
         self.special = {x["content"]: x["id"] for x in d["added_tokens"]}
-        self.bytes.update({i: s.encode() for s, i in self.special.items()})
+        self.vocab = {bytes(map(alphabet.__getitem__, token)): i for token, i in d["model"]["vocab"].items()}
+        self.bytes = {i: token for token, i in self.vocab.items()} | {i: s.encode() for s, i in self.special.items()}
+        self._merges = [tuple(bytes(map(alphabet.__getitem__, x)) for x in (m if isinstance(m, list) else m.split(" "))) for m in d["model"]["merges"]]
+
+    @cached_property
+    def encoder(self) -> Encoder:
+        encoder = Encoder(self.vocab, self._merges, self.special)
+        self._merges = []
+        return encoder
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
+        return self.encoder.encode_all(texts)
+
+    def decode(self, packed: bytes) -> str:
+        ids = np.frombuffer(packed, "<u4").tolist()
+        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+
+
+class Encoder:
+    def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]], special: dict[str, int]):
+        self.special = special
+        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
         self.byte_ids = [vocab.get(bytes([b])) for b in range(256)]
         self.prefixes = {token[:n]: -1 for token in vocab for n in range(1, len(token))} | vocab  # ids, -1 for mere beginnings
-        self.cut_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.whole = {i: self.merge(token) == [i] for token, i in vocab.items() if len(token) == 1}
-        self.good = np.zeros(0, np.uint64)
-        self.bad = np.zeros(0, np.uint64)
+        self.cut_at = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.words: dict = {}
+        # merges as arrays: ranks by pair, and of each entry the parts and the rank that makes it (-1: a byte)
+        pairs = np.array([(a, b, new) for (a, b), (_, new) in self.merges.items()], np.int64).reshape(-1, 3)
+        ranks = np.fromiter((rank for rank, _ in self.merges.values()), np.int64, len(self.merges))
+        keys = pairs[:, 0] << 32 | pairs[:, 1]
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = np.append(keys[order], NEVER), np.append(ranks[order], NEVER)
+        size = max(vocab.values()) + 1
+        self.left, self.right, self.birth = np.zeros(size, np.int64), np.zeros(size, np.int64), np.full(size, -1, np.int64)
+        self.left[pairs[:, 2]], self.right[pairs[:, 2]], self.birth[pairs[:, 2]] = pairs[:, 0], pairs[:, 1], ranks
+        single = np.zeros(size, bool)
+        single[[i for i in self.byte_ids if i is not None]] = True
+        #: Whether entries are made by one merge each, after those of their parts.
+        self.orderly = len(np.unique(pairs[:, 2])) == len(pairs) and not single[pairs[:, 2]].any() and bool((self.birth[pairs[:, :2]] < ranks[:, None]).all())
+        #: Entries that merging their own bytes gives back.
+        self.whole = single
+        if self.orderly:
+            own = self.apart(pairs[:, 0], pairs[:, 1], ranks)
+            for (a, b, new), ok in zip(pairs.tolist(), own.tolist(), strict=True):  # parts come first
+                self.whole[new] = ok and self.whole[a] and self.whole[b]
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of the merges of pairs; NEVER where there is none."""
+        keys = left << 32 | right
+        at = np.searchsorted(self.pair_keys[:-1], keys)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NEVER)
+
+    def apart(self, left: np.ndarray, right: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """For arrays of adjacent ids, whether no merge crosses their border before the given ranks, from the bytes on."""
+        out = np.ones(len(left), bool)
+        at, x, y, before = np.arange(len(left)), left.copy(), right.copy(), before.copy()
+        while len(at):
+            crosses = self.rank_of(x, y) < before
+            out[at[crosses]] = False
+            own, other = self.birth[x], self.birth[y]
+            on = ~crosses & ((own >= 0) | (other >= 0))
+            # the later merge is undone; of equal merges the left one came first, so a merge across may equal the right one's rank
+            first = own > other
+            before = np.where(first, own, other + 1)[on]
+            x, y = np.where(first, self.right[x], x)[on], np.where(first, y, self.left[y])[on]
+            at = at[on]
+        return out
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merging by rank, with a heap of the adjacent pairs: n log n for a word of n bytes."""
@@ -130,34 +183,21 @@ class Codec:
             at = after
         return out
 
-    def _is_whole(self, i: int) -> bool:
-        if i not in self.whole:
-            self.whole[i] = self.merge(self.bytes[i]) == [i]
-        return self.whole[i]
-
     def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """For arrays of adjacent ids, whether each pair stays as it is when its bytes are merged."""
-        keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        known_good = _member(distinct, self.good)
-        new = distinct[~known_good & ~_member(distinct, self.bad)]
-        if len(new):
-            verdicts = np.array([self.merge(self.bytes[a] + self.bytes[b]) == [a, b] for a, b in ((int(k) >> 32, int(k) & 0xFFFFFFFF) for k in new)])
-            self.good, self.bad = np.union1d(self.good, new[verdicts]), np.union1d(self.bad, new[~verdicts])
-            known_good = _member(distinct, self.good)
-        return known_good[inverse]
+        """For arrays of adjacent whole entries, whether each pair stays as it is when its bytes are merged."""
+        keys, inverse = np.unique(left << 32 | right, return_inverse=True)
+        return self.apart(keys >> 32, keys & 0xFFFFFFFF, np.full(len(keys), NEVER))[inverse]
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of distinct words, packed as little-endian unsigned 32-bit integers."""
         proposals = [self.propose(w) for w in words]
         sizes = np.fromiter(map(len, proposals), np.int64, len(proposals))
-        flat = np.fromiter((i for p in proposals for i in p), np.uint32, int(sizes.sum()))
+        flat = np.fromiter((i for p in proposals for i in p), np.int64, int(sizes.sum()))
         owner = np.repeat(np.arange(len(words)), sizes)
-        fails = np.zeros(len(words), bool)
-        if len(flat):
-            wholes = {int(i): self._is_whole(int(i)) for i in np.unique(flat)}
-            fails[owner[~np.fromiter((wholes[i] for i in flat.tolist()), bool, len(flat))]] = True
-            same = owner[1:] == owner[:-1]
+        fails = np.full(len(words), not self.orderly)
+        if self.orderly and len(flat):
+            fails[owner[~self.whole[flat]]] = True
+            same = (owner[1:] == owner[:-1]) & ~fails[owner[1:]]
             fails[owner[1:][same][~self.compatible(flat[:-1][same], flat[1:][same])]] = True
         out, start, packed = {}, 0, flat.astype("<u4").tobytes()
         for k, (word, size) in enumerate(zip(words, sizes.tolist(), strict=True)):
@@ -189,34 +229,21 @@ class Codec:
         get = self.words.__getitem__
         return [b"".join([p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(get, p)) for p in parts]) for parts in split]
 
-    def decode(self, packed: bytes) -> str:
-        ids = np.frombuffer(packed, "<u4").tolist()
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
-
-
-_CODECS: dict[str, Codec] = {}
-
-
-def codec(definition: str) -> Codec:
-    """One codec for each vocabulary and worker."""
-    key = hashlib.sha256(definition.encode()).hexdigest()
-    if key not in _CODECS:
-        _CODECS[key] = Codec(definition)
-    return _CODECS[key]
 
-
-def _shared(spark: SparkSession, path: str):
-    """The vocabulary (a few MB whatever the data) goes from the driver to all executors."""
+def _shared(spark: SparkSession, path: str) -> Callable[[], Codec]:
+    """The vocabulary (a few MB whatever the data) goes from the driver to all executors; each worker keeps one codec of it."""
     with open(path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(f.read())
+        definition = f.read()
+    key, shared = hashlib.sha256(definition.encode()).hexdigest(), spark.sparkContext.broadcast(definition)
+    return lambda: kept(key, lambda: Codec(shared.value))
 
 
 def bpe_encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, ids (packed little-endian unsigned 32-bit) of every whole text. vocabulary: path of a tokenizer file."""
-    shared = _shared(df.sparkSession, vocabulary)
+    codec = _shared(df.sparkSession, vocabulary)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = codec(shared.value).encode_all(batch.column(1).to_pylist())
+        ids = codec().encode_all(batch.column(1).to_pylist())
         return pa.record_batch([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "n_tokens", "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -225,17 +252,31 @@ def bpe_encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
 
 def bpe_decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """The columns of bpe_encode()'s result and the decoded text. Null ids decode to an empty text."""
-    shared = _shared(encoded.sparkSession, vocabulary)
+    codec = _shared(encoded.sparkSession, vocabulary)
     names = encoded.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = codec(shared.value)
+        own = codec()
         texts = [own.decode(x) if x else "" for x in batch.column(names.index("ids")).to_pylist()]
         return pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 
     return map_arrow(encoded, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded string")
 
 
+def bpe_round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What bpe_decode() gives for bpe_encode()'s result, in one pass: a worker decodes what it has just encoded, so a task has one worker."""
+    codec = _shared(df.sparkSession, vocabulary)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = codec()
+        ids = own.encode_all(batch.column(1).to_pylist())
+        decoded = pa.array([own.decode(x) if x else "" for x in ids], pa.string())
+        return pa.record_batch([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), decoded], names=[id_col, "n_tokens", "ids", "decoded"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return map_arrow(df.select(id_col, text_of(text_col).alias("text")), run, f"`{id_col}` {kind}, n_tokens long, ids binary, decoded string")
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -244,6 +285,5 @@ def default_vocabulary() -> str:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents, decode the ids again, and return digests of both."""
-    path = default_vocabulary()
-    both = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), path), path)
+    both = bpe_round_trip(table(spark, sf_dir, "documents"), default_vocabulary())
     return both.select("doc_id", "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
