@@ -34,10 +34,27 @@ def test_stages(spark, tmp_path):
 
 
 def test_awkward_rows(spark, tmp_path):
-    rows = [(1, "a b c d e f", None, None, 11), (1, "a b c d e f", None, None, 11), (2, None, "en", "s", None), (None, "x", None, "s", 1), (None, "x", None, "s", 1)]
+    rows = [(1, "a b c d e f", None, None, 11), (1, "a b c d e f", None, None, 11), (2, None, "en", "s", None), (None, "x", None, "s", 1), (None, "x", None, "s", 1), (4, "", "en", "s", 0), (5, "w " * 300_000, "en", "s", 600_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.one_of_each_group(spark, docs, SF)
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 2]
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 4, 5]
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, docs, SF).collect()
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_one_id_with_several_texts(spark):
+    """A text of its own stays, even if its id also names a copy of another document."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = spark.createDataFrame([(2, a + " tail"), (2, b), (1, a), (3, b + " tail")], "doc_id long, text string")
+    kept = corpus_pipeline.one_of_each_group(spark, docs, SF)
+    assert sorted(map(tuple, kept.collect())) == [(1, a), (2, b)]
+
+
+def test_columns_with_clashing_names(spark):
+    names = ["row", "id", "th", "head", "score", "found", "piece", "spans", "key", "worded", "selected"]
+    docs = spark.createDataFrame([(i, f"write to user{i}@mail.com {i}", "en", "s", 30, *range(len(names))) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and all(r[5:] == tuple(range(len(names))) for r in out.collect())
+    assert corpus_pipeline.tokens(spark, docs, SF).count() == 20
