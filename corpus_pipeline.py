@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, mixing, ngram_join, pii, toxicity
 from tidemark.llm.common import checkpoint_dir, table
+from tidemark.operators import files
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,13 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of exact and near copies, the document with the smallest id; repeated rows count as copies.
-
-    Documents without an id can't be told apart and stay."""
-    named = docs.where(F.col("doc_id").isNotNull())
-    joined = ngram_join.ngram_join(named)
-    heads = joined.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    return named.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where(F.col("doc_id").isNull()))
+    """Of each group of exact and near copies, the document with the smallest id, once; texts without words stay."""
+    return ngram_join.one_of_each(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +40,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (packed), and whether decoding gives the text back."""
-    path = bpe.default_vocabulary()
-    both = bpe.bpe_decode(bpe.bpe_encode(docs, path), path)
+    both = bpe.bpe_round_trip(docs, bpe.default_vocabulary())
     return both.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
@@ -62,10 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each written to the shared folder and read again."""
+    """All stages on documents, each written to the shared folder and read again; what the next stage has read goes."""
     docs = table(spark, sf_dir, "documents")
     shared = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{shared}/{k}")
         docs = spark.read.parquet(f"{shared}/{k}")
+        files.delete(spark, f"{shared}/{k - 1}")
     return docs
