@@ -42,7 +42,7 @@ def test_awkward_rows(spark):
 def test_label_model():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.2
-    accuracy = (0.95, 0.9, 0.7, 0.65)  # the annotator first, as in training
+    accuracy = (0.95, 0.9, 0.7, 0.65)
     votes = np.stack([np.where(rng.random(4000) < a, y, ~y) * 2 - 1 for a in accuracy], 1)
     votes = np.concatenate([votes, votes[:, 3:], votes[:, 3:]], 1)  # two copies of the worst voter
     posterior, chances, correlation = tox.label_model(votes, np.where(votes[:, 0] > 0, 0.95, 0.05))
@@ -50,3 +50,55 @@ def test_label_model():
     assert correlation[3, 4] > 0.95 and abs(correlation[1, 2]) < 0.3
     right = [(chances[1][2][k] + chances[0][0][k]) / 2 for k in range(4)]
     assert right == sorted(right, reverse=True)
+
+
+def test_label_model_against_its_definition():
+    """One round without correlations, by sums over rows."""
+    rng = np.random.default_rng(1)
+    votes, start = rng.integers(-1, 2, (50, 4)), rng.random(50)
+    posterior, chances, correlation = tox.label_model(votes, start, rounds=1)
+    share = [1 / max(1.0, sum(max(0.0, min(1.0, c)) for c in row)) for row in correlation]
+    prior = start.mean()
+    for c, w in enumerate((1 - start, start)):
+        for v in (-1, 0, 1):
+            for k in range(4):
+                assert np.isclose(chances[c][v + 1][k], (sum(w[r] for r in range(50) if votes[r, k] == v) + 0.5) / (w.sum() + 1.5))
+    for r in range(50):
+        logit = np.log(prior / (1 - prior)) + sum(share[k] * np.log(chances[1][votes[r, k] + 1][k] / chances[0][votes[r, k] + 1][k]) for k in range(4))
+        assert np.isclose(posterior[r], 1 / (1 + np.exp(-logit)))
+
+
+def test_lexicons_are_induced_on_other_rows():
+    """A word that only one part's rows have votes for none of them, and a row's own label has no say in its votes."""
+    rng = np.random.default_rng(4)
+    ids, names = np.arange(200), np.arange(0, 40, 2)
+    cols = rng.integers(1, 20, 600)
+    rows = np.repeat(np.arange(200), 3)
+    labels = rng.integers(0, 2, 200)
+    own = np.flatnonzero(ids % tox.PARTS == 2)
+    found = tox.lexicon_hits(labels, ids, names, np.append(rows, own), np.append(cols, np.zeros(len(own), int)))
+    other = labels.copy()
+    other[own] = 1 - other[own]
+    again = tox.lexicon_hits(other, ids, names, np.append(rows, own), np.append(cols, np.zeros(len(own), int)))
+    assert (found[own] == again[own]).all() and found.any()
+
+
+def test_scores_are_the_sum_over_features():
+    model = tox.Model({f: 0.1 * k for w in ("idiot", "moronic", "day") for k, f in enumerate(tox.features(w), 1)}, -1.0)
+    texts = ["You idiot, idiots! Moronic day", "", "nothing here", "a day day daylong"]
+    for text, got in zip(texts, tox.Scorer(model)(texts), strict=True):
+        counts = {}
+        for w in set(tox._WORD.findall(text.lower())):
+            for f in tox.features(w):
+                if f in model.weights:
+                    counts[f] = counts.get(f, 0) + 1
+        logit = -1 + sum(model.weights[f] * np.log2(1 + n) for f, n in counts.items())
+        assert np.isclose(got, 1 / (1 + np.exp(-logit)))
+
+
+def test_score_at_the_threshold_is_predicted(spark):
+    """Ties at the threshold count as toxic; repeated rows have equal scores."""
+    bias = float(np.log(0.7 / 0.3))
+    docs = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "doc_id long, text string")
+    rows = tox.score_toxicity(docs, tox.Model({}, bias + 1e-12)).collect()
+    assert {r.score for r in rows} == {rows[0].score} and rows[0].score >= tox.THRESHOLD

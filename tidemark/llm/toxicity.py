@@ -1,11 +1,11 @@
 """Toxicity by weak supervision: many voters, a generative label model, and a linear classifier on its posterior labels.
 
-Voters are word lists (a short seed list in parts, and lists of words and word beginnings induced from one half of the
-labelled training rows), patterns (shouting, exclamation marks, repeated words) and the annotator who gave the training
-rows their labels. Each votes toxic, votes clean or abstains. The label model fits every voter's accuracy by expectation-maximisation, finds the correlations that are left
-between voters within a class, and lets correlated voters share their weight. The classifier is a logistic regression on
-hashed words and word beginnings (in how many different words each occurs), trained on the posterior labels; features that
-don't tell the classes apart get no weight.
+Voters are lexicons (a short seed list in parts; lists of words and of word beginnings that tell the labels of the training rows apart, each
+feature in one list, and a row's votes by lists induced on other rows) and patterns (shouting, exclamation marks, repeated words, several
+lexicons at once). Each votes toxic, votes clean or abstains. The label model knows the votes alone, no labels: from the lexicons' majority on,
+it estimates by expectation-maximisation the chances of every vote in either class, finds the correlations that are left between voters within
+a class, and lets correlated voters share their weight. The classifier is a logistic regression on hashed words and word beginnings (in how many
+different words each occurs), trained on the model's posterior labels; features that don't tell the classes apart get no weight.
 
 Labels are read only from rows of the training fold, at most about SAMPLE of them (chosen by a hash of the id); the score
 of a text depends on the text alone. A null text counts as empty and has no features, so its score is the classifier's
@@ -13,12 +13,10 @@ bias. Rows with a null label or id train nothing. Without any training row the s
 each give a row. Other columns are ignored, whatever their names.
 """
 
-import math
 import re
 import uuid
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,13 +37,13 @@ PART = 500_000
 BITS, STARTS = 22, (3, 4, 5, 6, 7)
 #: Documents in the sample in which a feature occurs at least.
 LEAST = 4
-#: Features that each induced voter knows, induced voters of each kind.
-LIST_SIZE, LISTS = 40, 3
+#: Parts of the training rows (a part votes by lexicons induced on the others), lexicons of words and as many of word beginnings.
+PARTS, LEXICONS = 5, 3
+#: Share of toxic rows among a lexicon feature's rows, shrunk by so many rows of the usual share, and toxic rows with it, at least.
+PURITY, SHRINK, LEAST_TOXIC = 0.5, 5, 2
 #: Chi-square that a feature's split of the posterior labels reaches at least.
 TELLING = 25.0
 THRESHOLD = 0.7
-#: Chances that the annotator calls a toxic and a clean text toxic.
-TRUST = (0.97, 0.01)
 #: Words kept in a worker's cache.
 CACHE_WORDS = 100_000
 
@@ -58,8 +56,9 @@ def held_out(id_col: Column) -> Column:
 
 
 def features(word: str) -> list[int]:
-    mask = (1 << BITS) - 1
-    return [zlib.crc32(word.encode()) & mask, *(zlib.crc32(b"^" + word[:n].encode()) & mask for n in STARTS if len(word) > n)]
+    """Hashes of the word (even) and of its beginnings (odd)."""
+    mask = (1 << BITS) - 2
+    return [zlib.crc32(word.encode()) & mask, *(zlib.crc32(word[:n].encode()) & mask | 1 for n in STARTS if len(word) > n)]
 
 
 def seed_features(part: int) -> list[int]:
@@ -87,12 +86,10 @@ def default_model() -> Model:
     return Model({f: 6.0 for part in range(len(SEEDS)) for f in seed_features(part)}, -3.0)
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30, trust: tuple[float, float] = TRUST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior chance of toxic for each row of votes (-1, 0, 1); chances of each vote by class; correlations.
 
-    start: first guess of the posterior. trust: chances that the first voter, the annotator, votes toxic on toxic and on clean rows,
-    which are given, so that voters who agree on something else than the class don't carry it away. Correlated voters'
-    log odds are divided by how many they amount to."""
+    start: first guess of the posterior. Correlated voters' log odds are divided by how many they amount to."""
     n, m = votes.shape
     shown = np.stack([(votes == v).astype(np.float64) for v in (-1, 0, 1)])  # vote, row, voter
     posterior, share, correlation = start.copy(), np.ones(m), np.eye(m)
@@ -100,7 +97,6 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30, trust: t
     for i in range(rounds):
         for c, w in enumerate((1 - posterior, posterior)):
             chances[c] = (np.einsum("r,vrm->vm", w, shown) + 0.5) / (w.sum() + 1.5)
-            chances[c][:, 0] = (1 - trust[1 - c], 1e-3, trust[1 - c])
         prior = np.clip(posterior.mean(), 1e-3, 1 - 1e-3)
         if i % 5 == 0:  # what is common to two voters beyond the class; from the start, lest copies outvote the rest
             rest = np.zeros((m, m))
@@ -130,6 +126,22 @@ def _telling(rows: np.ndarray, cols: np.ndarray, n_cols: int, y: np.ndarray) ->
     return chi, odds
 
 
+def lexicon_hits(labels: np.ndarray, ids: np.ndarray, names: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Whether each row has a feature of each lexicon, induced on the parts that the row isn't in. names: the features' hashes."""
+    out = np.zeros((len(labels), 2 * LEXICONS), bool)
+    lexicon = names % 2 * LEXICONS + (names >> 1) % LEXICONS
+    for part in range(PARTS):
+        held = ids % PARTS == part
+        at, inside = ~held[rows], held[rows]
+        share = labels[~held].mean() if not held.all() else 0.0
+        df = np.bincount(cols[at], minlength=len(names))
+        toxic = np.bincount(cols[at], weights=labels[rows[at]], minlength=len(names))
+        good = ((toxic + SHRINK * share) / (df + SHRINK) >= PURITY) & (toxic >= LEAST_TOXIC)
+        telling = good[cols[inside]]
+        out[rows[inside][telling], lexicon[cols[inside][telling]]] = True
+    return out
+
+
 def fit(labels: np.ndarray, ids: np.ndarray, found: list[np.ndarray], times: list[np.ndarray], patterns: np.ndarray) -> Model:
     """labels, a hash of ids, features, in how many words each is, and pattern votes of the training rows -> the model."""
     n = len(labels)
@@ -149,19 +161,14 @@ def fit(labels: np.ndarray, ids: np.ndarray, found: list[np.ndarray], times: lis
     cols = np.concatenate([place[own[c]] for own, c in zip(found, chosen, strict=True)])
     value = np.concatenate([np.log2(1 + own[c].astype(np.float32)) for own, c in zip(times, chosen, strict=True)])
     del chosen, place, counts
-    # voters: seed lists, and lists induced from one half of the rows
-    half = ids % 2 == 0
-    chi, odds = _telling(rows[half[rows]], cols[half[rows]], len(names), np.where(half, labels, 0).astype(np.float64))
-    ranked = [int(i) for i in np.argsort(-chi, kind="stable")[: 4 * LIST_SIZE * LISTS] if odds[i] > 2 and chi[i] > 10][: LIST_SIZE * LISTS]
-    lists = [np.flatnonzero(np.isin(names, part)).tolist() for part in seeds] + [ranked[k::LISTS] for k in range(LISTS)]
-    member = np.zeros((len(lists), len(names)), bool)
-    for k, own in enumerate(lists):
-        member[k, own] = True
-    hits = np.zeros((n, len(lists)), bool)
-    for k in range(len(lists)):
-        hits[rows[member[k][cols]], k] = True
-    votes = np.concatenate([np.where(labels > 0, 1, -1)[:, None], np.where(hits, 1, 0), np.where(hits.any(1), 0, -1)[:, None], patterns], 1)
-    posterior, chances, correlation = label_model(votes, np.where(labels > 0, 0.95, 0.05))
+    lists = lexicon_hits(labels, ids, names, rows, cols)
+    hits = np.zeros((n, len(seeds)), bool)
+    for k, own in enumerate(seeds):
+        hits[rows[np.isin(names, own)[cols]], k] = True
+    hits = np.concatenate([hits, lists], 1)
+    several = hits.sum(1)
+    votes = np.concatenate([np.where(hits, 1, 0), np.where(several[:, None] >= 2, 1, np.where(several[:, None] == 0, -1, 0)), patterns], 1)
+    posterior, chances, correlation = label_model(votes, np.where(several >= 2, 0.9, np.where(several == 1, 0.3, 0.03)))
     # the linear classifier
     chi, _ = _telling(rows, cols, len(names), posterior)
     use = chi >= TELLING
@@ -210,23 +217,35 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 class Scorer:
+    """Scores of texts, a batch at a time; only words that the model has weights for are looked at one by one."""
+
     def __init__(self, model: Model):
         self.model = model
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def __call__(self, text: str) -> float:
-        cache, weights = self.cache, self.model.weights
-        words = set(_WORD.findall(text.lower()))
-        new = [w for w in words if w not in cache]
-        if new:
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-                new = words
+        self.place = {f: i for i, f in enumerate(model.weights)}
+        self.weights = np.fromiter(model.weights.values(), np.float64, len(model.weights))
+        self.seen: set[str] = set()
+        self.telling: dict[str, list[int]] = {}
+
+    def __call__(self, texts: Iterable[str]) -> np.ndarray:
+        place, hits, owner, n = self.place, [], [], 0
+        if len(self.seen) > CACHE_WORDS:
+            self.seen.clear()
+            self.telling.clear()
+        for n, text in enumerate(texts, 1):
+            words = set(_WORD.findall(text.lower()))
+            new = words - self.seen
             for w in new:
-                cache[w] = tuple(f for f in features(w) if f in weights)
-        hits = Counter(f for own in map(cache.__getitem__, words) if own for f in own)
-        logit = self.model.bias + sum(weights[f] * math.log2(1 + hits[f]) for f in sorted(hits))
-        return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+                own = [place[f] for f in features(w) if f in place]
+                if own:
+                    self.telling[w] = own
+            self.seen |= new
+            found = [f for w in self.telling.keys() & words for f in self.telling[w]]
+            hits += found
+            owner += [n - 1] * len(found)
+        width = max(1, len(place))
+        pairs, counts = np.unique(np.array(owner, np.int64) * width + np.array(hits, np.int64), return_counts=True)
+        logit = self.model.bias + np.bincount(pairs // width, np.log2(1 + counts) * self.weights[pairs % width], n) if len(pairs) else np.full(n, self.model.bias)
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -237,7 +256,7 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(kept(key, lambda: Scorer(shared.value)))
+            yield pd.Series(kept(key, lambda: Scorer(shared.value))(texts))
         release()
 
     small_batches(docs.sparkSession)
