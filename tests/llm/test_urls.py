@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import math
+import random
 import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import urls
 
@@ -34,13 +38,14 @@ def test_parts_and_rules(spark):
     assert urls.judge_urls(df.limit(0), urls.RULES).count() == 0
 
 
-@pytest.mark.parametrize("name", ["cheappills", "onlinenews", "thecat", "zzzq", "a"])
+@pytest.mark.parametrize("name", ["cheappills", "onlinenews", "thecat", "zzzq", "a", "xthecatzz", "catz"])
 def test_viterbi_is_best(name):
-    s = urls.Splitter({"cheap": 5, "pills": 5, "online": 9, "news": 9, "the": 50, "cat": 3, "he": 20, "a": 30, "line": 5, "on": 20})
+    counts = {"cheap": 5, "pills": 5, "online": 9, "news": 9, "the": 50, "cat": 3, "he": 20, "a": 30, "line": 5, "on": 20}
+    s = urls.Splitter(counts, sum(counts.values()) + 1)
     cuts = [c for n in range(len(name)) for c in itertools.combinations(range(1, len(name)), n)]
-    best = max(sum(s._word(name[a:b]) for a, b in zip((0, *c), (*c, len(name)), strict=True)) for c in cuts)
+    best = max(sum(s.word(name[a:b]) for a, b in zip((0, *c), (*c, len(name)), strict=True)) for c in cuts)
     own = s.split(name)
-    assert "".join(own) == name and sum(map(s._word, own)) == pytest.approx(best)
+    assert "".join(own) == name and sum(map(s.word, own)) == pytest.approx(best)
 
 
 def test_verdicts(spark):
@@ -51,3 +56,75 @@ def test_verdicts(spark):
     n = len(rows)
     assert got[n - 3][0] == "block" and got[n - 3][1].startswith("free casino bets") and got[n - 2][0] == "allow" and got[n - 2][1].startswith("daily news") and got[n - 1][0] == "allow"
     assert all(got[i][0] == "allow" for i in range(200)) and all(got[i][0] == "block" for i in range(200, 230))
+
+
+def judged(spark, rows, rules=(), **more):
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    return {r.page_id: r for r in urls.judge_urls(df, rules, **more).collect()}
+
+
+def test_a_name_makes_no_word_of_itself(spark):
+    """However many hosts and domains of its own a concatenated name has."""
+    names = ["cheaploan", "www.cheaploan", "m.cheaploan"]
+    rows = [f"http://{n}.{t}/x" for n in names for t in ("net", "com")] + [f"http://site{i}.net/en/{i}" for i in range(40)]
+    got = judged(spark, rows)
+    assert all(got[i].words.replace("www ", "").replace("m ", "").startswith("cheap loan") and got[i].verdict == "block" for i in range(6))
+
+
+def test_separated_words_split_names(spark):
+    """Words in two domains, of any length up to a label's; one domain is not enough."""
+    long = "pneumonoultramicroscopicsilicovolcanoconiosis"
+    rows = [f"http://{long}-zebra.{d}.net/" for d in ("aa", "bb")] + [f"http://zebra{long}zebra.net/", "http://quokka-zebra.cc.net/", "http://quokkazebra.net/"]
+    got = judged(spark, rows)
+    assert got[2].words == f"zebra {long} zebra net" and got[3].words == "quokka zebra cc net" and got[4].words == "quokka zebra net"
+
+
+def test_bayes_against_brute_force(spark):
+    """Scores of all rows from counts of all tokens; far more tokens than any fixed number of buckets is not needed to see a collision."""
+    rng = random.Random(2)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    rows = [f"http://{rng.choice(['free-bets', 'news', 'casino', 'green-tree', 'quiet'])}.{rng.choice(['aa.com', 'bb.org', 'cc.net'])}/{rng.choice(['fr', 'de', 'en'])}/{'/'.join(rng.choices(words, k=rng.randrange(4)))}/{rng.randrange(99)}" for _ in range(400)]
+    rows += [None, "http://", rows[0], rows[0]]
+    got = judged(spark, rows, urls.RULES)
+    counts, classes = {0: Counter(), 1: Counter()}, Counter()
+    tokens = {}
+    for i, u in enumerate(rows):
+        host, path = parse(u)
+        own = ["h:" + w for w in re.findall("[a-z]+|#", re.sub("[0-9]+", "#", host))] + ["p:" + w for w in re.findall("[a-z]+|#", re.sub("[0-9]+", "#", path))]
+        assert got[i].words.split() == [t[2:] for t in own], u  # no concatenated names here
+        unwanted = any(t in own for t in ("h:" + w for w in urls.UNWANTED))
+        rule = by_rule(host, path)
+        c = 1 if rule and rule[0] == "block" else None if rule and unwanted else 0 if rule else int(unwanted)
+        tokens[i] = own
+        if c is not None:
+            counts[c].update(own)
+            classes[c] += 1
+    counts[1].update({"h:" + w: urls.LISTED * urls.UNWANTED.count(w) for w in urls.UNWANTED})
+    counts[0].update({"h:" + w: urls.LISTED * urls.COMMON.count(w) for w in urls.COMMON})
+    vocabulary = len({*counts[0], *counts[1]})
+    chance = [lambda t, c=c: math.log((counts[c][t] + urls.SMOOTHING) / (counts[c].total() + urls.SMOOTHING * vocabulary)) for c in (0, 1)]
+    for i, own in tokens.items():
+        want = math.log((classes[1] + 1) / (classes[0] + 1)) + sum(chance[1](t) - chance[0](t) for t in own)
+        assert got[i].score == pytest.approx(want, abs=1e-9)
+        rule = by_rule(got[i].host, got[i].path)
+        assert got[i].verdict == (rule[0] if rule else "block" if want > 0 else "allow")
+
+
+def test_held_out_accuracy(spark):
+    """Rows that teach nothing get the class that their voters would have given."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    held = F.crc32(F.col("page_id").cast("string").cast("binary")) % 3 == 1
+    got = urls.judge_urls(pages, urls.RULES, teaches=~held).withColumn("held", held).where("held and rule is null").collect()
+    right = [(r.verdict == "block") == any(w in urls.UNWANTED for w in r.words.split()) for r in got]
+    assert len(got) > 200 and sum(right) / len(right) > 0.97
+
+
+def test_repeated_rows_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "http://a.net/x"), (1, "http://a.net/x"), (None, "http://a.net/x"), (None, None)], "page_id long, url string")
+    out = urls.judge_urls(df, urls.RULES).collect()
+    assert len(out) == 4 and sorted((r.page_id or 0, r.host) for r in out) == [(0, ""), (0, "a.net"), (1, "a.net"), (1, "a.net")]
+
+
+def test_a_very_long_host(spark):
+    got = judged(spark, ["http://" + "freecasino" * 2000 + ".net/" + "x" * 100_000])
+    assert got[0].words.startswith("free casino free casino") and got[0].verdict == "block"
