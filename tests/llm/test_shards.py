@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import shards
 
@@ -57,6 +60,51 @@ def test_a_hot_group_fills_few_shards(spark):
     assert least <= len({r.shard for r in rows if r.doc_id >= 50_000}) <= 1.5 * least
 
 
+@pytest.mark.parametrize("buckets", [64, 1])
+def test_no_move_is_left(spark, monkeypatch, buckets):
+    """By brute force over all cells and shards: nothing that fits would gain votes, and no shard holds more than its share."""
+    monkeypatch.setattr(shards, "MOVE_BUCKETS", buckets)
+    r = random.Random(1)
+    n, share = 6, 60
+    cells = [(f"g{g}", first, first, r.randrange(1, 9)) for g in range(25) for first in r.sample(range(n), r.randrange(1, n))]
+    load = Counter()
+    cells = [c for c in cells if load[c[1]] + c[3] <= share and not load.update({c[1]: c[3]})]
+    out = shards.propagate(spark.createDataFrame(cells, "group string, first int, shard int, n long"), share, n).collect()
+    assert sorted((c.group, c.first, c.n) for c in out) == sorted((g, f, m) for g, f, _, m in cells)
+    votes, load = Counter(), Counter()
+    for c in out:
+        votes[c.group, c.shard] += c.n
+        load[c.shard] += c.n
+    assert max(load.values()) <= share
+    for c in out:
+        assert not any(votes[c.group, s] > votes[c.group, c.shard] and load[s] + c.n <= share for s in range(n))
+    kept, before = sum(v * v for v in votes.values()), Counter()
+    for g, _, s, m in cells:
+        before[g, s] += m
+    assert kept > sum(v * v for v in before.values())
+
+
+def test_cut_edges(spark):
+    """Fewer than by hash alone; and the figure against brute force."""
+    texts = [(i, f"text {i % 300}" if i < 900 else f"alone {i}") for i in range(2000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    placed = shards.assign_shards(df, 20)
+    rows, text = placed.collect(), dict(texts)
+    groups = defaultdict(list)
+    for x in rows:
+        groups[text[x.doc_id]].append(x.shard)
+    pairs = [a != b for g in groups.values() for a, b in itertools.combinations(g, 2)]
+    assert shards.cut_share(placed) == pytest.approx(sum(pairs) / len(pairs)) and sum(pairs) / len(pairs) < 0.1
+    by_hash = placed.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(20)))
+    assert shards.cut_share(by_hash) > 0.9
+
+
+def test_a_very_long_text(spark):
+    df = spark.createDataFrame([(1, "é" * 2_000_000), (2, "é" * 2_000_000), (3, None)], "doc_id long, text string")
+    rows = shards.assign_shards(df, 2).collect()
+    assert {r.doc_id: r.size for r in rows} == {1: 4_000_016, 2: 4_000_016, 3: 16}
+
+
 def test_few_rows(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], "doc_id long, text string")
     rows = shards.assign_shards(df, 40).collect()

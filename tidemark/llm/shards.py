@@ -20,13 +20,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import checkpoint_dir, cut, table, text_of
+from tidemark.llm.common import FILE_ROWS, checkpoint_dir, cut, table, text_of
+from tidemark.operators import files
 
 SHARDS = 40
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 16
 #: Buckets in which ranks are taken, for each shard: by group, by id, and unlinked ones apart.
 GROUP_BUCKETS, ID_BUCKETS = 32, 8
+#: Buckets of the moves of one size to one shard, in which they are ranked.
+MOVE_BUCKETS = 64
 
 
 def _gather(cells: DataFrame, share: int, shards: int) -> DataFrame:
@@ -40,15 +43,35 @@ def _gather(cells: DataFrame, share: int, shards: int) -> DataFrame:
     wish = cells.join(other, "group").where("best.to != shard and n <= room").groupBy("group", "first", "shard", "n").agg(F.max("best").alias("best"))
     # of equal shards a hash decides, unless nobody can come to the present one
     moves = wish.join(own, ["group", "shard"]).where("best.votes > stay or (best.votes = stay and (here <= 0 or best.tie > xxhash64(group, shard)))")
-    # small moves first: what is too large for the room left keeps nothing else out
-    by_size = Window.partitionBy("to").orderBy("n", F.desc("gain"), "group", "first").rowsBetween(Window.unboundedPreceding, 0)
     moves = moves.select("group", "first", "n", F.col("best.to").alias("to"), (F.col("best.votes") - F.col("stay")).alias("gain"))
-    granted = moves.withColumn("taken", F.sum("n").over(by_size)).join(room.select(F.col("shard").alias("to"), "room"), "to").where("taken <= room").select("group", "first", "to")
+    # small moves first: what is too large for the room left keeps nothing else out. Sums are by size and bucket, ranks within these
+    moves = moves.withColumn("bucket", F.pmod(F.xxhash64("group", "first"), F.lit(MOVE_BUCKETS)).cast("int"))
+    sums = moves.groupBy("to", "n", "bucket").agg(F.sum("n").alias("all"))
+    before = sums.select("to", "n", "bucket", (F.sum("all").over(Window.partitionBy("to").orderBy("n", "bucket")) - F.col("all")).alias("before"))
+    before = before.join(room.select(F.col("shard").alias("to"), "room"), "to").where("before + n <= room")
+    ranked = moves.join(before, ["to", "n", "bucket"]).withColumn("at", F.row_number().over(Window.partitionBy("to", "n", "bucket").orderBy(F.desc("gain"), "group", "first")))
+    granted = ranked.where("before + at * n <= room").select("group", "first", "to")
     return cells.join(granted, ["group", "first"], "left").select("group", "first", F.coalesce("to", "shard").alias("shard"), "n", F.col("to").isNotNull().alias("has_moved"))
 
 
+def propagate(cells: DataFrame, share: int, shards: int) -> DataFrame:
+    """cells (group, first, shard, n) with the shards that they have when no move is left."""
+    spark = cells.sparkSession
+    # state goes through files: a checkpoint keeps the sizes estimated for joins, whose digits multiply from round to round
+    folder, made = f"{checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}", 1 + cells.count() // FILE_ROWS
+    state, k = cells, 0
+    while True:
+        _gather(state, share, shards).coalesce(made).write.parquet(f"{folder}/{k}")
+        state = spark.read.parquet(f"{folder}/{k}")
+        if state.where("has_moved").isEmpty():
+            return state.drop("has_moved")
+        state, k = state.drop("has_moved"), k + 1
+        if k > 1:
+            files.delete(spark, f"{folder}/{k - 2}")
+
+
 def assign_shards(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, size, text_crc32, linked (copies of the text, itself included), shard, slot."""
+    """id_col, size, text_crc32, group (a hash of the text), linked (copies of the text, itself included), shard, slot."""
     text = text_of(text_col)
     docs = cut(
         df.select(
@@ -64,16 +87,7 @@ def assign_shards(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", t
     cells = docs.groupBy("group", "first").agg(F.count("*").alias("n"))
     groups = cells.groupBy("group").agg(F.sum("n").alias("linked")).where("linked > 1")
     cells = cut(cells.join(groups, "group").select("group", "first", F.col("first").alias("shard"), "n", "linked"))
-    sizes = cells.select("group", "first", "linked")
-    state = cells.drop("linked")
-    # state goes through files: a checkpoint keeps the sizes estimated for joins, whose digits multiply from round to round
-    folder, k, moving = f"{checkpoint_dir(df.sparkSession)}/shards-{uuid.uuid4().hex}", 0, True
-    while moving:
-        _gather(state, small, shards).write.parquet(f"{folder}/{k}")
-        state = df.sparkSession.read.parquet(f"{folder}/{k}")
-        moving = not state.where("has_moved").isEmpty()
-        state, k = state.drop("has_moved"), k + 1
-    found = state.select("group", "first", F.col("shard").alias("moved")).join(sizes, ["group", "first"])
+    found = propagate(cells.drop("linked"), small, shards).select("group", "first", F.col("shard").alias("moved")).join(cells.select("group", "first", "linked"), ["group", "first"])
     placed = docs.join(found, ["group", "first"], "left").select("id", "size", "crc", "group", F.coalesce("linked", F.lit(1)).cast("long").alias("linked"), F.coalesce("moved", "first").alias("shard"))
     alone = (F.col("linked") == 1).cast("int")
     bucket = (alone * GROUP_BUCKETS + F.pmod(F.xxhash64("group"), F.lit(GROUP_BUCKETS))) * ID_BUCKETS + F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(ID_BUCKETS))
@@ -101,12 +115,21 @@ def assign_shards(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", t
         F.col("id").alias(id_col),
         "size",
         F.col("crc").alias("text_crc32"),
+        "group",
         "linked",
         F.when(kept, F.col("shard")).otherwise(F.col("taker.shard")).cast("int").alias("shard"),
         F.when(kept, F.col("rank")).otherwise(F.col("taker.stays") + F.col("surplus") - F.col("taker.from")).cast("long").alias("slot"),
     )
 
 
+def cut_share(placed: DataFrame) -> float:
+    """Of all pairs of documents with equal texts, the share that lies in different shards."""
+    cells = placed.where("linked > 1").groupBy("group", "shard").agg(F.count("*").alias("n"))
+    groups = cells.groupBy("group").agg(F.sum("n").alias("all"), F.sum(F.col("n") * (F.col("n") - 1.0)).alias("kept"))
+    pairs, kept = groups.agg(F.sum(F.col("all") * (F.col("all") - 1.0)), F.sum("kept")).first()
+    return 1 - kept / pairs if pairs else 0.0
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards by the law of even rows."""
     placed = assign_shards(table(spark, sf_dir, "documents"))
