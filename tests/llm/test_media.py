@@ -85,9 +85,68 @@ def test_grey_and_colour():
     assert jpeg.tensors(heads, c)[0][0, 0].tolist() == [198, 92, 128]
 
 
+def luma(heads, c):
+    """The luma planes, as grey images."""
+    c = c.copy()
+    for f in heads:
+        for p in f.parts[1:]:
+            c[p.base : p.base + p.rows * p.columns] = 0
+    return [t[:, :, 0].astype(int) for t in jpeg.tensors(heads, c)]
+
+
+def java_luma(spark, data):
+    """The luma plane as Java's own reader has it."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    stream = jvm.javax.imageio.ImageIO.createImageInputStream(jvm.java.io.ByteArrayInputStream(bytearray(data)))
+    reader = jvm.javax.imageio.ImageIO.getImageReadersByFormatName("jpeg").next()
+    reader.setInput(stream)
+    raster = reader.readRaster(0, None)
+    w, h = raster.getWidth(), raster.getHeight()
+    got = raster.getSamples(0, 0, w, h, 0, gateway.new_array(jvm.int, w * h))
+    return np.array(list(got)).reshape(h, w)
+
+
+def test_another_reader_sees_the_same(spark):
+    rng = np.random.default_rng(5)
+    for raw in (b"hello", bytes(rng.integers(0, 256, 700, dtype=np.uint8)), ("Ein Satz, noch ein Satz. " * 60).encode()):
+        data = jpeg.encode([padded(raw)])[0]
+        own = luma(*jpeg.coefficients([data]))[0]
+        other = java_luma(spark, data)
+        assert own.shape == other.shape and np.abs(own - other).max() <= 2 and (own == other).mean() > 0.8
+
+
+def test_progressive_files_of_another_writer(spark):
+    """Java's writer makes the file: other tables, scans and sampling."""
+    jvm, rng = spark._jvm, np.random.default_rng(6)
+    image = jvm.java.awt.image.BufferedImage(40, 24, 1)
+    for x in range(40):
+        for y in range(24):
+            image.setRGB(x, y, int(((6 * x) << 16) | ((8 * y) << 8) | int(rng.integers(0, 200))))
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    param = writer.getDefaultWriteParam()
+    param.setProgressiveMode(1)
+    out = jvm.java.io.ByteArrayOutputStream()
+    writer.setOutput(jvm.javax.imageio.ImageIO.createImageOutputStream(out))
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), param)
+    writer.getOutput().flush()
+    data = bytes(out.toByteArray())
+    assert b"\xff\xc2" in data
+    own, other = luma(*jpeg.coefficients([data]))[0], java_luma(spark, data)
+    assert own.shape == other.shape == (24, 40) and np.abs(own - other).max() <= 2
+
+
+def test_tensors_are_stored(spark):
+    df = spark.createDataFrame([(1, "a text " * 200), (None, "b"), (None, "b")], "doc_id long, text string")
+    rows = media.read_media(media.to_media(df)).collect()
+    assert len(rows) == 3
+    for r in rows:
+        rgb = np.frombuffer(bytes(r.rgb), np.uint8).reshape(r.height, r.width, 3)
+        assert media.describe(rgb) == r.feature and (rgb == jpeg.tensors(*jpeg.coefficients([bytes(r.media)]))[0]).all()
+
+
 def test_frame(spark):
     df = spark.createDataFrame([(1, "héllo", 5), (1, "héllo", 6), (2, None, 7), (3, "", 8)], "doc_id long, text string, media int")
-    rows = media.read_media(media.to_media(df), keep_tensor=True).orderBy("doc_id").collect()
+    rows = media.read_media(media.to_media(df)).orderBy("doc_id").collect()
     assert [bytes(r.payload) for r in rows] == [padded("héllo".encode())] * 2 + [b" " * 192] * 2
     assert rows[0].media == rows[1].media and rows[0].feature == rows[1].feature and len(rows[0].rgb) == 3 * rows[0].height * rows[0].width
     assert media.read_media(media.to_media(df.limit(0))).count() == 0
@@ -100,4 +159,6 @@ def test_query(spark):
         p = padded(texts[r.doc_id])
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id]), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
         m = jpeg.encode([p])[0]
+        rgb = jpeg.tensors(*jpeg.coefficients([m]))[0]
         assert (r.media_bytes, r.media_sha256) == (len(m), hashlib.sha256(m).hexdigest())
+        assert (r.feature, r.rgb_bytes, r.rgb_sha256) == (media.describe(rgb), rgb.size, hashlib.sha256(rgb.tobytes()).hexdigest())

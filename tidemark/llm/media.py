@@ -1,7 +1,7 @@
 """Media columns: payloads kept in progressive JPEG files, and what reading the files gives.
 
 A null text counts as an empty one. Each text's UTF-8 bytes are padded with spaces to a positive multiple of 192. Equal
-texts give equal files, tensors and features; repeated rows each give a row. Columns other than the id and the text are
+texts give equal files, tensors and features; repeated rows and rows with a null id each give a row. Columns other than the id and the text are
 ignored, whatever their names. Files are handled a bounded number of bytes at a time.
 """
 
@@ -58,8 +58,8 @@ def describe(rgb: np.ndarray) -> str:
     return f"{rgb.shape[0]}x{rgb.shape[1]}:{r}:{g}:{b}:{steps}"
 
 
-def read_media(media: DataFrame, id_col: str = "doc_id", keep_tensor: bool = False) -> DataFrame:
-    """The columns of to_media()'s result, with payload (binary), height, width, feature, and rgb where asked for.
+def read_media(media: DataFrame, id_col: str = "doc_id", keep_tensor: bool = True) -> DataFrame:
+    """The columns of to_media()'s result, with payload (binary), height, width, feature, and the tensor, rgb (if not told otherwise).
 
     rgb holds height * width * 3 bytes, row by row. Null files give null in all new columns."""
     names = media.columns
@@ -92,4 +92,6 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        F.octet_length("rgb").cast("long").alias("rgb_bytes"),
+        F.sha2("rgb", 256).alias("rgb_sha256"),
     )
