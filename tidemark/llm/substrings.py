@@ -7,7 +7,9 @@ key in shards of bounded numbers of words; a shard's distinct stretches make its
 are streamed: backward search over the wavelet matrix gives their matching statistics, and windows above the threshold
 are reported. Keys with more distinct stretches than a shard can hold are settled by counting their windows' hashes.
 
-Words are runs other than white space, unchanged; sameness of words, windows and stretches is that of 64-bit hashes. Null
+Words are runs other than white space, unchanged. Windows and stretches count as the same if both their keys and the 64-bit hashes of their words
+are the same: 128 bits together, so at 10**13 stretches a false match has a chance of less than 10**-12. Inside a shard words are told apart by
+64-bit hashes of its 100,000 words. Null
 texts have no words. Repeated rows (same id and text) count as occurrences, and lose the same words. An empty table gives an
 empty result. Other columns are ignored, whatever their names.
 """
@@ -177,9 +179,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     shards = max(1, -(-words // SHARD_WORDS))
     sharded = texts.where("words is not null").select(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(shards)).alias("shard"), "row", "at", "windows", "single", "words")
     streamed = sharded.groupBy("shard").applyInPandas(search_shard, "row long, from long, to long")
-    hot = texts.where("hashes is not null").select("row", "at", "single", F.posexplode("hashes").alias("i", "hash"))
-    often = hot.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    settled = hot.join(often, "hash", "left_semi").where("single").select("row", (F.col("at") + F.col("i")).cast("long").alias("from"), (F.col("at") + F.col("i") + WINDOW).cast("long").alias("to"))
+    hot = texts.where("hashes is not null").select("key", "row", "at", "single", F.posexplode("hashes").alias("i", "hash"))
+    often = hot.groupBy("key", "hash").agg(F.count("*").alias("n")).where("n > 1").select("key", "hash")
+    settled = hot.join(often, ["key", "hash"], "left_semi").where("single").select("row", (F.col("at") + F.col("i")).cast("long").alias("from"), (F.col("at") + F.col("i") + WINDOW).cast("long").alias("to"))
     return whole.union(streamed).union(settled)
 
 

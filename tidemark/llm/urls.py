@@ -212,9 +212,10 @@ def judge_urls(df: DataFrame, rules: Iterable[tuple[str, str]], id_col: str = "p
     weights, unseen = bayes(counts)
     n = {r["blocked"]: r["n"] for r in by_host.groupBy("blocked").agg(F.sum("n").alias("n")).collect()}
     prior = math.log((n.get(True, 0) + 1) / (n.get(False, 0) + 1))
-    host_scores = hosts.select("host", F.array_join("words", " ").alias("host_words")).join(summed(hosts, "host", "h:", weights, unseen), "host", "left")
+    # both tables of scores are written, so that the joins deal both sides anew and can split a frequent host or path
+    host_scores = cut(hosts.select("host", F.array_join("words", " ").alias("host_words")).join(summed(hosts, "host", "h:", weights, unseen), "host", "left"))
     paths = parsed.where("path_words != ''").select("path_words").distinct()
-    path_scores = summed(paths.select("path_words", in_path.alias("words")), "path_words", "p:", weights, unseen)
+    path_scores = cut(summed(paths.select("path_words", in_path.alias("words")), "path_words", "p:", weights, unseen))
     score = F.lit(prior) + F.coalesce("host_score", F.lit(0.0)) + F.coalesce("path_words_score", F.lit(0.0))
     judged = parsed.join(host_scores, "host").join(path_scores, "path_words", "left").withColumn("score", score)
     words = F.trim(F.concat_ws(" ", "host_words", "path_words")).alias("words")
