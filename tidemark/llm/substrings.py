@@ -8,9 +8,8 @@ are streamed: backward search over the wavelet matrix gives their matching stati
 are reported. Keys with more distinct stretches than a shard can hold are settled by counting their windows' hashes.
 
 Words are runs other than white space, unchanged. Windows and stretches count as the same if both their keys and the 64-bit hashes of their words
-are the same: 128 bits together, so at 10**13 stretches a false match has a chance of less than 10**-12. Inside a shard words are told apart by
-64-bit hashes of its 100,000 words. Null
-texts have no words. Repeated rows (same id and text) count as occurrences, and lose the same words. An empty table gives an
+are the same, so two different ones under one key are taken for the same with a chance of 2**-64. Inside a shard, words are told apart by their
+64-bit hashes. Null texts have no words. Repeated rows (same id and text) count as occurrences, and lose the same words. An empty table gives an
 empty result. Other columns are ignored, whatever their names.
 """
 
