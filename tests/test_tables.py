@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import time
 
 import pytest
@@ -10,14 +11,14 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Store, from_env, parse
 from tidemark.functions.schema import Schema
-from tidemark.functions.scripting import Computed, Stats, hardware_address
+from tidemark.functions.scripting import Computed, Stats, hardware_address, limited, load
 from tidemark.functions.types import Kind
 from tidemark.functions.values import row_hash
 from tidemark.operators.compact import Compactor
 from tidemark.operators.engine import Engine
-from tidemark.operators.scan import FilterError, epoch_seconds, pages, parse_filters, time_range
-from tidemark.operators.sinks import AccountsSink, ConsoleSink, FileSink, MessageSink, MultiSink, NoopSink, PeerSink, Sink, encoder, make_sink
-from tidemark.operators.system import duration
+from tidemark.operators.scan import FilterError, epoch_seconds, pages, parse_filters, read_page, time_range
+from tidemark.operators.sinks import AccountsSink, ConsoleSink, FileSink, MessageSink, MultiSink, NoopSink, PeerSink, S3Sink, Sink, encoder, make_sink
+from tidemark.operators.system import LogTable, duration
 from tidemark.operators.transform import merge, normalise, transform
 from tidemark.sources.readers import find_column, first, from_csv, from_events, from_orc, from_request, from_url, rows
 
@@ -174,6 +175,160 @@ def test_compaction(engine, spark, tmp_path):
     assert table.purge() == 7 and table.purge() == 0
 
 
+def test_compaction_of_a_growing_table(engine, spark, tmp_path):
+    """What is appended while a compaction runs is neither dropped nor written twice."""
+    table, out = engine.add_table("t", hash_by="k", sort_by="s"), str(tmp_path / "out")
+
+    class Slow(FileSink):
+        def write(self, df, partition_by=()):
+            if not table.scan(["k"], ["late"]).count():
+                table.append(spark.createDataFrame([("late", 9), ("A", 8)], "k string, s long"))
+            super().write(df, partition_by)
+
+    table.append(spark.createDataFrame([("A", 1), ("B", 2)], "k string, s long"))
+    c = Compactor(table, Slow(encoder="parquet", directory=out))
+    assert c.compact() == 1
+    assert values(table.scan(["k", "s"])) == [("A", 8), ("late", 9)]
+    assert c.compact() == 1 and table.scan(["k"]).count() == 0
+    assert values(spark.read.parquet(out), "k", "s") == [("A", 1), ("A", 8), ("B", 2), ("late", 9)]
+
+
+def test_a_batch_counts_when_it_is_committed(engine, spark, tmp_path):
+    """Files without a marker, as of an append that goes on or failed, are seen by no scan and no compaction."""
+    table = engine.add_table("t", hash_by="k", sort_by="s")
+    done = table.append(spark.createDataFrame([("A", 1)], "k string, s long"))
+    half = table.append(spark.createDataFrame([("A", 2)], "k string, s long"))
+    marker = next(b.marker for b in table.batches() if b.id == half)
+    os.rename(f"{table.path}/_committed/{marker}", tmp_path / "marker")
+    assert values(table.scan(["s"])) == [(1,)] and [b.id for b in table.batches()] == [done]
+    frame, batches = Compactor(table, NoopSink()).merged()
+    assert batches == [done] and frame.count() == 1
+    os.rename(tmp_path / "marker", f"{table.path}/_committed/{marker}")
+    assert values(table.scan(["s"])) == [(1,), (2,)]
+
+
+def test_a_named_batch_is_appended_once(engine, spark):
+    table = engine.add_table("t", hash_by="k", sort_by="s")
+    rows = spark.createDataFrame([("A", 1)], "k string, s long")
+    first_id = table.append(rows, batch="b-1")
+    assert table.append(rows, batch="b-1") == first_id and table.append(rows, batch="b-10") != first_id
+    assert table.scan(["s"]).count() == 2
+    table.delete_batches([first_id])
+    assert table.append(rows, batch="b-1") == first_id and table.scan(["s"]).count() == 1
+
+
+def test_streams_get_what_was_stored(engine, spark):
+    """Generated values are the same in the stream and in the table."""
+    got = []
+    sink = PeerSink(ingest=lambda df: got.extend(values(df, "k", "id")))
+    sink.stream = sink.write
+    table = engine.add_table("t", hash_by="k", sort_by="k", streams=[sink], computed=[Computed("id", Kind.STRING, "make://identifier")])
+    table.append(spark.createDataFrame([("A",), ("B",)], "k string"))
+    assert got == values(table.scan(["k", "id"])) and len({i for _, i in got}) == 2
+
+
+def test_deleted_hashes_leave_running_scans_alone(engine, spark):
+    table = engine.add_table("t", hash_by="k", sort_by="s", grace=100)
+    table.append(spark.createDataFrame([("A", 1), ("B", 2)], "k string, s long"))
+    before = table.scan(["s"])
+    assert table.delete_hashes(["A", "C"]) == 1
+    assert values(before) == [(1,), (2,)] and values(table.scan(["s"])) == [(2,)]
+    table.append(spark.createDataFrame([("A", 3)], "k string, s long"))  # later rows of the value are new
+    assert table.purge() == 0 and values(table.scan(["s"])) == [(2,), (3,)]
+    table.grace = -1
+    assert table.purge() == 1 and values(table.scan(["s"])) == [(2,), (3,)]
+
+
+def test_files_bounded_in_bytes(engine, spark):
+    rows = spark.range(1000).select(F.lit("a").alias("k"), F.col("id").alias("s"), F.lit("x" * 1000).alias("x"))
+    table = engine.add_table("t", hash_by="k", sort_by="s", file_bytes=100_000)
+    table.append(rows.coalesce(1))
+    assert 9 <= len(table.frame().inputFiles()) <= 12
+
+
+def test_pages_by_bytes(engine, spark):
+    """Pages go on where the last one ended, and a batch that comes meanwhile moves no row."""
+    table = engine.add_table("t", hash_by="k", sort_by="s", rows_per_file=30)
+    table.append(spark.range(100).select(F.lit("a").alias("k"), F.col("id").alias("s"), F.lit("x" * 100).alias("x")))
+    got, token, sizes = [], None, []
+    while True:
+        page, token = read_page(table, ["s", "x"], ["k == 'a'", "s >= 10 && s < 95"], token, 2500)
+        got += [r.s for r in page]
+        sizes.append(len(page))
+        if token is None:
+            break
+        if len(sizes) == 2:
+            table.append(spark.createDataFrame([("b", 50, "y")], "k string, s long, x string"))
+    assert sorted(got) == list(range(10, 95)) and max(sizes) <= 22 and len(sizes) >= 4
+    assert read_page(table, ["s"], ["k == 'none'"]) == ([], None)
+
+
+def test_splits(engine, spark):
+    table = engine.add_table("t", hash_by="k", sort_by="s")
+    table.append(spark.range(100).select((F.col("id") % 5).cast("string").alias("k"), F.col("id").alias("s")))
+    assert sum(r.rows for r in table.splits().collect()) == 100
+
+
+def test_requests_are_counted(engine):
+    engine.add_table("t", hash_by="d", sort_by="b")
+    engine.ingest(EVENTS)
+    with pytest.raises(FilterError):
+        engine.scan("t", ["a"])
+    got = {r.request: (r.calls, r.failures) for r in engine.metrics().collect()}
+    assert got["ingest"] == (1, 0) and got["scan"] == (1, 1)
+    assert engine.log.frame().where("message like 'scan failed%'").count() == 1
+
+
+def test_a_long_log(spark, tmp_path):
+    """No row is lost when the log goes to files, and old files go."""
+    log = LogTable(spark, str(tmp_path / "logs"), ttl=1000, flush=100)
+    log.append("old", at=time.time() - 5000)
+    for i in range(1050):
+        log.append(f"row {i}")
+    assert log.frame().count() == 1050 and len(log.rows) < 100
+    log.rows.clear()
+    again = LogTable(spark, str(tmp_path / "logs"), ttl=1000)
+    assert again.frame().count() >= 950
+
+
+def test_settings_of_buckets(spark, tmp_path):
+    sinks = [S3Sink(directory=str(tmp_path / b), bucket=b, settings={"accessKey": f"key {b}"}) for b in ("one", "two")]
+    for sink in sinks:
+        sink.write(spark.range(1))
+    hadoop = spark._jsc.hadoopConfiguration()
+    assert [hadoop.get(f"fs.s3a.bucket.{b}.access.key") for b in ("one", "two")] == ["key one", "key two"] and hadoop.get("fs.s3a.access.key") in (None, "")
+
+
+def test_a_failing_message_is_sent_alone(spark, tmp_path):
+    path = str(tmp_path / "sent")
+
+    def connect():
+        def send(lines):
+            if len(lines) > 1 and any('"k":"b"' in x for x in lines):
+                raise OSError("refused")
+            with open(path, "a") as f:
+                f.write("".join(line + "\n" for line in lines))
+
+        return send
+
+    MessageSink(connect=connect, size=2).write(spark.createDataFrame([(k,) for k in "abcd"], "k string").coalesce(1))
+    with open(path) as f:
+        assert sorted(json.loads(x)["Values"]["k"] for x in f) == ["a", "b", "c", "d"]
+
+
+def test_time_limit_and_reload(spark, tmp_path, monkeypatch):
+    with pytest.raises(TimeoutError):
+        limited(lambda: time.sleep(5), 0.05)
+    assert limited(lambda: 3, 1) == 3
+    monkeypatch.syspath_prepend(str(tmp_path))
+    module = tmp_path / "made_for_a_test.py"
+    module.write_text("def f(rows):\n    return 1\n")
+    assert load("python:made_for_a_test:f")(None) == 1
+    module.write_text("def f(rows):\n    return 22\n")
+    os.utime(module, ns=(time.time_ns() + 10**9,) * 2)
+    assert load("python:made_for_a_test:f")(None) == 22
+
+
 def test_failed_compaction_keeps_rows(engine, spark):
     class Failing(Sink):
         def write(self, df, partition_by=()):

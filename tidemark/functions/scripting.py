@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import importlib
 import logging
+import os
+import signal
 import socket
+import threading
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
@@ -22,11 +26,39 @@ from tidemark.functions.types import MARK, Kind
 from tidemark.functions.values import GENERATORS, parse_text
 
 PYTHON = "python:"
+#: Seconds that a Python function may take for a batch of rows.
+TIME_LIMIT = 60.0
 
 
 def load(name: str) -> Callable[[pd.DataFrame], pd.Series]:
+    """The function; its module is loaded anew when its file has changed, as a worker lives on from task to task."""
     module, _, function = name.removeprefix(PYTHON).partition(":")
-    return getattr(importlib.import_module(module), function)
+    found = importlib.import_module(module)
+    path = getattr(found, "__file__", None)
+    changed = os.stat(path).st_mtime_ns if path and os.path.exists(path) else None
+    if _LOADED.setdefault(module, changed) != changed:
+        found, _LOADED[module] = importlib.reload(found), changed
+    return getattr(found, function)
+
+
+_LOADED: dict[str, int | None] = {}
+
+
+def limited(call: Callable[[], Any], seconds: float) -> Any:
+    """The call's result, or TimeoutError if it takes longer. In a worker's main thread; elsewhere there is no limit."""
+    if threading.current_thread() is not threading.main_thread():
+        return call()
+
+    def stop(*_: Any) -> None:
+        raise TimeoutError(f"a function took more than {seconds} seconds")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        return call()
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
 
 
 def expression(df: DataFrame, code: str, kind: Kind) -> Column:
@@ -38,7 +70,7 @@ def expression(df: DataFrame, code: str, kind: Kind) -> Column:
 
         @F.pandas_udf(kind.spark)
         def call(rows: pd.DataFrame) -> pd.Series:
-            return load(code)(rows.set_axis(names, axis=1))
+            return limited(lambda: load(code)(rows.set_axis(names, axis=1)), TIME_LIMIT)
 
         return call(F.struct(*(F.col(f"`{c}`") for c in names)))
     value = F.expr(code)

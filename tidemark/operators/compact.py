@@ -46,15 +46,12 @@ class Compactor:
             raise ValueError("compaction without a sink would lose data")
 
     def merged(self) -> tuple[DataFrame | None, list[str]]:
-        """Live rows of all batches now present, and these batches' ids."""
-        stored = self.table._stored()
-        now = int(self.table.clock())
-        dropped = self.table._dropped()
-        live = [b for _, expiry, b in self.table._batches() if expiry > now and b not in dropped]
+        """The rows of the batches that are live now, and just these batches' ids; what comes in meanwhile waits for the next round."""
+        live = self.table.batches()
         if not live:
             return None, []
-        frames = [df.where((F.col(EXPIRES) > now) & F.col(BATCH).isin(live)).drop(EXPIRES, BATCH, PART) for _, df in stored]
-        return merge(frames, self.table.union_schema()), live
+        frames = [df.drop(EXPIRES, BATCH, PART) for _, df in self.table._read(live)]
+        return merge(frames, self.table.union_schema()), [b.id for b in live]
 
     def compact(self) -> int:
         """One round: write, and only then drop; how many batches. A failure keeps the batches, so rows may be written twice."""

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import logging
-from collections.abc import Iterable, Mapping
+import time
+from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.config import Config, TableConfig
-from tidemark.functions.scripting import Computed
+from tidemark.functions.scripting import Computed, log
 from tidemark.operators import system
 from tidemark.operators.compact import Compactor
 from tidemark.operators.scan import scan
@@ -18,12 +21,41 @@ from tidemark.operators.table import TimeSeriesTable
 from tidemark.sources.readers import from_events, from_request
 
 
+@dataclass
+class Counter:
+    calls: int = 0
+    failures: int = 0
+    seconds: float = 0.0
+
+
+def traced(f: Callable) -> Callable:
+    """Count an engine's requests and log each with its time; for queries that is the time of planning."""
+
+    @functools.wraps(f)
+    def run(self, *args, **options):
+        counter, began = self.counters.setdefault(f.__name__, Counter()), time.perf_counter()
+        counter.calls += 1
+        try:
+            return f(self, *args, **options)
+        except Exception as e:
+            counter.failures += 1
+            log("warning", f"{f.__name__} failed: {e}")
+            raise
+        finally:
+            took = time.perf_counter() - began
+            counter.seconds += took
+            log("debug", f"{f.__name__} took {1000 * took:.0f} ms")
+
+    return run
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, schema: str = "data"):
         self.spark, self.root, self.schema = spark, root, schema
         self.tables: dict[str, TimeSeriesTable] = {}
         self.compactors: dict[str, Compactor] = {}
-        self.log = system.LogTable(spark)
+        self.counters: dict[str, Counter] = {}
+        self.log = system.LogTable(spark, f"{root.rstrip('/')}/_logs")
         logger = logging.getLogger("tidemark")
         logger.addHandler(self.log)
         logger.setLevel(logging.INFO)
@@ -46,10 +78,11 @@ class Engine:
 
     # ------------------------------------------------------------ ingestion
 
-    def ingest(self, request: Mapping[str, Any] | DataFrame | list, tables: Iterable[str] | None = None) -> dict[str, str | None]:
+    @traced
+    def ingest(self, request: Mapping[str, Any] | DataFrame | list, tables: Iterable[str] | None = None, batch: str | None = None) -> dict[str, str | None]:
         """Append to all tables, or to those named (unknown names are passed over): the batch's id by table.
 
-        A table whose hash column the data lacks gets nothing, and None."""
+        A table whose hash column the data lacks gets nothing, and None. batch: a name for the batch; one that a table has already adds nothing."""
         chosen = self.tables if tables is None else {n: self.tables[n] for n in tables if n in self.tables}
         out: dict[str, str | None] = {}
         for name, table in chosen.items():
@@ -61,14 +94,16 @@ class Engine:
             else:
                 df, exact = from_request(self.spark, request, table.static_schema()), "batch" in request
             if df is not None:
-                out[name] = table.append(df, exact)
+                out[name] = table.append(df, exact, batch)
         return out
 
     # ------------------------------------------------------------ queries
 
+    @traced
     def scan(self, table: str, columns: Iterable[str] | None = None, filters: Iterable[str] = ()) -> DataFrame:
         return scan(self.tables[table], columns, filters)
 
+    @traced
     def sql(self, text: str) -> DataFrame:
         """SQL over all tables and system tables, as views of their names."""
         for table in self.tables.values():
@@ -105,12 +140,18 @@ class Engine:
     def nodes(self) -> DataFrame:
         return system.nodes(self.spark)
 
+    def metrics(self) -> DataFrame:
+        """request, calls, failures, seconds: of what was asked of this engine so far."""
+        rows = [(name, c.calls, c.failures, c.seconds) for name, c in sorted(self.counters.items())]
+        return self.spark.createDataFrame(rows, "request string, calls long, failures long, seconds double")
+
     # ------------------------------------------------------------ upkeep
 
     def maintain(self) -> dict[str, int]:
         """Drop what has expired; batches by table."""
         return {n: t.purge() for n, t in self.tables.items()}
 
+    @traced
     def compact(self) -> dict[str, int]:
         return {n: c.compact() for n, c in self.compactors.items()}
 

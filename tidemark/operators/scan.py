@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.types import Kind
 from tidemark.functions.values import UNITS_FROM
-from tidemark.operators.table import TimeSeriesTable
+from tidemark.operators.table import FILE, ROW, TimeSeriesTable
+
+#: Bytes of a page, as JSON.
+PAGE_BYTES = 1 << 20
 
 _TOKEN = re.compile(r"""\s*(?:(?P<text>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<number>[+-]?\d+(?:\.\d+)?)|(?P<op>&&|==|>=|<=|!=|>|<)|(?P<name>[A-Za-z_]\w*))""")
 
@@ -86,8 +89,8 @@ def time_range(low: tuple[str, int] | None, high: tuple[str, int] | None) -> tup
     return None
 
 
-def scan(table: TimeSeriesTable, columns: Iterable[str] | None = None, filters: Iterable[str] = ()) -> DataFrame:
-    """A scan by filter strings. A table with a hash column must be asked for values of it."""
+def scan(table: TimeSeriesTable, columns: Iterable[str] | None = None, filters: Iterable[str] = (), place: bool = False) -> DataFrame:
+    """A scan by filter strings. A table with a hash column must be asked for values of it. place: see TimeSeriesTable.scan()."""
     domain = parse_filters(filters, table.hash_by, table.sort_by)
     if table.hash_by and domain.hashes is None:
         raise FilterError(f"your query must contain '{table.hash_by}' constraint")
@@ -95,7 +98,30 @@ def scan(table: TimeSeriesTable, columns: Iterable[str] | None = None, filters:
     ranges = domain.ranges
     if kind is Kind.TIMESTAMP:
         ranges = [tuple(None if x is None else F.timestamp_micros(F.lit(int(epoch_seconds(x) * 1e6))) for x in r) for r in ranges]
-    return table.scan(columns, domain.hashes, ranges)
+    return table.scan(columns, domain.hashes, ranges, place=place)
+
+
+def read_page(table: TimeSeriesTable, columns: Iterable[str], filters: Iterable[str], token: str | None = None, max_bytes: int = PAGE_BYTES) -> tuple[list[Row], str | None]:
+    """Rows of a scan of about max_bytes at most (one row at least), and the token that the next page goes on from; None at the end.
+
+    Rows come file by file, in the order of names and places in the file; the token names a file and a place, so a reader can
+    stop and go on later, in another session too, as long as the file is there: batches that come meanwhile don't move rows."""
+    columns = list(columns)
+    located = scan(table, columns, filters, place=True)
+    size = F.octet_length(F.to_json(F.struct(*columns))).alias("_size")
+    after, skip = (None, 0) if token is None else (lambda t: (t[1], int(t[0])))(token.split(":", 1))
+    page, total = [], 0
+    for path in sorted(set(located.inputFiles())):
+        if after is not None and path < after:
+            continue
+        start = skip if path == after else 0
+        own = located.where((F.col(FILE) == path) & (F.col(ROW) >= start)).select(*columns, ROW, size).orderBy(ROW)
+        for row in own.toLocalIterator():
+            if page and total + row["_size"] > max_bytes:
+                return page, f"{row[ROW]}:{path}"
+            page.append(Row(**{c: row[c] for c in columns}))
+            total += row["_size"]
+    return page, None
 
 
 def pages(df: DataFrame, rows: int) -> Iterator[list[Row]]:

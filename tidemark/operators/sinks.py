@@ -66,17 +66,20 @@ def object_store(scheme: str, bucket: str, prefix: str = "", **options: Any) ->
 
 
 #: The connector's settings for options that a sink to s3 may carry.
-S3_SETTINGS = {"endpoint": "fs.s3a.endpoint", "region": "fs.s3a.endpoint.region", "sse": "fs.s3a.encryption.algorithm", "accessKey": "fs.s3a.access.key", "secretKey": "fs.s3a.secret.key", "concurrency": "fs.s3a.threads.max"}
+S3_SETTINGS = {"endpoint": "endpoint", "region": "endpoint.region", "sse": "encryption.algorithm", "accessKey": "access.key", "secretKey": "secret.key", "concurrency": "threads.max"}
 
 
 @dataclass
 class S3Sink(FileSink):
+    """Its settings hold for its bucket alone, so sinks to several buckets don't disturb each other."""
+
+    bucket: str = ""
     settings: Mapping[str, Any] = field(default_factory=dict)
 
     def write(self, df: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
         hadoop = df.sparkSession._jsc.hadoopConfiguration()
         for key, value in self.settings.items():
-            hadoop.set(S3_SETTINGS[key], str(value))
+            hadoop.set(f"fs.s3a.bucket.{self.bucket}.{S3_SETTINGS[key]}", str(value))
         super().write(df, partition_by)
 
 
@@ -100,12 +103,13 @@ class AccountsSink(Sink):
 
 @dataclass
 class ConsoleSink(Sink):
-    """Some rows as JSON in the log."""
+    """Rows as JSON in the log, a partition in memory at a time; only the first ones, if rows says how many."""
 
-    rows: int = 20
+    rows: int | None = None
 
     def write(self, df: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
-        for (line,) in self.kept(df).select(row_json(df)).limit(self.rows).collect():
+        lines = self.kept(df).select(row_json(df))
+        for (line,) in (lines if self.rows is None else lines.limit(self.rows)).toLocalIterator():
             log("info", line)
 
     def stream(self, df: DataFrame) -> None:
@@ -131,11 +135,21 @@ class PeerSink(Sink):
         self.ingest(self.kept(df))
 
 
+def _persistently(publish: Callable[[list[str]], None], line: str, tries: int) -> None:
+    for left in reversed(range(tries)):
+        try:
+            return publish([line])
+        except Exception:
+            if not left:
+                raise
+
+
 @dataclass
 class MessageSink(Sink):
     """A message for each row, in JSON, sent from the executors by publish(rows): a client of a topic.
 
-    connect: makes that function in a task; it gets batches of at most size messages, one by one again after a failure, tries times."""
+    connect: makes that function in a task; it gets batches of at most size messages. A batch that fails is sent anew message by message, each
+    up to tries times, so what had come through with it is sent twice at most."""
 
     connect: Callable[[], Callable[[list[str]], None]] | None = None
     size: int = 1000
@@ -149,13 +163,12 @@ class MessageSink(Sink):
             for pdf in batches:
                 lines = pdf["value"].tolist()
                 for start in range(0, len(lines), size):
-                    for left in reversed(range(tries)):
-                        try:
-                            publish(lines[start : start + size])
-                            break
-                        except Exception:
-                            if not left:
-                                raise
+                    part = lines[start : start + size]
+                    try:
+                        publish(part)
+                    except Exception:
+                        for line in part:
+                            _persistently(publish, line, tries)
                 yield pdf.iloc[:0]
 
         kept = self.kept(df)
@@ -210,7 +223,7 @@ def make_sink(entry: Mapping[str, Any], peers: Mapping[str, Callable[[DataFrame]
         if name == "file":
             made.append(FileSink(**base, directory=o["dir"]))
         elif name == "s3":
-            made.append(S3Sink(**base, directory=object_store("s3a", o["bucket"], o.get("prefix", "")).directory, settings={k: v for k, v in o.items() if k in S3_SETTINGS}))
+            made.append(S3Sink(**base, bucket=o["bucket"], directory=object_store("s3a", o["bucket"], o.get("prefix", "")).directory, settings={k: v for k, v in o.items() if k in S3_SETTINGS}))
         elif name == "gcs":
             made.append(object_store("gs", o["bucket"], o.get("prefix", ""), **base))
         elif name == "azure":

@@ -41,10 +41,10 @@ def transform(df: DataFrame, schema: Schema | None = None, computed: Iterable[Co
     return df.select(*out.values())
 
 
-def backfill(df: DataFrame, wanted: Schema) -> DataFrame:
-    """Exactly the wanted columns, by name; those that are missing or of another type are null."""
+def backfill(df: DataFrame, wanted: Schema, extra: Iterable[str] = ()) -> DataFrame:
+    """Exactly the wanted columns, by name, and the extra ones as they are; wanted ones that are missing or of another type are null."""
     present = schema_of(df.schema)
-    return df.select(*(named(F.col(c) if present.get(c) is k else F.lit(None).cast(k.spark), c, k) for c, k in sorted(wanted.items())))
+    return df.select(*(named(F.col(c) if present.get(c) is k else F.lit(None).cast(k.spark), c, k) for c, k in sorted(wanted.items())), *extra)
 
 
 def merge(frames: list[DataFrame], schema: Schema | None = None) -> DataFrame:
