@@ -50,6 +50,19 @@ def test_failing_proposals_are_merged(codec):
     assert {w: np.frombuffer(p, "<u4").tolist() for w, p in own.learn(words).items()} == {w: own.merge(w) for w in words}
 
 
+def test_many_words_at_once(codec):
+    """Proposals and merges of many words, against one by one."""
+    own, rng = codec.encoder, np.random.default_rng(3)
+    tokens = [b for b in codec.vocab if len(b) > 1]
+    words = [b"".join(rng.choice(tokens, rng.integers(1, 4)))[: int(rng.integers(1, 20))] for _ in range(3000)]
+    words += [bytes(rng.integers(0, 256, rng.integers(1, 12), dtype=np.uint8)) for _ in range(500)] + [b"a" * n for n in range(1, 60)] + [b"ab" * 40, b" ", b"\n\n\n"]
+    for many, one in ((own.propose_all, own.propose), (own.merge_all, own.merge)):
+        flat, sizes = many(words)
+        stops = np.cumsum(sizes)
+        assert [flat[b - n : b].tolist() for b, n in zip(stops, sizes, strict=True)] == [one(w) for w in words]
+    assert own.merge_all([])[0].tolist() == own.propose_all([])[0].tolist() == []
+
+
 def test_pair_checks_are_exact(codec):
     """Whole entries and compatible pairs, against merging their bytes."""
     own, rng = codec.encoder, np.random.default_rng(0)

@@ -32,6 +32,8 @@ from tidemark.llm.common import kept, map_arrow, table, text_of
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?{O}+|{S}+(?!{T})|{S}+"
 #: Words kept in a worker's cache at most (some 30 MB); beyond that it starts anew.
 CACHE_WORDS = 150_000
+#: Bytes of a word beyond which it is handled alone.
+LONG = 1000
 #: The rank of what never merges.
 NEVER = np.iinfo(np.int64).max
 #: Below this code point the classes are spelt out, so that the faster of two regex engines can be used.
@@ -70,6 +72,12 @@ _ASCII = re.compile(SPLIT.format(L="[A-Za-z]", N="[0-9]", S=r"\s", T=r"\S", O=r"
 _BEYOND = re.compile(f"[^\x00-{chr(LATIN_END - 1)}]")
 
 
+def _packed(words: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> dict[bytes, bytes]:
+    """words -> their ids in flat, packed."""
+    raw, stops = flat.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+    return {w: raw[a:b] for w, a, b in zip(words, [0, *stops[:-1]], stops, strict=True)} if words else {}
+
+
 class Codec:
     """A byte-level BPE vocabulary. encode_all() and decode() are exact; see the module's text for how."""
 
@@ -101,7 +109,15 @@ class Encoder:
         self.special = special
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
         self.byte_ids = [vocab.get(bytes([b])) for b in range(256)]
-        self.prefixes = {token[:n]: -1 for token in vocab for n in range(1, len(token))} | vocab  # ids, -1 for mere beginnings
+        self.vocab, self.longest = vocab, max(map(len, vocab))
+        # beginnings of entries as a tree in arrays: (node, byte) -> node, and of each node its entry, or -1
+        ids = {token[:n]: -1 for token in vocab for n in range(1, len(token))} | vocab
+        nodes = {b"": 0} | {prefix: i for i, prefix in enumerate(ids, 1)}
+        steps = np.fromiter((nodes[prefix[:-1]] << 8 | prefix[-1] for prefix in ids), np.int64, len(ids))
+        order = np.argsort(steps)
+        self.step_keys, self.step_nodes = np.append(steps[order], NEVER), np.append(order + 1, 0)
+        self.entry = np.append([-1], np.fromiter(ids.values(), np.int64, len(ids)))
+        del ids, nodes
         self.cut_at = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.words: dict = {}
         # merges as arrays: ranks by pair, and of each entry the parts and the rank that makes it (-1: a byte)
@@ -110,9 +126,12 @@ class Encoder:
         keys = pairs[:, 0] << 32 | pairs[:, 1]
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = np.append(keys[order], NEVER), np.append(ranks[order], NEVER)
+        self.made = np.zeros(len(ranks) + 1, np.int64)
+        self.made[ranks] = pairs[:, 2]
         size = max(vocab.values()) + 1
         self.left, self.right, self.birth = np.zeros(size, np.int64), np.zeros(size, np.int64), np.full(size, -1, np.int64)
         self.left[pairs[:, 2]], self.right[pairs[:, 2]], self.birth[pairs[:, 2]] = pairs[:, 0], pairs[:, 1], ranks
+        self.byte_entries = np.array([-1 if i is None else i for i in self.byte_ids], np.int64)
         single = np.zeros(size, bool)
         single[[i for i in self.byte_ids if i is not None]] = True
         #: Whether entries are made by one merge each, after those of their parts.
@@ -168,21 +187,88 @@ class Encoder:
                 heapq.heappush(heap, (merges[p][0], h, p))
         return [x for x in ids if x is not None]
 
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """merge() of many words at once: ids of all, and how many each has. Round by round every word merges its pair of least rank,
+        wherever it stands; in an orderly vocabulary no merge makes room for one of lower rank."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        x = self.byte_entries[np.frombuffer(b"".join(words), np.uint8)]
+        owner = np.repeat(np.arange(len(words)), size)
+        done_ids, done_owner = [], []
+        rank = np.full(len(x), NEVER)
+        at = np.flatnonzero(owner[1:] == owner[:-1])
+        rank[at] = self.rank_of(x[at], x[at + 1])
+        while len(x):
+            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            counts = np.diff(np.append(starts, len(x)))
+            least = np.repeat(np.minimum.reduceat(rank, starts), counts)
+            ended = least == NEVER
+            if ended.any():
+                done_ids.append(x[ended])
+                done_owner.append(owner[ended])
+                x, owner, rank, least = x[~ended], owner[~ended], rank[~ended], least[~ended]
+                if not len(x):
+                    break
+            hit = np.flatnonzero(rank == least)
+            # of pairs that overlap, as in a run of one entry, every second one from the left
+            run = np.append(True, np.diff(hit) != 1)
+            hit = hit[(hit - hit[run][np.cumsum(run) - 1]) % 2 == 0]
+            x[hit] = self.made[rank[hit]]
+            stays = np.ones(len(x), bool)
+            stays[hit + 1] = False
+            new = (np.cumsum(stays) - 1)[hit]
+            x, owner, rank = x[stays], owner[stays], rank[stays]
+            at = np.unique(np.append(new, new[new > 0] - 1))
+            rank[at] = NEVER
+            at = at[at + 1 < len(x)]
+            at = at[owner[at] == owner[at + 1]]
+            rank[at] = self.rank_of(x[at], x[at + 1])
+        ids, owners = (np.concatenate(done_ids), np.concatenate(done_owner)) if done_ids else (x, owner)
+        order = np.argsort(owners, kind="stable")
+        return ids[order], np.bincount(owners, minlength=len(words))
+
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
-        out, at, n, get = [], 0, len(word), self.prefixes.get
-        while at < n:
-            end = after = at + 1
-            best = found = get(word[at:end])
-            while found is not None and end < n:
-                end += 1
-                found = get(word[at:end])
-                if found is not None and found >= 0:
-                    best, after = found, end
-            out.append(best)
-            at = after
+        out, at, get = [], 0, self.vocab.get
+        while at < len(word):
+            end = next(e for e in range(min(len(word), at + self.longest), at, -1) if get(word[at:e]) is not None)
+            out.append(get(word[at:end]))
+            at = end
         return out
 
+    def propose_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """propose() of many words at once, a byte of each at a time: ids of all, and how many each has."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        data = np.frombuffer(b"".join(words), np.uint8)
+        stop = np.cumsum(size)
+        word = np.flatnonzero(size)
+        stop, at = stop[word], (stop - size)[word]
+        node, best, after = np.zeros(len(word), np.int64), np.full(len(word), -1), at.copy()
+        found_ids, found_words = [], []
+        while len(word):
+            inside = at < stop
+            keys = node << 8 | data[np.minimum(at, len(data) - 1)]
+            place = np.searchsorted(self.step_keys[:-1], keys)
+            goes = inside & (self.step_keys[place] == keys)
+            node = np.where(goes, self.step_nodes[place], 0)
+            at = at + goes
+            entry = self.entry[node]
+            known = goes & (entry >= 0)
+            best, after = np.where(known, entry, best), np.where(known, at, after)
+            stuck = np.flatnonzero(~goes)
+            if len(stuck):
+                found_ids.append(best[stuck])
+                found_words.append(word[stuck])
+                at[stuck], best[stuck] = after[stuck], -1
+                rest = at < stop
+                if not rest.all():
+                    on = rest | goes
+                    word, stop, at, node, best, after = (v[on] for v in (word, stop, at, node, best, after))
+        if not found_ids:
+            return np.zeros(0, np.int64), size
+        owners = np.concatenate(found_words)
+        order = np.argsort(owners, kind="stable")
+        return np.concatenate(found_ids)[order], np.bincount(owners, minlength=len(words))
+
     def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """For arrays of adjacent whole entries, whether each pair stays as it is when its bytes are merged."""
         keys, inverse = np.unique(left << 32 | right, return_inverse=True)
@@ -190,20 +276,31 @@ class Encoder:
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of distinct words, packed as little-endian unsigned 32-bit integers."""
-        proposals = [self.propose(w) for w in words]
-        sizes = np.fromiter(map(len, proposals), np.int64, len(proposals))
-        flat = np.fromiter((i for p in proposals for i in p), np.int64, int(sizes.sum()))
+        if not self.orderly:
+            return {w: np.array(self.merge(w), "<u4").tobytes() for w in words}
+        out = {w: self._learn_long(w) for w in words if len(w) > LONG}
+        words = [w for w in words if len(w) <= LONG]
+        flat, sizes = self.propose_all(words)
         owner = np.repeat(np.arange(len(words)), sizes)
-        fails = np.full(len(words), not self.orderly)
-        if self.orderly and len(flat):
-            fails[owner[~self.whole[flat]]] = True
-            same = (owner[1:] == owner[:-1]) & ~fails[owner[1:]]
-            fails[owner[1:][same][~self.compatible(flat[:-1][same], flat[1:][same])]] = True
-        out, start, packed = {}, 0, flat.astype("<u4").tobytes()
-        for k, (word, size) in enumerate(zip(words, sizes.tolist(), strict=True)):
-            out[word] = np.array(self.merge(word), "<u4").tobytes() if fails[k] else packed[4 * start : 4 * (start + size)]
-            start += size
-        return out
+        fails = self._fails(flat, owner, len(words))
+        out |= _packed([w for w, bad in zip(words, fails.tolist(), strict=True) if not bad], flat[~fails[owner]], sizes[~fails])
+        failing = [w for w, bad in zip(words, fails.tolist(), strict=True) if bad]
+        return out | _packed(failing, *self.merge_all(failing))
+
+    def _fails(self, flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """Which of n words have a piece that isn't whole, or an incompatible pair."""
+        fails = np.zeros(n, bool)
+        fails[owner[~self.whole[flat]]] = True
+        same = (owner[1:] == owner[:-1]) & ~fails[owner[1:]]
+        fails[owner[1:][same][~self.compatible(flat[:-1][same], flat[1:][same])]] = True
+        return fails
+
+    def _learn_long(self, word: bytes) -> bytes:
+        """The same for a word of very many bytes, alone."""
+        flat = np.array(self.propose(word), np.int64)
+        if self._fails(flat, np.zeros(len(flat), np.int64), 1)[0]:
+            flat = np.array(self.merge(word), np.int64)
+        return flat.astype("<u4").tobytes()
 
     def _pieces(self, text: str) -> list:
         if text.isascii():
