@@ -11,6 +11,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import values
-from tidemark.functions.schema import Schema
+from tidemark.functions.schema import Schema, parse_schema
 from tidemark.functions.scripting import Computed, keep
-from tidemark.functions.types import ALIASES, Kind
+from tidemark.functions.types import Kind
+from tidemark.operators import files
 from tidemark.operators.compact import Compactor
 from tidemark.operators.engine import Engine
 from tidemark.operators.sinks import FileSink, MultiSink, NoopSink, PeerSink, write_encoded
@@ -56,8 +58,11 @@ def _local_folder() -> str:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    """A new folder that all executors share; a local one only on a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or _local_folder()
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
@@ -131,33 +136,43 @@ def partition_summary(spark, sf_dir):
 
 @query("select event_type, arg_max(event_id, struct_pack(ts := ts, id := event_id)) as last_id from events group by event_type")
 def last_row_per_key(spark, sf_dir):
-    return source(spark, sf_dir, "events").groupBy("event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_id"))
+    return hot(spark, sf_dir).tables["eventlog"].scan(["event_type", "ts", "event_id"]).groupBy("event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_id"))
 
 
 @query("select min(event_id) as least from events")
 def column_min(spark, sf_dir):
-    return source(spark, sf_dir, "events").agg(F.min("event_id").alias("least"))
+    return hot(spark, sf_dir).tables["eventlog"].scan(["event_id"]).agg(F.min("event_id").alias("least"))
 
 
-@query("select event_id, value from events where ts + interval 7 day > timestamp '2024-01-30'")
+@query("select event_id, value from events where ts >= timestamp '2024-01-20'")
 def ttl_filter(spark, sf_dir):
-    df = source(spark, sf_dir, "events")
-    return df.where(F.col("ts") + F.expr("interval 7 days") > F.lit("2024-01-30").cast("timestamp_ntz")).select("event_id", "value")
+    """Batches taken in on three days, looked at when the first two have expired."""
+    now = [0.0]
+    engine = Engine(spark, work_folder(spark))
+    table = engine.add_table("eventlog", hash_by="event_type", sort_by="ts", ttl=7 * 86_400, clock=lambda: now[0])
+    events = source(spark, sf_dir, "events")
+    days = ["2024-01-01", "2024-01-10", "2024-01-20", "2024-02-01"]
+    for low, high in zip(days, days[1:], strict=False):
+        now[0] = datetime.fromisoformat(f"{low}T00:00:00+00:00").timestamp()
+        table.append(events.where((F.col("ts") >= F.lit(low).cast("timestamp_ntz")) & (F.col("ts") < F.lit(high).cast("timestamp_ntz"))).transform(normalise))
+    now[0] += 6 * 86_400
+    return table.scan(["event_id", "value"])
 
 
-@query("select event_id from events where event_type != 'error'")
+@query("select event_id, 1 as purged, 1 as left_over from events where event_type != 'error'")
 def ttl_purge(spark, sf_dir):
-    """A batch that has expired is gone from scans and dropped; a live one stays."""
+    """A batch that has expired is gone from scans, and its folder from the disk; a live one stays."""
     now = [1_000_000.0]
     engine = Engine(spark, work_folder(spark))
-    table = engine.add_table("eventlog", hash_by="event_type", sort_by="ts", ttl=100, clock=lambda: now[0])
+    table = engine.add_table("eventlog", hash_by="event_type", sort_by="ts", ttl=100, grace=10, clock=lambda: now[0])
     events = source(spark, sf_dir, "events").transform(normalise)
     table.append(events.where("event_type = 'error'"))
     now[0] += 60
     table.append(events.where("event_type != 'error'"))
     now[0] += 60
-    table.purge()
-    return table.scan(["event_id"])
+    purged = table.purge()
+    left = sum(c.startswith("_expires_at=") for f in files.children(spark, table.path) if f.startswith("schema=") for c in files.children(spark, f"{table.path}/{f}"))
+    return table.scan(["event_id"]).select("event_id", F.lit(purged).alias("purged"), F.lit(left).alias("left_over"))
 
 
 @query("select event_id from events where event_type not in ('click', 'view')")
@@ -255,7 +270,7 @@ def pack_into_json(spark, sf_dir):
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
 def json_extract_k(spark, sf_dir):
-    return source(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return hot(spark, sf_dir).tables["eventlog"].scan(["event_id", "props"]).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
 #: Texts that strict parsers take or refuse.
@@ -445,7 +460,7 @@ def stream_messages(spark, sf_dir):
     return engine.tables["eventlog"].scan(["event_id", "event_type", "value"])
 
 
-@query("select event_type, count(*) as n from events group by event_type")
+@query("select event_id, event_type, value from events")
 def stream_publish(spark, sf_dir):
     """Rows published to a stream as they are ingested; a failing stream holds nothing up."""
     got: list[DataFrame] = []
@@ -453,15 +468,15 @@ def stream_publish(spark, sf_dir):
     sink = PeerSink(ingest=got.append)
     sink.stream = sink.write
     hot(spark, sf_dir, streams=[failing, sink])
-    return got[0].groupBy("event_type").agg(F.count("*").alias("n"))
+    return got[0].select("event_id", "event_type", "value")
 
 
 # ---------------------------------------------------------------- metadata
 
 
-@query("select * from (values ('event_id', 'BIGINT'), ('event_type', 'VARCHAR'), ('props', 'VARCHAR'), ('ts', 'TIMESTAMP'), ('user_id', 'BIGINT'), ('value', 'DOUBLE')) as x(\"column\", type)")
+@query("select 'eventlog' as \"table\", *, 'event_type' as hash_by, 'ts' as sort_by from (values ('event_id', 'BIGINT'), ('event_type', 'VARCHAR'), ('props', 'VARCHAR'), ('ts', 'TIMESTAMP'), ('user_id', 'BIGINT'), ('value', 'DOUBLE')) as x(\"column\", type)")
 def describe_table(spark, sf_dir):
-    return hot(spark, sf_dir).describe_table("eventlog").select("column", "type")
+    return hot(spark, sf_dir).describe_table("eventlog")
 
 
 @query("select * from (values ('eventlog'), ('logs'), ('nodes')) as x(\"table\")")
@@ -486,9 +501,29 @@ def logs(spark, sf_dir):
     return engine.log.frame()
 
 
-@query("select * from (values " + ", ".join(f"('{a}', '{k.sql}')" for k, names in ALIASES.items() for a in names) + ") as x(alias, type)")
+#: Names of types as settings may have them, and the types that they must mean (fixed values).
+TYPE_NAMES = {
+    "INTEGER": "int32 integer uint32 INT32",
+    "BIGINT": "int64 bigint long uint64 Long",
+    "DOUBLE": "float64 double",
+    "VARCHAR": "string text varchar",
+    "BOOLEAN": "bool boolean BOOL",
+    "TIMESTAMP": "timestamp time",
+    "JSON": "json map",
+}
+
+
+@query("select * from (values " + ", ".join(f"('{a}', '{kind}')" for kind, names in TYPE_NAMES.items() for a in names.split()) + ", ('decimal', null)) as x(alias, type)")
 def type_names(spark, sf_dir):
-    return spark.createDataFrame([(a, k.sql) for k, names in ALIASES.items() for a in names], "alias string, type string")
+    """What a schema makes of each name; a name that is no type is refused."""
+
+    def meant(name: str) -> str | None:
+        try:
+            return parse_schema(f"{{c: {name}}}")["c"].sql
+        except (KeyError, ValueError):
+            return None
+
+    return spark.createDataFrame([(a, meant(a)) for a in [*" ".join(TYPE_NAMES.values()).split(), "decimal"]], "alias string, type string")
 
 
 # ---------------------------------------------------------------- SQL over hot tables: what the query layer above the scans offers
@@ -525,7 +560,7 @@ sql("sql_cube", "select event_type, user_id % 3 as third, count(*) as n from eve
 sql("sql_grouping_sets", "select event_type, user_id % 3 as third, count(*) as n from events group by grouping sets ((event_type), (user_id % 3))")
 sql("sql_topk", "select event_id, value from events order by value desc, event_id limit 10")
 sql("sql_semi_join", "select c_custkey from customer left semi join (select * from orders where o_totalprice > 300000) o on c_custkey = o_custkey", "select c_custkey from customer semi join (select * from orders where o_totalprice > 300000) o on c_custkey = o_custkey")
-sql("sql_anti_join", "select c_custkey from customer left anti join orders on c_custkey = o_custkey", "select c_custkey from customer anti join orders on c_custkey = o_custkey")
+sql("sql_anti_join", "select c_custkey from customer left anti join (select * from orders where o_totalprice > 300000) o on c_custkey = o_custkey", "select c_custkey from customer anti join (select * from orders where o_totalprice > 300000) o on c_custkey = o_custkey")
 sql("sql_row_number", "select event_id, cast(row_number() over (partition by user_id order by ts, event_id) as bigint) as rn from events")
 sql("sql_rank_lag", "select event_id, cast(dense_rank() over (partition by event_type order by user_id) as bigint) as r, lag(event_id) over (partition by user_id order by ts, event_id) as before from events")
 sql("sql_frame", "select event_id, count(*) over (partition by user_id order by ts, event_id rows between 3 preceding and current row) as n from events")
@@ -536,7 +571,7 @@ sql("sql_outer_join", "select n_name, count(s_suppkey) as suppliers from nation
 sql("sql_distinct_agg", "select event_type, count(distinct user_id) as users from events group by event_type")
 sql("sql_union", "select user_id from events where event_type = 'click' union select user_id from events where event_type = 'view'")
 sql("sql_intersect", "select user_id from events where event_type = 'error' intersect select user_id from events where event_type = 'purchase'")
-sql("sql_except", "select c_custkey from customer except select o_custkey from orders")
+sql("sql_except", "select c_custkey from customer except select o_custkey from orders where o_totalprice > 300000")
 sql("sql_having", "select user_id, count(*) as n from events group by user_id having count(*) > 60")
 sql("sql_scalar_subquery", "select event_id from events where value > (select avg(value) from events)")
 sql("sql_correlated_exists", "select c_custkey from customer c where exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_orderstatus = 'F')")
@@ -561,7 +596,7 @@ def sliding_window(spark, sf_dir):
 
 @query("select event_id, first_value(event_id) over (partition by event_type order by ts, event_id) as first_id from events")
 def first_of_key(spark, sf_dir):
-    return source(spark, sf_dir, "events").select("event_id", F.first("event_id").over(Window.partitionBy("event_type").orderBy("ts", "event_id")).alias("first_id"))
+    return hot(spark, sf_dir).tables["eventlog"].scan(["event_id", "event_type", "ts"]).select("event_id", F.first("event_id").over(Window.partitionBy("event_type").orderBy("ts", "event_id")).alias("first_id"))
 
 
 @query("select event_id, null::double as missing from events where event_type = 'view'")
@@ -570,8 +605,12 @@ def unknown_column_backfill(spark, sf_dir):
     return backfill(source(spark, sf_dir, "events").where("event_type = 'view'").transform(normalise), Schema({"event_id": Kind.INT64, "missing": Kind.FLOAT64}))
 
 
-@query("select count(*) as n from events")
+@query("select event_id, user_id, event_type, value, props, ts from events")
 def events_list(spark, sf_dir):
     """Rows through the client's encoder."""
-    rows = [r.asDict() for r in source(spark, sf_dir, "events").drop("ts").toLocalIterator()]
-    return from_events(spark, rows).agg(F.count("*").alias("n"))
+    rows = [r.asDict() for r in source(spark, sf_dir, "events").toLocalIterator()]
+    return from_events(spark, rows).withColumn("ts", ntz("ts"))
+
+
+# the other modules register their queries here
+from tidemark.plans import relational, upkeep  # noqa: E402, F401

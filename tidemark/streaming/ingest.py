@@ -166,6 +166,6 @@ def sessions(stream: DataFrame, time: str, key: str, gap: float) -> DataFrame:
     return found.select(key, *(F.timestamp_micros(F.round(F.col(c) * 1e6).cast("long")).alias(c) for c in ("start", "end")), "n")
 
 
-def compact_on(stream: DataFrame, compactor: Compactor, checkpoint: str, interval: str = "30 seconds") -> StreamingQuery:
-    """A compaction after every micro-batch of a stream, at most one for each interval."""
-    return stream.writeStream.foreachBatch(lambda df, batch: compactor.compact()).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+def compact_on(stream: DataFrame, compactor: Compactor, checkpoint: str, interval: str | None = "30 seconds") -> StreamingQuery:
+    """A compaction after every micro-batch of a stream, at most one for each interval; without an interval, over what is there now."""
+    return _start(stream, lambda df, batch: compactor.compact(), checkpoint, interval)
