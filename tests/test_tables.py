@@ -316,6 +316,33 @@ def test_a_failing_message_is_sent_alone(spark, tmp_path):
         assert sorted(json.loads(x)["Values"]["k"] for x in f) == ["a", "b", "c", "d"]
 
 
+def test_a_peer_that_fails(spark):
+    """Tried again; left alone after too many failures; asked again after a while."""
+    now, calls, broken = [0.0], [], [True]
+
+    def ingest(df):
+        calls.append(1)
+        if broken[0]:
+            raise OSError("down")
+
+    sink = PeerSink(ingest=ingest, tries=2, pause=0, breaks_after=3, rests=10, clock=lambda: now[0])
+    for _ in range(3):
+        with pytest.raises(OSError, match="down"):
+            sink.write(spark.range(1))
+    with pytest.raises(ConnectionError):
+        sink.write(spark.range(1))
+    assert len(calls) == 6
+    now[0], broken[0] = 11.0, False
+    sink.write(spark.range(1))
+    assert len(calls) == 7 and sink._failures == 0
+
+
+def test_many_values_are_warned_of(engine, spark, monkeypatch):
+    monkeypatch.setattr("tidemark.operators.table.MANY_FOLDERS", 5)
+    engine.add_table("t", hash_by="k", sort_by="k").append(spark.range(9).select(F.col("id").cast("string").alias("k")))
+    assert engine.log.frame().where("level = 'warning' and message like '%buckets%'").count() == 1
+
+
 def test_time_limit_and_reload(spark, tmp_path, monkeypatch):
     with pytest.raises(TimeoutError):
         limited(lambda: time.sleep(5), 0.05)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -127,12 +128,33 @@ class NoopSink(Sink):
 
 @dataclass
 class PeerSink(Sink):
-    """Another engine in this process or behind a function that takes a frame."""
+    """Another engine in this process or behind a function that takes a frame.
+
+    A write is tried several times with growing pauses; after so many writes in a row that failed, writes fail at once for a while."""
 
     ingest: Callable[[DataFrame], Any] | None = None
+    tries: int = 3
+    pause: float = 0.1
+    breaks_after: int = 5
+    rests: float = 30.0
+    clock: Callable[[], float] = time.monotonic
+    _failures: int = field(default=0, repr=False)
+    _rests_until: float = field(default=0.0, repr=False)
 
     def write(self, df: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
-        self.ingest(self.kept(df))
+        if self._failures >= self.breaks_after and self.clock() < self._rests_until:
+            raise ConnectionError("the peer failed too often and is left alone for a while")
+        for left in reversed(range(self.tries)):
+            try:
+                self.ingest(self.kept(df))
+                self._failures = 0
+                return
+            except Exception:
+                if not left:
+                    self._failures += 1
+                    self._rests_until = self.clock() + self.rests
+                    raise
+                time.sleep(self.pause * 2 ** (self.tries - 1 - left))
 
 
 def _persistently(publish: Callable[[list[str]], None], line: str, tries: int) -> None:

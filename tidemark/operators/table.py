@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.schema import Schema, parse_schema, schema_of
-from tidemark.functions.scripting import Computed
+from tidemark.functions.scripting import Computed, log
 from tidemark.functions.types import Kind
 from tidemark.functions.values import estimated_size
 from tidemark.operators import files
@@ -41,6 +41,8 @@ GRACE = 600
 SCHEMA_CHECK = 300
 #: Columns that say where a row stands: its file, and its place there.
 FILE, ROW = "_file", "_row"
+#: Folders of a batch from which buckets are advised.
+MANY_FOLDERS = 1000
 #: Rows from which the size of a row is estimated.
 SIZED_ROWS = 1000
 
@@ -171,7 +173,10 @@ class TimeSeriesTable:
         out.write.mode("append").option("maxRecordsPerFile", self._rows_of_a_file(rows)).partitionBy(EXPIRES, BATCH, PART).parquet(f"{self.path}/schema={number}")
         with self._lock:
             files.write_text(self.spark, f"{self.path}/_latest", str(number))
-        if files.exists(self.spark, self._folder(own)):  # else there was no row
+        folders = files.children(self.spark, self._folder(own))
+        if len(folders) > MANY_FOLDERS:
+            log("warning", f"{len(folders)} values of {self.hash_by} make as many folders of a batch; a table with buckets has fewer")
+        if folders:  # else there was no row
             files.write_text(self.spark, f"{self.path}/_committed/{own.marker}", "")
             if self.streams:
                 publish(merge([f for _, f in self._read([own])], schema), self.streams)
@@ -347,8 +352,6 @@ def escape(value: str) -> str:
 
 def publish(rows: DataFrame, streams: Iterable) -> list[Exception]:
     """Give rows to streaming sinks; failures are logged and returned, and stop neither the others nor the caller."""
-    from tidemark.functions.scripting import log
-
     failures: list[Exception] = []
     for sink in streams:
         try:

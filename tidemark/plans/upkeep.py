@@ -107,7 +107,7 @@ def refused_scans(spark, sf_dir):
     return spark.createDataFrame(out, "asked string, answer string")
 
 
-@query("select * from (values (1, 1514764800.0, 1514764860.0), (2, 1514764800.0, null), (3, 0.0, 1514764800.0), (4, null, null)) as x(id, low, high)")
+@query("select id, low::double as low, high::double as high from (values (1, 1514764800, 1514764860), (2, 1514764800, null), (3, 0, 1514764800), (4, null, null)) as x(id, low, high)")
 def bounds_to_ranges(spark, sf_dir):
     """Pairs of bounds, in any unit, as ranges of seconds."""
     s = 1_514_764_800
