@@ -53,6 +53,18 @@ def test_ties_and_invalid_vectors(spark):
     assert {q: [v for v, _ in own] for q, own in got.items()} == {q: [v for v in range(22) if v != q][:20] for q in (0, 20, 40)}
 
 
+def test_query(spark):
+    """The query's recall against all inner products, and its scores in double precision."""
+    sf = "/root/testdata/sf0.1"
+    data = {r.vec_id: np.array(r.embedding, np.float64) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    got = found(ann.op4_ann(spark, sf))
+    want = exact(list(data), list(data.values()), 20, 20)
+    assert got.keys() == want.keys() and all(len(own) == 20 for own in got.values())
+    assert np.mean([len({v for v, _ in got[q]} & set(w)) / 20 for q, w in want.items()]) >= 0.9
+    for q, own in got.items():
+        assert all(abs(s - float((data[q] * data[v]).sum())) < 1e-12 for v, s in own) and [s for _, s in own] == sorted((s for _, s in own), reverse=True)
+
+
 def test_repeated_rows(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 4)).astype(np.float32).astype(np.float64)

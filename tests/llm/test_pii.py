@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import pii
 
@@ -68,6 +69,43 @@ def test_short_numbers_do_not_cut_a_context(spark):
     assert got[20] == [("john(at)mail2", 0)] and got[21] == []
 
 
+def test_precision_and_recall_of_what_contexts_add(spark):
+    """Unseen identifiers planted after the seeds' contexts are found, and numbers and codes elsewhere are left alone."""
+    r = random.Random(8)
+    filler = lambda n: " ".join(r.choice("ab cd river table lamp stone green of the and".split()) for _ in range(n))
+    texts, planted = [], {}
+    for i in range(400):
+        kind = i % 4
+        seed = [f"write me at user{i}@mail{i % 9}.org", f"call my mobile +49 (0{i % 90 + 10}) 55{i:04d}-7", f"server address 10.0.{i % 250}.{i % 99}", f"room {i} is taken"][kind]
+        text = f"{filler(r.randrange(5, 30))} {seed} {filler(5)}"
+        if i % 10 in (3, 7):  # an identifier that no base pattern knows
+            odd, lead = r.choice([(f"john{i}(at)web", "write me at"), (f"(0{i % 90 + 10}) 55{i:04d}-7", "call my mobile"), (f"fe80::{i:x}:1ab2", "server address")])
+            text += f" {lead} {odd} {filler(3)}"
+            planted[i] = odd
+        if i % 3 == 0:
+            text += f" order no{i}x9 costs 12{i}99 coins and version v{i}.0.1 runs"
+        texts.append(text)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    added = {x.id: [texts[x.id][s.start : s.end] for s in x.spans if s not in x.base] for x in pii.find_personal(df).collect()}
+    hits = sum(own in added[i] for i, own in planted.items())
+    total = sum(map(len, added.values()))
+    assert hits / len(planted) > 0.95 and hits / total > 0.95
+
+
+def test_time_grows_with_the_text(spark):
+    """Four times the matches take nowhere near sixteen times as long."""
+    import time
+
+    def took(n):
+        df = spark.createDataFrame([(1, "1.2.3.4 x " * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        assert pii.find_personal(df).select(F.size("base")).first()[0] == n
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(80_000) < 8 * max(took(20_000), 0.5)
+
+
 def test_a_weak_context_finds_nothing(spark):
     texts = [f"see at user{i}@m.com" for i in range(6)] + [f"see at item{i}x" for i in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
