@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import kept, map_arrow, table, text_of
+from tidemark.llm.common import few, kept, map_arrow, table, text_of
 
 #: The split pattern of byte-level BPE, with {L} letters, {N} numbers, {S} white space, {O} all else.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?{O}+|{S}+(?!{T})|{S}+"
@@ -382,5 +382,5 @@ def default_vocabulary() -> str:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents, decode the ids again, and return digests of both."""
-    both = bpe_round_trip(table(spark, sf_dir, "documents"), default_vocabulary())
+    both = bpe_round_trip(few(table(spark, sf_dir, "documents")), default_vocabulary())
     return both.select("doc_id", "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

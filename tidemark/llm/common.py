@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 #: Rows an Arrow batch holds at most; with texts of up to about 1 MB a batch stays far below a worker's memory.
 BATCH_ROWS = 256
-#: Rows of a file, where a table of known size is written.
-FILE_ROWS = 20_000
+#: Rows of a file, where a table of known size is written, and bytes of a source that a task takes at least.
+FILE_ROWS, TASK_BYTES = 20_000, 32 << 20
+#: Parts that few() asks for at most; a source of unknown size counts as endless and keeps its own.
+MOST_PARTS = 1 << 30
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,12 +86,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
-def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+def parts_for(source: DataFrame) -> int:
+    """How many tasks and files suit what is made from all rows of a source: by its size, and two for each core at least."""
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(2 * source.sparkSession.sparkContext.defaultParallelism, min(-(-size // TASK_BYTES), MOST_PARTS))
+
+
+def few(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """df in no more parts than suit its source (itself, if none is given): small parts become few files. Without a shuffle."""
+    return df.coalesce(parts_for(df if source is None else source))
+
+
+def cut(df: DataFrame, rows: int | None = None, parts: int | None = None) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there, so that lost executors cost no lineage.
 
-    rows: how many df has at most, where that is known; few rows then make few files."""
+    rows: how many df has at most, where that is known; parts: how many suit it. Either makes few files of few rows."""
     checkpoint_dir(df.sparkSession)
-    return (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).checkpoint(eager=True)
+    parts = parts if rows is None else 1 + rows // FILE_ROWS
+    return (df if parts is None else df.coalesce(parts)).checkpoint(eager=True)
 
 
 def text_of(column: str = "text"):

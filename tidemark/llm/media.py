@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jpeg
-from tidemark.llm.common import map_arrow, table, text_of
+from tidemark.llm.common import few, map_arrow, table, text_of
 
 #: Bytes of a payload's unit: three blocks of 64.
 UNIT = 192
@@ -82,7 +82,7 @@ def read_media(media: DataFrame, id_col: str = "doc_id", keep_tensor: bool = Tru
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents stored as progressive JPEG and read back; digests of both and the images' features."""
-    read = read_media(to_media(table(spark, sf_dir, "documents")))
+    read = read_media(to_media(few(table(spark, sf_dir, "documents"))))
     return read.select(
         "doc_id",
         "n_bytes",

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import cut, table, text_of
+from tidemark.llm.common import cut, few, table, text_of
 
 #: Cells up to which they are raked on the driver and broadcast to the documents (some 10 MB).
 BROADCAST_CELLS = 100_000
@@ -184,5 +184,5 @@ FRACTION = 0.5
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight, probability and choice of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    docs = few(table(spark, sf_dir, "documents")).select("doc_id", "text", "source", "lang")
     return mix(docs, TARGETS, FRACTION).select("row.doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", "selected", "deviation")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, map_arrow, table, text_of
+from tidemark.llm.common import cut, few, map_arrow, parts_for, table, text_of
 from tidemark.llm.words import grams, hash_words, mix, portions, spans
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -226,10 +226,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def grouped(df: DataFrame, threshold: float, recall: float, rows: int, id_col: str, text_col: str) -> DataFrame:
     """id, head (none, id, th: the row that stands for the group; null without n-grams), links; a row for each row of df."""
-    bands = choose_bands(threshold, recall, rows)
+    bands, parts = choose_bands(threshold, recall, rows), parts_for(df)
     text = text_of(text_col)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    signed = cut(sign(docs, bands, rows))
+    signed = cut(sign(docs, bands, rows), parts=parts)
     # one row stands for a class: the least id (null comes last), and the hash of its text, should the id have several
     rep = F.struct(F.col("id").isNull().alias("none"), "id", "th")
     classes = signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min(rep).alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands"))
@@ -265,7 +265,7 @@ def grouped(df: DataFrame, threshold: float, recall: float, rows: int, id_col: s
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         return compare_block(pdf, threshold)
 
-    found = cut(dealt.groupBy("pivot", "i", "j").applyInPandas(compare, "k1 long, k2 long, links long, r1 long, r2 long"))
+    found = cut(dealt.groupBy("pivot", "i", "j").applyInPandas(compare, "k1 long, k2 long, links long, r1 long, r2 long"), parts=parts)
     links = found.groupBy("k1", "k2").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.struct("k1", "k2").alias("id"), F.struct(F.col("r1").alias("k1"), F.col("r2").alias("k2")).alias("root"))).select("id.k1", "id.k2", "root")
     heads = roots.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).groupBy("root").agg(F.min("rep").alias("head"))
@@ -293,7 +293,8 @@ def one_of_each(df: DataFrame, threshold: float = THRESHOLD, recall: float = REC
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document."""
-    return ngram_join(table(spark, sf_dir, "documents"))
+    docs = few(table(spark, sf_dir, "documents"))
+    return few(ngram_join(docs), docs)
 
 
 ORACLE_OP5 = r"""

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, table, text_of
+from tidemark.llm.common import cut, few, parts_for, table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, written so that no run of characters is walked through twice: quantifiers are possessive, and a
@@ -225,7 +225,7 @@ def find_personal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = found.select("*", furthest(F.col("base")).alias("reach"), F.when((F.size("base") > 0) | F.col("text").rlike("[0-9@]"), pieces_of(F.col("text"))).alias("pieces"))
     base, reach, pieces = F.col("base"), F.col("reach"), F.col("pieces")
     places = F.concat(seeds_of(base, reach, pieces), candidates(F.col("text"), base, reach, pieces))
-    found = cut(found.select("id", F.md5(F.col("text").cast("binary")).alias("text_key"), "base", F.filter(places, lambda p: p["context"] != "").alias("places")))
+    found = cut(found.select("id", F.md5(F.col("text").cast("binary")).alias("text_key"), "base", F.filter(places, lambda p: p["context"] != "").alias("places")), parts=parts_for(df))
     n = found.agg(F.sum(F.size("places"))).first()[0] or 0
     places = found.where(F.size("places") > 0).select("id", "text_key", F.explode("places").alias("p")).select("id", "text_key", "p.*")
     edges = places.groupBy("context", "token").agg(F.min("kind").alias("kind"))
@@ -268,7 +268,8 @@ def mask_personal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in all documents."""
-    found = find_personal(table(spark, sf_dir, "documents"))
+    docs = few(table(spark, sf_dir, "documents"))
+    found = few(find_personal(docs), docs)
 
     def count(code: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == code)).cast("long")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import FILE_ROWS, checkpoint_dir, cut, table, text_of
+from tidemark.llm.common import FILE_ROWS, checkpoint_dir, cut, few, parts_for, table, text_of
 from tidemark.operators import files
 
 SHARDS = 40
@@ -72,7 +72,7 @@ def propagate(cells: DataFrame, share: int, shards: int) -> DataFrame:
 
 def assign_shards(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, size, text_crc32, group (a hash of the text), linked (copies of the text, itself included), shard, slot."""
-    text = text_of(text_col)
+    text, parts = text_of(text_col), parts_for(df)
     docs = cut(
         df.select(
             F.col(id_col).alias("id"),
@@ -80,18 +80,19 @@ def assign_shards(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", t
             F.crc32(text.cast("binary")).alias("crc"),
             F.md5(text.cast("binary")).alias("group"),
             F.pmod(F.xxhash64(F.lit(1), F.col(id_col)), F.lit(shards)).cast("int").alias("first"),
-        )
+        ),
+        parts=parts,
     )
     n = docs.count()
     small, extra = divmod(n, shards)
     cells = docs.groupBy("group", "first").agg(F.count("*").alias("n"))
     groups = cells.groupBy("group").agg(F.sum("n").alias("linked")).where("linked > 1")
-    cells = cut(cells.join(groups, "group").select("group", "first", F.col("first").alias("shard"), "n", "linked"))
+    cells = cut(cells.join(groups, "group").select("group", "first", F.col("first").alias("shard"), "n", "linked"), n)
     found = propagate(cells.drop("linked"), small, shards).select("group", "first", F.col("shard").alias("moved")).join(cells.select("group", "first", "linked"), ["group", "first"])
     placed = docs.join(found, ["group", "first"], "left").select("id", "size", "crc", "group", F.coalesce("linked", F.lit(1)).cast("long").alias("linked"), F.coalesce("moved", "first").alias("shard"))
     alone = (F.col("linked") == 1).cast("int")
     bucket = (alone * GROUP_BUCKETS + F.pmod(F.xxhash64("group"), F.lit(GROUP_BUCKETS))) * ID_BUCKETS + F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(ID_BUCKETS))
-    placed = cut(placed.withColumn("bucket", bucket.cast("int")))
+    placed = cut(placed.withColumn("bucket", bucket.cast("int")), parts=parts)
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))  # at most shards * 2 * GROUP_BUCKETS * ID_BUCKETS rows
     before = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("before"))
     loads = {r["shard"]: r["n"] for r in counts.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row for each shard
@@ -132,5 +133,6 @@ def cut_share(placed: DataFrame) -> float:
 
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards by the law of even rows."""
-    placed = assign_shards(table(spark, sf_dir, "documents"))
+    docs = few(table(spark, sf_dir, "documents"))
+    placed = few(assign_shards(docs), docs)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "linked")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, map_arrow, table, text_of
+from tidemark.llm.common import cut, few, map_arrow, parts_for, table, text_of
 from tidemark.llm.fm_index import FMIndex, repeated_windows
 from tidemark.llm.words import BASE, INVERSE, grams, hash_words, mix, portions, spans
 
@@ -160,20 +160,20 @@ def search_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row": pdf["row"].to_numpy(np.int64)[stretch[head]], "from": where[head], "to": where[tail] + WINDOW})
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """docs (row, text) -> row, from, to: stretches of words that windows found elsewhere cover."""
+def repeated_spans(docs: DataFrame, parts: int) -> DataFrame:
+    """docs (row, text), with tables in so many parts on the way -> row, from, to: stretches of words that windows found elsewhere cover."""
     keys = stretches_of(docs, ("key", "loops")).groupBy("key").agg(F.count("*").alias("total"), F.max("loops").alias("loops"))
-    keys = cut(keys.where("total > 1 or loops").select("key"))  # written, so that a join deals both sides anew and can split a frequent key
-    some = cut(stretches_of(docs, ("row", "key", "content", "at", "windows", "loops")).join(keys, "key"))
+    keys = cut(keys.where("total > 1 or loops").select("key"), parts=parts)  # written, so that a join deals both sides anew and can split a frequent key
+    some = cut(stretches_of(docs, ("row", "key", "content", "at", "windows", "loops")).join(keys, "key"), parts=parts)
     order = F.struct("row", "at", "windows")
     kinds = some.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(order).alias("one"), F.max("loops").alias("loops"))
-    kinds = cut(kinds)
-    kinds = cut(kinds.join(cut(kinds.groupBy("key").agg(F.count("*").alias("kinds"))), "key"))
+    kinds = cut(kinds, parts=parts)
+    kinds = cut(kinds.join(cut(kinds.groupBy("key").agg(F.count("*").alias("kinds")), parts=parts), "key"), parts=parts)
     whole = some.join(kinds.where("n > 1").select("key", "content"), ["key", "content"], "left_semi").select("row", F.col("at").cast("long").alias("from"), (F.col("at") + F.col("windows") + WINDOW - 1).cast("long").alias("to"))
     asked = kinds.where("kinds > 1 or (n = 1 and loops)")
     wanted = asked.select(F.col("one.row").alias("row"), F.struct(F.col("one.at").alias("at"), F.col("one.windows").alias("windows"), "key", (F.col("n") == 1).alias("single"), (F.col("kinds") > HOT).alias("hot")).alias("want"))
     wanted = wanted.groupBy("row").agg(F.collect_list("want").alias("wanted"))
-    texts = cut(stretch_texts(docs.join(wanted, "row").select("row", "text", "wanted")))
+    texts = cut(stretch_texts(docs.join(wanted, "row").select("row", "text", "wanted")), parts=parts)
     words = texts.where("words is not null").agg(F.sum(F.col("windows") + WINDOW)).first()[0] or 0
     shards = max(1, -(-words // SHARD_WORDS))
     sharded = texts.where("words is not null").select(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(shards)).alias("shard"), "row", "at", "windows", "single", "words")
@@ -188,7 +188,7 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """id_col, n_words, n_removed, kept (the kept words, joined by single spaces); one row for each row of df."""
     text = text_of(text_col)
     docs = df.select(F.xxhash64(F.col(id_col), text).alias("row"), text.cast("binary").alias("text"), F.col(id_col).alias("id"))
-    found = cut(repeated_spans(docs.select("row", "text")).groupBy("row").agg(F.collect_set(F.struct("from", "to")).alias("spans")))
+    found = cut(repeated_spans(docs.select("row", "text"), parts_for(df)).groupBy("row").agg(F.collect_set(F.struct("from", "to")).alias("spans")), parts=parts_for(df))
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -211,7 +211,8 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the words that repeated windows cover."""
-    return drop_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    docs = few(table(spark, sf_dir, "documents"))
+    return few(drop_repeats(docs), docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 ORACLE_OP3 = """

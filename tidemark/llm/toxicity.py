@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import kept, map_arrow, release, small_batches, table, text_of
+from tidemark.llm.common import few, kept, map_arrow, release, small_batches, table, text_of
 
 #: Common insults, in the parts that vote separately.
 SEEDS = ("idiot moron stupid imbecile dumb".split(), "scum trash worthless garbage vermin".split(), "loser pathetic disgusting clown hate".split())
@@ -265,6 +265,6 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = few(table(spark, sf_dir, "documents")).select("doc_id", "text")
     scored = score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, map_arrow, table
+from tidemark.llm.common import cut, few, map_arrow, parts_for, table
 
 #: Words that mark an unwanted host.
 UNWANTED = "adult ads bet bets casino cheap farm free gambling loan pills poker porn prize sex spam track tracker viagra win xxx".split()
@@ -162,14 +162,14 @@ def split_names(names: DataFrame, words: DataFrame) -> DataFrame:
     return map_arrow(keyed.join(found, "key", "left").select("name", "found"), search, "name string, pieces array<string>")
 
 
-def split_hosts(hosts: DataFrame) -> DataFrame:
-    """hosts (distinct) -> host, words (in order, # for digits), unwanted."""
-    parts = cut(hosts.select("host", F.posexplode(tokens_of(F.col("host"))).alias("at", "name")))
+def split_hosts(hosts: DataFrame, parts_made: int) -> DataFrame:
+    """hosts (distinct), written in so many parts -> host, words (in order, # for digits), unwanted."""
+    parts = cut(hosts.select("host", F.posexplode(tokens_of(F.col("host"))).alias("at", "name")), parts=parts_made)
     pieces = split_names(parts.where("name != '#'").select("name").distinct(), word_counts(hosts))
     each = parts.join(pieces, "name", "left").select("host", "at", F.coalesce("pieces", F.array("name")).alias("pieces"))
     words = each.groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "pieces"))), lambda x: x["pieces"])).alias("words"))
     out = hosts.join(words, "host", "left").select("host", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
-    return cut(out.withColumn("unwanted", F.arrays_overlap("words", F.array(*map(F.lit, UNWANTED)))))
+    return cut(out.withColumn("unwanted", F.arrays_overlap("words", F.array(*map(F.lit, UNWANTED)))), parts=parts_made)
 
 
 def token_counts(grouped: DataFrame, mark: str) -> DataFrame:
@@ -178,12 +178,12 @@ def token_counts(grouped: DataFrame, mark: str) -> DataFrame:
     return each.groupBy(F.concat(F.lit(mark), "word").alias("token"), "blocked").agg(F.sum("n").alias("n"))
 
 
-def bayes(counts: DataFrame) -> tuple[DataFrame, float]:
-    """counts (token, blocked, n) -> token, weight: its log odds of block; and the weight of a token never seen."""
+def bayes(counts: DataFrame, parts: int) -> tuple[DataFrame, float]:
+    """counts (token, blocked, n), written in so many parts -> token, weight: its log odds of block; and the weight of a token never seen."""
     spark = counts.sparkSession
     known = [("h:" + w, True, LISTED) for w in UNWANTED] + [("h:" + w, False, LISTED) for w in COMMON]
     both = counts.union(spark.createDataFrame(known, "token string, blocked boolean, n long"))
-    seen = cut(both.groupBy("token").agg(F.sum(F.when(F.col("blocked"), F.col("n")).otherwise(0)).alias("block"), F.sum(F.when(F.col("blocked"), 0).otherwise(F.col("n"))).alias("allow")))
+    seen = cut(both.groupBy("token").agg(F.sum(F.when(F.col("blocked"), F.col("n")).otherwise(0)).alias("block"), F.sum(F.when(F.col("blocked"), 0).otherwise(F.col("n"))).alias("allow")), parts=parts)
     block, allow, kinds = seen.agg(F.sum("block"), F.sum("allow"), F.count("*")).first()
     unseen = math.log((allow + SMOOTHING * kinds) / (block + SMOOTHING * kinds))
     return seen.select("token", (F.log(F.col("block") + SMOOTHING) - F.log(F.col("allow") + SMOOTHING) + F.lit(unseen)).alias("weight")), unseen
@@ -197,25 +197,25 @@ def summed(keyed: DataFrame, key: str, mark: str, weights: DataFrame, unseen: fl
 
 def judge_urls(df: DataFrame, rules: Iterable[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", teaches: Column | None = None) -> DataFrame:
     """id_col, host, path, words (of host and path), rule, score (log odds of block), verdict. teaches: rows that count (all by default)."""
-    url = F.col(url_col).cast("string")
+    url, parts = F.col(url_col).cast("string"), parts_for(df)
     parsed = df.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), (F.lit(True) if teaches is None else F.coalesce(teaches, F.lit(False))).alias("teaches"))
     rule, verdict = by_rules(F.col("host"), F.col("path"), rules)
     parsed = parsed.select("*", rule.alias("rule"), verdict.alias("by_rule"), F.array_join(tokens_of(F.col("path")), " ").alias("path_words"))
-    hosts = split_hosts(parsed.select("host").distinct())
+    hosts = split_hosts(parsed.select("host").distinct(), parts)
     known = parsed.where("teaches").join(hosts.select("host", "unwanted"), "host")
     blocked = F.when(F.col("by_rule") == "block", True).when(F.col("by_rule").isNull(), F.col("unwanted")).when(~F.col("unwanted"), False)
     known = known.withColumn("blocked", blocked).where("blocked is not null")
-    by_host = cut(known.groupBy("host", "blocked").agg(F.count("*").alias("n")))
+    by_host = cut(known.groupBy("host", "blocked").agg(F.count("*").alias("n")), parts=parts)
     by_path = known.where("path_words != ''").groupBy("path_words", "blocked").agg(F.count("*").alias("n"))
     in_path = F.split("path_words", " ")
     counts = token_counts(by_host.join(hosts, "host").select("words", "blocked", "n"), "h:").union(token_counts(by_path.select(in_path.alias("words"), "blocked", "n"), "p:"))
-    weights, unseen = bayes(counts)
+    weights, unseen = bayes(counts, parts)
     n = {r["blocked"]: r["n"] for r in by_host.groupBy("blocked").agg(F.sum("n").alias("n")).collect()}
     prior = math.log((n.get(True, 0) + 1) / (n.get(False, 0) + 1))
     # both tables of scores are written, so that the joins deal both sides anew and can split a frequent host or path
-    host_scores = cut(hosts.select("host", F.array_join("words", " ").alias("host_words")).join(summed(hosts, "host", "h:", weights, unseen), "host", "left"))
+    host_scores = cut(hosts.select("host", F.array_join("words", " ").alias("host_words")).join(summed(hosts, "host", "h:", weights, unseen), "host", "left"), parts=parts)
     paths = parsed.where("path_words != ''").select("path_words").distinct()
-    path_scores = cut(summed(paths.select("path_words", in_path.alias("words")), "path_words", "p:", weights, unseen))
+    path_scores = cut(summed(paths.select("path_words", in_path.alias("words")), "path_words", "p:", weights, unseen), parts=parts)
     score = F.lit(prior) + F.coalesce("host_score", F.lit(0.0)) + F.coalesce("path_words_score", F.lit(0.0))
     judged = parsed.join(host_scores, "host").join(path_scores, "path_words", "left").withColumn("score", score)
     words = F.trim(F.concat_ws(" ", "host_words", "path_words")).alias("words")
@@ -224,4 +224,5 @@ def judge_urls(df: DataFrame, rules: Iterable[tuple[str, str]], id_col: str = "p
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's URL."""
-    return judge_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict", "words", "score")
+    pages = few(table(spark, sf_dir, "pages"))
+    return few(judge_urls(pages, RULES), pages).select("page_id", "host", "path", "rule", "verdict", "words", "score")
