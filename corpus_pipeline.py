@@ -12,35 +12,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, mixing, ngram_join, pii, toxicity
-from tidemark.llm.common import checkpoint_dir, table
+from tidemark.llm.common import checkpoint_dir, few, table
 from tidemark.operators import files
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
+    docs = few(docs)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_toxicity(docs, model).where(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of exact and near copies, the document with the smallest id, once; texts without words stay."""
-    return ngram_join.one_of_each(docs)
+    docs = few(docs)
+    return few(ngram_join.one_of_each(docs), docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data masked."""
-    masked = pii.mask_personal(docs)
+    docs = few(docs)
+    masked = few(pii.mask_personal(docs), docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by calibrated chances."""
-    return mixing.mix(docs, mixing.TARGETS, mixing.FRACTION).where("selected").select("row.*")
+    return mixing.mix(few(docs), mixing.TARGETS, mixing.FRACTION).where("selected").select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (packed), and whether decoding gives the text back."""
-    both = bpe.bpe_round_trip(docs, bpe.default_vocabulary())
+    both = bpe.bpe_round_trip(few(docs), bpe.default_vocabulary())
     return both.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
