@@ -86,3 +86,14 @@ def test_windows(window):
     seen = Counter(tuple(text[i : i + window]) for i in range(len(text) - window + 1))
     want = [i for a, b in zip(begin, end, strict=True) for i in range(a, b - window + 1) if seen[tuple(text[i : i + window])] > 1]
     assert fm_index.repeated_windows(index, text, begin, end, window).tolist() == sorted(want)
+
+
+def test_a_very_long_text(spark):
+    """A text of 300,000 words that repeats a passage of its own, and shares another with a short one."""
+    words = [f"w{i}" for i in range(300_000)]
+    words[200_000:200_050] = words[100:150]
+    short = ["x", *words[5_000:5_040], "y"]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(short))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.drop_repeats(df).collect()}
+    kept = [w for i, w in enumerate(words) if not (100 <= i < 150 or 200_000 <= i < 200_050 or 5_000 <= i < 5_040)]
+    assert got[1] == (300_000, 140, " ".join(kept)) and got[2] == (42, 40, "x y")
