@@ -126,6 +126,7 @@ def test_query(spark):
         text = ",".join(f"{pii.KINDS[k]}:{a}:{e}" for a, k, e in want)
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == i for _, k, _ in want) for i in range(4))
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest() and set(text.split(",")) <= {*r.spans.split(","), ""}
+        assert r.n_spans == len([x for x in r.spans.split(",") if x])
 
 
 def test_no_python_in_the_plan(spark):

@@ -275,4 +275,4 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == code)).cast("long")
 
     counts = [count(code).alias(f"n_{name}") for code, name in enumerate(KINDS)]
-    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
