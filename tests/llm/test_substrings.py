@@ -97,3 +97,11 @@ def test_a_very_long_text(spark):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.drop_repeats(df).collect()}
     kept = [w for i, w in enumerate(words) if not (100 <= i < 150 or 200_000 <= i < 200_050 or 5_000 <= i < 5_040)]
     assert got[1] == (300_000, 140, " ".join(kept)) and got[2] == (42, 40, "x y")
+
+
+def test_many_repeated_rows(spark):
+    """Rows with equal ids and texts stand in the index once, and all lose the same words."""
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text)] * 300 + [(2, f"x {text} y"), (3, "alone")], "doc_id long, text string")
+    got = {(r.doc_id, r.n_removed, r.kept) for r in substrings.drop_repeats(df).collect()}
+    assert got == {(1, 60, ""), (2, 60, "x y"), (3, 0, "alone")}

@@ -2,10 +2,11 @@
 
 A window's key is the least hash of its short n-grams, so equal windows have equal keys. Consecutive windows with one key make a
 stretch, and each window of the corpus is in just one stretch. Stretches alone under their key, without a repeat inside,
-are done. Stretches that occur word for word more than once are repeats as a whole. All others are gathered by
-key in shards of bounded numbers of words; a shard's distinct stretches make its FM-index, through which the single ones
-are streamed: backward search over the wavelet matrix gives their matching statistics, and windows above the threshold
-are reported. Keys with more distinct stretches than a shard can hold are settled by counting their windows' hashes.
+are done. Of stretches that occur word for word more than once, one stands for all. The others and these are gathered by
+key in shards of bounded numbers of words; a shard's distinct stretches make its FM-index, in which one that stands for several is twice. All
+are streamed through it: backward search over the wavelet matrix gives their matching statistics, windows above the threshold
+are reported, and what is found in a stretch holds for all its copies. Keys with more distinct stretches than a shard can hold are settled by
+counting: by their windows' hashes, and as a whole where a stretch has copies.
 
 Words are runs other than white space, unchanged. Windows and stretches count as the same if both their keys and the 64-bit hashes of their words
 are the same, so two different ones under one key are taken for the same with a chance of 2**-64. Inside a shard, words are told apart by their
@@ -103,7 +104,7 @@ def stretches_of(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 
 
 def stretch_texts(docs: DataFrame) -> DataFrame:
-    """docs (row, text, wanted: array of (at, windows, key, single, hot)) -> key, row, at, windows, single, words, hashes.
+    """docs (row, text, wanted: array of (at, windows, key, content, single, hot)) -> key, content, row, at, windows, single, words, hashes.
 
     words: the stretch's text; hashes: of its windows, for hot keys, instead."""
 
@@ -120,16 +121,19 @@ def stretch_texts(docs: DataFrame) -> DataFrame:
                     a = int(first[i]) + w["at"]
                     words = None if w["hot"] else raw[starts[a] : ends[a + w["windows"] + WINDOW - 2]]
                     hashes = s.window_hash[a : a + w["windows"]].tolist() if w["hot"] else None
-                    out.append((w["key"], rows[start + i], w["at"], w["windows"], w["single"], words, hashes))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.int64()))
-        names = ["key", "row", "at", "windows", "single", "words", "hashes"]
+                    out.append((w["key"], w["content"], rows[start + i], w["at"], w["windows"], w["single"], words, hashes))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.int64()))
+        names = ["key", "content", "row", "at", "windows", "single", "words", "hashes"]
         return pa.record_batch([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=names)
 
-    return map_arrow(docs, run, "key long, row long, at int, windows int, single boolean, words binary, hashes array<long>")
+    return map_arrow(docs, run, "key long, content long, row long, at int, windows int, single boolean, words binary, hashes array<long>")
 
 
 def search_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A shard's stretches -> row, from, to: covered words of those streamed."""
+    """A shard's stretches -> key, content, row, at, single, from, to: of each the covered words, counted from its start."""
+    several = ~pdf["single"].to_numpy()
+    streamed = len(pdf)
+    pdf = pd.concat([pdf, pdf[several]], ignore_index=True)  # what has copies is in the index twice
     texts = pa.array(pdf["words"].tolist(), pa.large_binary())
     data = np.frombuffer(texts.buffers()[2], np.uint8)
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1)
@@ -142,7 +146,7 @@ def search_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     text[np.arange(len(symbols)) + shift] = symbols + 1
     begin = first[:-1] + np.arange(len(counts))
     index = FMIndex(text, len(names) + 1)
-    single = np.flatnonzero(pdf["single"].to_numpy())
+    single = np.arange(streamed)
     windows = pdf["windows"].to_numpy(np.int64)[single]
     lanes = -(-windows // LANE)
     lane = np.arange(int(lanes.sum())) - np.repeat(np.cumsum(lanes) - lanes, lanes)
@@ -151,13 +155,14 @@ def search_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     high = np.minimum(low + LANE + WINDOW - 1, begin[owner] + counts[owner])
     found = repeated_windows(index, text, low, high, WINDOW)
     stretch = np.searchsorted(begin, found, "right") - 1
-    where = pdf["at"].to_numpy(np.int64)[stretch] + found - begin[stretch]
+    where = found - begin[stretch]
     # windows side by side are one interval
     new = np.ones(len(found), bool)
     new[1:] = (stretch[1:] != stretch[:-1]) | (found[1:] != found[:-1] + 1)
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(found)) - 1 if len(head) else head
-    return pd.DataFrame({"row": pdf["row"].to_numpy(np.int64)[stretch[head]], "from": where[head], "to": where[tail] + WINDOW})
+    own = pdf.iloc[stretch[head]]
+    return pd.DataFrame({**{c: own[c].to_numpy() for c in ("key", "content", "row", "at", "single")}, "from": where[head], "to": where[tail] + WINDOW})
 
 
 def repeated_spans(docs: DataFrame, parts: int) -> DataFrame:
@@ -169,19 +174,26 @@ def repeated_spans(docs: DataFrame, parts: int) -> DataFrame:
     kinds = some.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(order).alias("one"), F.max("loops").alias("loops"))
     kinds = cut(kinds, parts=parts)
     kinds = cut(kinds.join(cut(kinds.groupBy("key").agg(F.count("*").alias("kinds")), parts=parts), "key"), parts=parts)
-    whole = some.join(kinds.where("n > 1").select("key", "content"), ["key", "content"], "left_semi").select("row", F.col("at").cast("long").alias("from"), (F.col("at") + F.col("windows") + WINDOW - 1).cast("long").alias("to"))
-    asked = kinds.where("kinds > 1 or (n = 1 and loops)")
-    wanted = asked.select(F.col("one.row").alias("row"), F.struct(F.col("one.at").alias("at"), F.col("one.windows").alias("windows"), "key", (F.col("n") == 1).alias("single"), (F.col("kinds") > HOT).alias("hot")).alias("want"))
+    asked = kinds.where("kinds > 1 or n > 1 or loops")
+    single, hot = (F.col("n") == 1).alias("single"), (F.col("kinds") > HOT).alias("hot")
+    wanted = asked.select(F.col("one.row").alias("row"), F.struct(F.col("one.at").alias("at"), F.col("one.windows").alias("windows"), "key", "content", single, hot).alias("want"))
     wanted = wanted.groupBy("row").agg(F.collect_list("want").alias("wanted"))
-    texts = cut(stretch_texts(docs.join(wanted, "row").select("row", "text", "wanted")), parts=parts)
-    words = texts.where("words is not null").agg(F.sum(F.col("windows") + WINDOW)).first()[0] or 0
+    chosen, again = docs.join(wanted, "row").select("row", "text", "wanted"), cut(docs.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row"), parts=parts)
+    if not again.isEmpty():  # of rows with equal ids and texts one will do
+        chosen = chosen.join(again, "row", "left_anti").union(chosen.join(again, "row", "left_semi").dropDuplicates(["row"]))
+    texts = cut(stretch_texts(chosen), parts=parts)
+    words = texts.where("words is not null").agg(F.sum((F.col("windows") + WINDOW) * F.when(F.col("single"), 1).otherwise(2))).first()[0] or 0
     shards = max(1, -(-words // SHARD_WORDS))
-    sharded = texts.where("words is not null").select(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(shards)).alias("shard"), "row", "at", "windows", "single", "words")
-    streamed = sharded.groupBy("shard").applyInPandas(search_shard, "row long, from long, to long")
+    sharded = texts.where("words is not null").select(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(shards)).alias("shard"), "key", "content", "row", "at", "windows", "single", "words")
+    found = cut(sharded.groupBy("shard").applyInPandas(search_shard, "key long, content long, row long, at int, single boolean, from long, to long"), parts=parts)
+    streamed = found.where("single").select("row", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to"))
+    copies = some.select("key", "content", F.col("row").alias("copy"), F.col("at").alias("place"))
+    spread = found.where("not single").join(copies, ["key", "content"]).select(F.col("copy").alias("row"), (F.col("place") + F.col("from")).alias("from"), (F.col("place") + F.col("to")).alias("to"))
+    whole = some.join(kinds.where(hot & ~single).select("key", "content"), ["key", "content"], "left_semi").select("row", F.col("at").cast("long").alias("from"), (F.col("at") + F.col("windows") + WINDOW - 1).cast("long").alias("to"))
     hot = texts.where("hashes is not null").select("key", "row", "at", "single", F.posexplode("hashes").alias("i", "hash"))
     often = hot.groupBy("key", "hash").agg(F.count("*").alias("n")).where("n > 1").select("key", "hash")
     settled = hot.join(often, ["key", "hash"], "left_semi").where("single").select("row", (F.col("at") + F.col("i")).cast("long").alias("from"), (F.col("at") + F.col("i") + WINDOW).cast("long").alias("to"))
-    return whole.union(streamed).union(settled)
+    return streamed.union(spread).union(whole).union(settled)
 
 
 def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
