@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Rows an Arrow batch holds at most; with texts of up to about 1 MB a batch stays far below a worker's memory.
 BATCH_ROWS = 256
 #: Rows of a file, where a table of known size is written, and bytes of a source that a task takes at least.
-FILE_ROWS, TASK_BYTES = 20_000, 32 << 20
+FILE_ROWS, TASK_BYTES = 20_000, 16 << 20
 #: Parts that few() asks for at most; a source of unknown size counts as endless and keeps its own.
 MOST_PARTS = 1 << 30
 
@@ -87,9 +87,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def parts_for(source: DataFrame) -> int:
-    """How many tasks and files suit what is made from all rows of a source: by its size, and two for each core at least."""
+    """How many tasks and files suit what is made from all rows of a source: by its size, and one for each core at least."""
     size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(2 * source.sparkSession.sparkContext.defaultParallelism, min(-(-size // TASK_BYTES), MOST_PARTS))
+    return max(source.sparkSession.sparkContext.defaultParallelism, min(-(-size // TASK_BYTES), MOST_PARTS))
 
 
 def few(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
