@@ -102,3 +102,19 @@ def test_score_at_the_threshold_is_predicted(spark):
     docs = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "doc_id long, text string")
     rows = tox.score_toxicity(docs, tox.Model({}, bias + 1e-12)).collect()
     assert {r.score for r in rows} == {rows[0].score} and rows[0].score >= tox.THRESHOLD
+
+
+def test_copies_train_once(spark):
+    """A large group of copies of a toxic text doesn't make its plain words toxic."""
+    rng = np.random.default_rng(9)
+    plain = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}o" for i in range(200)]
+    texts = [" ".join(rng.choice(plain, 40)) + (" you idiot" if i % 8 == 0 else "") for i in range(800)]
+    copied = " ".join(plain[:60]) + " moron"
+    texts += [copied if i % 2 else copied.replace(plain[i % 60], "other") for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("idiot" in t or "moron" in t)) for i, t in enumerate(texts)], "doc_id long, toxic int")
+    scores = {r.row.doc_id: r.score for r in tox.score_toxicity(docs, tox.train(docs, labels)).collect()}
+    clean = [scores[i] >= 0.7 for i in range(800) if i % 8]
+    assert sum(clean) / len(clean) < 0.02 and np.mean([scores[i] >= 0.7 for i in range(0, 800, 8)]) > 0.95
+    found = [np.unique(np.array([f for w in set(t.split()) for f in tox.features(w)], "<u4")) for t in texts]
+    assert len(tox.one_of_copies(found)) < 830

@@ -7,7 +7,7 @@ it estimates by expectation-maximisation the chances of every vote in either cla
 a class, and lets correlated voters share their weight. The classifier is a logistic regression on hashed words and word beginnings (in how many
 different words each occurs), trained on the model's posterior labels; features that don't tell the classes apart get no weight.
 
-Labels are read only from rows of the training fold, at most about SAMPLE of them (chosen by a hash of the id); the score
+Near copies among the training rows train once. Labels are read only from rows of the training fold, at most about SAMPLE of them (chosen by a hash of the id); the score
 of a text depends on the text alone. A null text counts as empty and has no features, so its score is the classifier's
 bias. Rows with a null label or id train nothing. Without any training row the seed words alone have weight. Repeated rows
 each give a row. Other columns are ignored, whatever their names.
@@ -16,6 +16,7 @@ each give a row. Other columns are ignored, whatever their names.
 import re
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import few, kept, map_arrow, release, small_batches, table, text_of
+from tidemark.llm.words import mix
 
 #: Common insults, in the parts that vote separately.
 SEEDS = ("idiot moron stupid imbecile dumb".split(), "scum trash worthless garbage vermin".split(), "loser pathetic disgusting clown hate".split())
@@ -41,6 +43,8 @@ LEAST = 4
 PARTS, LEXICONS = 5, 3
 #: Share of toxic rows among a lexicon feature's rows, shrunk by so many rows of the usual share, and toxic rows with it, at least.
 PURITY, SHRINK, LEAST_TOXIC = 0.5, 5, 2
+#: Least hashes by which near copies among the training rows are told, and how many of them are equal at least.
+SKETCH, ALIKE = 6, 5
 #: Chi-square that a feature's split of the posterior labels reaches at least.
 TELLING = 25.0
 THRESHOLD = 0.7
@@ -128,22 +132,48 @@ def _telling(rows: np.ndarray, cols: np.ndarray, n_cols: int, y: np.ndarray) ->
 
 def lexicon_hits(labels: np.ndarray, ids: np.ndarray, names: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     """Whether each row has a feature of each lexicon, induced on the parts that the row isn't in. names: the features' hashes."""
-    out = np.zeros((len(labels), 2 * LEXICONS), bool)
-    lexicon = names % 2 * LEXICONS + (names >> 1) % LEXICONS
-    for part in range(PARTS):
-        held = ids % PARTS == part
-        at, inside = ~held[rows], held[rows]
-        share = labels[~held].mean() if not held.all() else 0.0
-        df = np.bincount(cols[at], minlength=len(names))
-        toxic = np.bincount(cols[at], weights=labels[rows[at]], minlength=len(names))
-        good = ((toxic + SHRINK * share) / (df + SHRINK) >= PURITY) & (toxic >= LEAST_TOXIC)
-        telling = good[cols[inside]]
-        out[rows[inside][telling], lexicon[cols[inside][telling]]] = True
+    out, n = np.zeros((len(labels), 2 * LEXICONS), bool), len(names)
+    lexicon, own = names % 2 * LEXICONS + (names >> 1) % LEXICONS, ids % PARTS
+    df, toxic = np.zeros(PARTS * n), np.zeros(PARTS * n)
+    for i in range(0, len(rows), PART):  # by part and feature
+        r = rows[i : i + PART]
+        at = own[r] * n + cols[i : i + PART]
+        df += np.bincount(at, minlength=PARTS * n)
+        toxic += np.bincount(at, weights=labels[r], minlength=PARTS * n)
+    df, toxic = (x.reshape(PARTS, n) for x in (df, toxic))
+    others = [labels[own != part] for part in range(PARTS)]
+    share = np.array([x.mean() if len(x) else 0.0 for x in others])[:, None]
+    df, toxic = df.sum(0) - df, toxic.sum(0) - toxic
+    good = ((toxic + SHRINK * share) / (df + SHRINK) >= PURITY) & (toxic >= LEAST_TOXIC)
+    for i in range(0, len(rows), PART):
+        r, c = rows[i : i + PART], cols[i : i + PART]
+        telling = good[own[r], c]
+        out[r[telling], lexicon[c[telling]]] = True
     return out
 
 
+def one_of_copies(found: list[np.ndarray]) -> np.ndarray:
+    """Rows of which no earlier row kept is a near copy, told by equal least hashes of the features: else what all copies of a text have would
+    pass for what its label has."""
+    random = mix(np.arange(1, SKETCH + 1, dtype=np.uint64))
+    chosen, seen = [], {}
+    for row, own in enumerate(found):
+        if not len(own):
+            chosen.append(row)
+            continue
+        keys = [(k, int(mix(own.astype(np.uint64) ^ r).min())) for k, r in enumerate(random)]
+        if max(Counter(i for key in keys for i in seen.get(key, ())).values(), default=0) < ALIKE:
+            chosen.append(row)
+            for key in keys:
+                seen.setdefault(key, []).append(row)
+    return np.array(chosen, np.int64)
+
+
 def fit(labels: np.ndarray, ids: np.ndarray, found: list[np.ndarray], times: list[np.ndarray], patterns: np.ndarray) -> Model:
     """labels, a hash of ids, features, in how many words each is, and pattern votes of the training rows -> the model."""
+    use = one_of_copies(found)
+    labels, ids, patterns = labels[use], ids[use], patterns[use]
+    found, times = [found[i] for i in use], [times[i] for i in use]
     n = len(labels)
     if n < 20 or labels.min() == labels.max():
         return default_model()
@@ -159,7 +189,7 @@ def fit(labels: np.ndarray, ids: np.ndarray, found: list[np.ndarray], times: lis
     chosen = [keep[own] for own in found]
     rows = np.repeat(np.arange(n, dtype=np.int32), [int(c.sum()) for c in chosen])
     cols = np.concatenate([place[own[c]] for own, c in zip(found, chosen, strict=True)])
-    value = np.concatenate([np.log2(1 + own[c].astype(np.float32)) for own, c in zip(times, chosen, strict=True)])
+    value = np.concatenate([own[c] for own, c in zip(times, chosen, strict=True)])  # bytes; logarithms are for the features in use
     del chosen, place, counts
     lists = lexicon_hits(labels, ids, names, rows, cols)
     hits = np.zeros((n, len(seeds)), bool)
@@ -175,7 +205,7 @@ def fit(labels: np.ndarray, ids: np.ndarray, found: list[np.ndarray], times: lis
     if not use.any():
         return default_model()
     at = np.cumsum(use) - 1
-    r, x, c = rows[use[cols]], value[use[cols]], at[cols[use[cols]]]
+    r, x, c = rows[use[cols]], np.log2(1 + value[use[cols]].astype(np.float64)), at[cols[use[cols]]]
     w, bias, m = np.zeros(int(use.sum())), float(np.log(posterior.mean() / (1 - posterior.mean()))), np.zeros(int(use.sum()) + 1)
     v = np.zeros(len(m))
     for step in range(1, 301):  # Adam on the mean log loss, a little shrinkage
@@ -213,7 +243,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = sorted((r["h"], r["label"], bytes(r["own"]), bytes(r["times"]), tuple(r["patterns"])) for r in map_arrow(joined, extract, "h long, label int, own binary, times binary, patterns array<int>").collect())  # about SAMPLE rows
     if not got:
         return default_model()
-    return fit(np.array([g[1] for g in got]), np.array([g[0] for g in got]), [np.frombuffer(g[2], "<u4") for g in got], [np.frombuffer(g[3], np.uint8) for g in got], np.array([g[4] for g in got]))
+    model = fit(np.array([g[1] for g in got]), np.array([g[0] for g in got]), [np.frombuffer(g[2], "<u4") for g in got], [np.frombuffer(g[3], np.uint8) for g in got], np.array([g[4] for g in got]))
+    del got
+    release()
+    return model
 
 
 class Scorer:
