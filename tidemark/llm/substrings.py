@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, few, map_arrow, parts_for, table, text_of
-from tidemark.llm.fm_index import FMIndex, repeated_windows
+from tidemark.llm.fm_index import FMIndex, occurs_twice, repeated_windows
 from tidemark.llm.words import BASE, INVERSE, grams, hash_words, mix, portions, spans
 
 #: Words of a window, and of the n-grams among which a window's key is chosen.
@@ -146,7 +146,10 @@ def search_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     text[np.arange(len(symbols)) + shift] = symbols + 1
     begin = first[:-1] + np.arange(len(counts))
     index = FMIndex(text, len(names) + 1)
-    single = np.arange(streamed)
+    # what has copies is searched for as a whole: all its windows match as far as it does
+    whole = np.flatnonzero(several)
+    whole = whole[occurs_twice(index, text, begin[whole], begin[whole] + counts[whole])]
+    single = np.setdiff1d(np.arange(streamed), whole)
     windows = pdf["windows"].to_numpy(np.int64)[single]
     lanes = -(-windows // LANE)
     lane = np.arange(int(lanes.sum())) - np.repeat(np.cumsum(lanes) - lanes, lanes)
@@ -161,8 +164,9 @@ def search_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     new[1:] = (stretch[1:] != stretch[:-1]) | (found[1:] != found[:-1] + 1)
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(found)) - 1 if len(head) else head
-    own = pdf.iloc[stretch[head]]
-    return pd.DataFrame({**{c: own[c].to_numpy() for c in ("key", "content", "row", "at", "single")}, "from": where[head], "to": where[tail] + WINDOW})
+    own = pdf.iloc[np.concatenate([stretch[head], whole])]
+    spans_found = {"from": np.concatenate([where[head], np.zeros(len(whole), np.int64)]), "to": np.concatenate([where[tail] + WINDOW, counts[whole]])}
+    return pd.DataFrame({c: own[c].to_numpy() for c in ("key", "content", "row", "at", "single")} | spans_found)
 
 
 def repeated_spans(docs: DataFrame, parts: int) -> DataFrame:
@@ -181,19 +185,20 @@ def repeated_spans(docs: DataFrame, parts: int) -> DataFrame:
     chosen, again = docs.join(wanted, "row").select("row", "text", "wanted"), cut(docs.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row"), parts=parts)
     if not again.isEmpty():  # of rows with equal ids and texts one will do
         chosen = chosen.join(again, "row", "left_anti").union(chosen.join(again, "row", "left_semi").dropDuplicates(["row"]))
-    texts = cut(stretch_texts(chosen), parts=parts)
-    words = texts.where("words is not null").agg(F.sum((F.col("windows") + WINDOW) * F.when(F.col("single"), 1).otherwise(2))).first()[0] or 0
+    texts = stretch_texts(chosen)
+    words = asked.where(~hot).agg(F.sum((F.col("one.windows") + WINDOW) * F.when(single, 1).otherwise(2))).first()[0] or 0
     shards = max(1, -(-words // SHARD_WORDS))
     sharded = texts.where("words is not null").select(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(shards)).alias("shard"), "key", "content", "row", "at", "windows", "single", "words")
-    found = cut(sharded.groupBy("shard").applyInPandas(search_shard, "key long, content long, row long, at int, single boolean, from long, to long"), parts=parts)
+    found = sharded.groupBy("shard").applyInPandas(search_shard, "key long, content long, row long, at int, single boolean, from long, to long")
+    counted = texts.where("hashes is not null").select("key", "content", "row", "at", "single", F.posexplode("hashes").alias("i", "hash"))
+    often = counted.groupBy("key", "hash").agg(F.count("*").alias("n")).where("n > 1").select("key", "hash")
+    settled = counted.join(often, ["key", "hash"], "left_semi").where("single").select("key", "content", "row", "at", "single", F.col("i").cast("long").alias("from"), (F.col("i") + WINDOW).cast("long").alias("to"))
+    found = cut(found.union(settled), parts=parts)  # in one job, so the texts are dealt once
     streamed = found.where("single").select("row", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to"))
     copies = some.select("key", "content", F.col("row").alias("copy"), F.col("at").alias("place"))
     spread = found.where("not single").join(copies, ["key", "content"]).select(F.col("copy").alias("row"), (F.col("place") + F.col("from")).alias("from"), (F.col("place") + F.col("to")).alias("to"))
     whole = some.join(kinds.where(hot & ~single).select("key", "content"), ["key", "content"], "left_semi").select("row", F.col("at").cast("long").alias("from"), (F.col("at") + F.col("windows") + WINDOW - 1).cast("long").alias("to"))
-    hot = texts.where("hashes is not null").select("key", "row", "at", "single", F.posexplode("hashes").alias("i", "hash"))
-    often = hot.groupBy("key", "hash").agg(F.count("*").alias("n")).where("n > 1").select("key", "hash")
-    settled = hot.join(often, ["key", "hash"], "left_semi").where("single").select("row", (F.col("at") + F.col("i")).cast("long").alias("from"), (F.col("at") + F.col("i") + WINDOW).cast("long").alias("to"))
-    return streamed.union(spread).union(whole).union(settled)
+    return streamed.union(spread).union(whole)
 
 
 def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
