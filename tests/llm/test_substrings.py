@@ -107,13 +107,14 @@ def test_many_repeated_rows(spark):
     assert got == {(1, 60, ""), (2, 60, "x y"), (3, 0, "alone")}
 
 
-def test_occurs_twice():
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_occurs(least):
     rng = np.random.default_rng(4)
     text = np.append(rng.integers(1, 4, 300), 0)
     index = fm_index.FMIndex(text, 4)
     begin = rng.integers(0, 290, 200)
     end = np.minimum(begin + rng.integers(1, 12, 200), 300)
-    found = fm_index.occurs_twice(index, text, begin, end)
+    found = fm_index.occurs(index, text, begin, end, least)
     raw = [tuple(text[i:]) for i in range(300)]
-    want = [sum(r[: e - b] == tuple(text[b:e]) for r in raw) >= 2 for b, e in zip(begin, end, strict=True)]
-    assert found.tolist() == want and 0 < sum(want) < 200
+    want = [sum(r[: e - b] == tuple(text[b:e]) for r in raw) >= least for b, e in zip(begin, end, strict=True)]
+    assert found.tolist() == want and (sum(want) < 200 or least == 1)

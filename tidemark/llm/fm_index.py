@@ -79,13 +79,13 @@ class FMIndex:
         return both[:n], both[n:]
 
 
-def occurs_twice(index: FMIndex, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Whether each text[begin:end] occurs at least twice as a whole in the index's text: one backward search for each."""
+def occurs(index: FMIndex, text: np.ndarray, begin: np.ndarray, end: np.ndarray, least: int) -> np.ndarray:
+    """Whether each text[begin:end] occurs at least so often as a whole in the index's text: one backward search for each."""
     out = np.ones(len(begin), bool)
     own, at = np.arange(len(begin)), end - 1
     low, high = index.one(text[at])
     while len(own):
-        fails = high - low < 2
+        fails = high - low < least
         out[own[fails]] = False
         on = ~fails & (at > begin[own])
         own, at, low, high = own[on], at[on] - 1, low[on], high[on]

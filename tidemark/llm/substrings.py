@@ -3,7 +3,7 @@
 A window's key is the least hash of its short n-grams, so equal windows have equal keys. Consecutive windows with one key make a
 stretch, and each window of the corpus is in just one stretch. Stretches alone under their key, without a repeat inside,
 are done. Of stretches that occur word for word more than once, one stands for all. The others and these are gathered by
-key in shards of bounded numbers of words; a shard's distinct stretches make its FM-index, in which one that stands for several is twice. All
+key in shards of bounded numbers of words; a shard's distinct stretches make its FM-index, in which one that stands for several counts as such. All
 are streamed through it: backward search over the wavelet matrix gives their matching statistics, windows above the threshold
 are reported, and what is found in a stretch holds for all its copies. Keys with more distinct stretches than a shard can hold are settled by
 counting: by their windows' hashes, and as a whole where a stretch has copies.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, few, map_arrow, parts_for, table, text_of
-from tidemark.llm.fm_index import FMIndex, occurs_twice, repeated_windows
+from tidemark.llm.fm_index import FMIndex, occurs, repeated_windows
 from tidemark.llm.words import BASE, INVERSE, grams, hash_words, mix, portions, spans
 
 #: Words of a window, and of the n-grams among which a window's key is chosen.
@@ -132,8 +132,6 @@ def stretch_texts(docs: DataFrame) -> DataFrame:
 def search_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     """A shard's stretches -> key, content, row, at, single, from, to: of each the covered words, counted from its start."""
     several = ~pdf["single"].to_numpy()
-    streamed = len(pdf)
-    pdf = pd.concat([pdf, pdf[several]], ignore_index=True)  # what has copies is in the index twice
     texts = pa.array(pdf["words"].tolist(), pa.large_binary())
     data = np.frombuffer(texts.buffers()[2], np.uint8)
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1)
@@ -146,10 +144,10 @@ def search_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     text[np.arange(len(symbols)) + shift] = symbols + 1
     begin = first[:-1] + np.arange(len(counts))
     index = FMIndex(text, len(names) + 1)
-    # what has copies is searched for as a whole: all its windows match as far as it does
+    # what has copies is searched for as a whole: each place where it is stands for two at least, so all its windows count
     whole = np.flatnonzero(several)
-    whole = whole[occurs_twice(index, text, begin[whole], begin[whole] + counts[whole])]
-    single = np.setdiff1d(np.arange(streamed), whole)
+    whole = whole[occurs(index, text, begin[whole], begin[whole] + counts[whole], 1)]
+    single = np.setdiff1d(np.arange(len(pdf)), whole)
     windows = pdf["windows"].to_numpy(np.int64)[single]
     lanes = -(-windows // LANE)
     lane = np.arange(int(lanes.sum())) - np.repeat(np.cumsum(lanes) - lanes, lanes)
@@ -186,7 +184,7 @@ def repeated_spans(docs: DataFrame, parts: int) -> DataFrame:
     if not again.isEmpty():  # of rows with equal ids and texts one will do
         chosen = chosen.join(again, "row", "left_anti").union(chosen.join(again, "row", "left_semi").dropDuplicates(["row"]))
     texts = stretch_texts(chosen)
-    words = asked.where(~hot).agg(F.sum((F.col("one.windows") + WINDOW) * F.when(single, 1).otherwise(2))).first()[0] or 0
+    words = asked.where(~hot).agg(F.sum(F.col("one.windows") + WINDOW)).first()[0] or 0
     shards = max(1, -(-words // SHARD_WORDS))
     sharded = texts.where("words is not null").select(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(shards)).alias("shard"), "key", "content", "row", "at", "windows", "single", "words")
     found = sharded.groupBy("shard").applyInPandas(search_shard, "key long, content long, row long, at int, single boolean, from long, to long")
